@@ -40,7 +40,7 @@ def _hash(k: Column) -> Column:
 def line_table(docs: DataFrame, text: str, doc_id: str, least_chars: int, batches: int) -> DataFrame:
     """b, d, h: batch, doc_id and hash of each distinct key that is long enough."""
     ids = docs.select(F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"))
-    cuts = ids.agg(F.percentile_approx("d", [F.lit(k / batches) for k in range(1, batches)], F.lit(1000))).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("d", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     batch = sum((F.when(F.col("d") <= c, 1).otherwise(0) for c in cuts), F.lit(0))
     keys = F.filter(F.transform(_lines(F.col(text)), key), lambda k: F.length(k) >= least_chars)
     each = docs.select(F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"), F.explode(F.array_distinct(keys)).alias("k"))
