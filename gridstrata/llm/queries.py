@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import bpe, linededup, mpegts, quality, secrets, warc
-from gridstrata.llm.common import shared_dir, table
+from gridstrata.llm import bpe, linededup, mpegts, ppm, quality, secrets, toxicity, warc
+from gridstrata.llm.common import hashed_share, shared_dir, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +20,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), hashed_share("doc_id", 3) == 1
+    scored = toxicity.train_and_score(spark, docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    score = F.col("toxicity.probability")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.7).cast("int").alias("predicted"), F.size("toxicity.segments").alias("n_passages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +66,13 @@ def op8_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), hashed_share("doc_id", 5) == 0
+    trees = ppm.train(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), ppm.predicted(F.col("text"), trees, spark).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
@@ -67,6 +81,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_byte_bpe, op5_warc, op6_quality_rules, op8_mpeg_ts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op8_mpeg_ts, op9_language_id, op10_secret_scan)}
 
 ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op6_quality_rules": quality.SQL, "op10_secret_scan": secrets.SQL}
