@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import bpe, linededup, mpegts, ppm, quality, secrets, toxicity, warc
+from gridstrata.llm import bpe, linededup, mpegts, ngramjoin, packing, ppm, quality, secrets, toxicity, warc
 from gridstrata.llm.common import hashed_share, shared_dir, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -49,6 +53,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality.BASE, "kept")
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     media = docs.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), mpegts.mux(F.col("data")).alias("media"))
@@ -81,6 +89,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op8_mpeg_ts, op9_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op7_best_fit, op8_mpeg_ts, op9_language_id, op10_secret_scan)}
 
 ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op6_quality_rules": quality.SQL, "op10_secret_scan": secrets.SQL}
