@@ -24,7 +24,7 @@ def _as_documents(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops failed lines, and documents that fail the base rules or lose too much text."""
-    return _as_documents(quality.cleaned(docs).where("kept"), "cleaned", docs.columns)
+    return _as_documents(quality.accepted(docs), "cleaned", docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

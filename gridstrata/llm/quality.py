@@ -100,6 +100,13 @@ def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     return base.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_split", "_bad")
 
 
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of cleaned() that are kept. The row number keeps the filter above the projections: pushed below them, it
+    would repeat their array expressions within each other."""
+    rows = cleaned(docs, text).withColumn("_row", F.monotonically_increasing_id())
+    return rows.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+
+
 def _sql_class(characters: str) -> str:
     return _class(characters).replace("'", "''")
 
