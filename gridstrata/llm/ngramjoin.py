@@ -18,7 +18,7 @@ documents are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,26 +73,46 @@ def linked(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return DEN * common >= NUM * (len(x) + sizes)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """One bit for each shingle, by its hash."""
+    bits = np.zeros(BITMAP_BITS, np.uint8)
+    bits[own % np.uint64(BITMAP_BITS)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def bounded(x: int, near: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Those of `near` whose sizes and bit counts allow a link with x."""
+    near = near[(4 * sizes[near] >= 3 * sizes[x]) & (3 * sizes[near] <= 4 * sizes[x])]
+    if not len(near):
+        return near
+    # a bit of one map that the other lacks is a shingle, or more, that the other lacks
+    alone_x = np.bitwise_count(bits[x] & ~bits[near]).sum(axis=1, dtype=np.int64)
+    alone_y = np.bitwise_count(~bits[x] & bits[near]).sum(axis=1, dtype=np.int64)
+    most = np.minimum(sizes[x] - alone_x, sizes[near] - alone_y)
+    return near[DEN * most >= NUM * (sizes[x] + sizes[near])]
+
+
+def candidates(sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each set has another one that its bitmap allows a link with."""
+    marked, every = np.zeros(len(sizes), bool), np.arange(len(sizes))
+    for x in every:
+        if not marked[x]:
+            near = bounded(x, every, sizes, bits)
+            marked[near] = len(near) > 1
+    return marked
+
+
 def forest(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that connect what is connected among the sets: each component's members with its first one."""
     sizes = np.array([len(s) for s in sets])
-    maps = np.zeros((len(sets), BITMAP_BITS), np.uint8)
-    for row, s in zip(maps, sets, strict=True):
-        row[s % np.uint64(BITMAP_BITS)] = 1
-    bits = np.packbits(maps, axis=1).view(np.uint64)
+    bits = np.frombuffer(b"".join(map(bitmap, sets)), np.uint64).reshape(len(sets), -1)
     left, out = np.arange(len(sets)), []
     while len(left):
         root, left = left[0], left[1:]
         queue = [root]
         while queue and len(left):
             x = queue.pop()
-            near = left[(4 * sizes[left] >= 3 * sizes[x]) & (3 * sizes[left] <= 4 * sizes[x])]
-            if len(near):
-                # a bit of one map that the other lacks is a shingle, or more, that the other lacks
-                alone_x = np.bitwise_count(bits[x] & ~bits[near]).sum(axis=1, dtype=np.int64)
-                alone_y = np.bitwise_count(~bits[x] & bits[near]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(sizes[x] - alone_x, sizes[near] - alone_y)
-                near = near[DEN * most >= NUM * (sizes[x] + sizes[near])]
+            near = bounded(x, left, sizes, bits)
             if len(near):
                 found = near[linked(sets[x], [sets[i] for i in near])]
                 out += [(ids[root], ids[i]) for i in found]
@@ -156,8 +176,7 @@ def gathered(docs: DataFrame, text: str) -> DataFrame:
 
     keys = docs.select(text).mapInArrow(read, "k long, c long, n long")
     by_key = keys.withColumn("lead", F.min("c").over(Window.partitionBy("k")))
-    pairs = by_key.where("lead != c").select("lead", "c", "n").distinct()
-    return pairs
+    return written(by_key.where("lead != c").select("lead", "c", "n").distinct(), "pairs")
 
 
 def blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -184,14 +203,14 @@ def class_filter(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def arrays_of(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
-    """c, s: the sets of classes, one row each; documents of no block stop at the filter."""
+def forms_of(docs: DataFrame, text: str, classes: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """c, n, s: a form of the sets of classes, a row for each task that has one; other documents stop at the filter."""
     bits = docs.sparkSession.sparkContext.broadcast(class_filter(classes))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, raw = [], []
+            ids, sizes, raw = [], [], []
             for t in batch.column(0).to_pylist():
                 own = shingle_set(t)
                 if not len(own):
@@ -200,39 +219,52 @@ def arrays_of(docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
                 if c not in seen and int(bits.value[(c >> 6) % (FILTER_BITS // 64)]) >> (c & 63) & 1:
                     seen.add(c)
                     ids.append(c)
-                    raw.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["c", "s"])
+                    sizes.append(len(own))
+                    raw.append(form(own))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary())], ["c", "n", "s"])
+
+    return docs.select(text).mapInArrow(read, "c long, n long, s binary")
+
 
-    return docs.select(text).mapInArrow(read, "c long, s binary")
+def by_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict[int, tuple[int, bytes]]]]:
+    """Each block of rows sorted by block, as size and form by class; copies that several tasks sent meet here."""
+    group, own = None, {}
+    for batch in batches:
+        for g, c, n, s in zip(*(batch[x].tolist() for x in "gcns"), strict=True):
+            if g != group and own:
+                yield group, own
+                own = {}
+            group = g
+            own[c] = n, s
+    if own:
+        yield group, own
 
 
 def links(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """a, b: links between classes that connect what all links connect; equal rows may repeat."""
     sizes = sets.where("c is not null").groupBy("c").agg(F.first("n").alias("n"))
     tiles = written(blocks(gathered(docs, text), sizes), "blocks")
-    classes = tiles.select("c").distinct()
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, ids, own = None, [], []
+    def sent(rows: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+        forms = forms_of(docs, text, rows.select("c").distinct(), form)
+        return rows.join(forms, "c").repartition("g").sortWithinPartitions("g")
 
-        def close() -> pd.DataFrame:
-            distinct = dict(zip(ids, own, strict=True))  # tasks may each have sent a copy
-            order = sorted(distinct)
-            return pd.DataFrame(forest(order, [np.frombuffer(distinct[i], np.uint64) for i in order]), columns=["a", "b"], dtype=np.int64)
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, own in by_block(batches):
+            bits = np.frombuffer(b"".join(s for _, s in own.values()), np.uint64).reshape(len(own), -1)
+            ids = np.array(list(own), np.int64)[candidates(np.array([n for n, _ in own.values()]), bits)]
+            if len(ids):
+                yield pd.DataFrame({"g": g, "c": ids})
 
-        for batch in batches:
-            for g, c, s in zip(batch["g"].tolist(), batch["c"].tolist(), batch["s"].tolist(), strict=True):
-                if g != group and ids:
-                    yield close()
-                    ids, own = [], []
-                group = g
-                ids.append(c)
-                own.append(s)
-        if ids:
-            yield close()
-
-    sent = tiles.join(arrays_of(docs, text, classes), "c").repartition("g").sortWithinPartitions("g")
-    return sent.mapInPandas(compare, "a long, b long")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, own in by_block(batches):
+            order = sorted(own)
+            out = forest(order, [np.frombuffer(own[i][1], np.uint64) for i in order])
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    # bitmaps go to all blocks, whole sets only where a bitmap allows a link
+    left = written(sent(tiles, bitmap).mapInPandas(bound, "g long, c long"), "candidates")
+    return sent(left, np.ndarray.tobytes).mapInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
