@@ -18,7 +18,7 @@ SQL = {
     "catalog": """SELECT concat('S', CAST(s_suppkey % 7 AS VARCHAR(9))) AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN 'historical' ELSE 'ssp370' END AS experiment_id, concat('r', CAST(s_suppkey % 2 AS VARCHAR(9))) AS member_id,
         'Amon' AS table_id, CASE WHEN s_nationkey % 2 = 0 THEN 'pr' ELSE 'tas' END AS variable_id, CASE WHEN s_suppkey % 5 = 0 THEN 'gn' ELSE 'gr' END AS grid, concat('v2019', CAST(1000 + s_nationkey AS VARCHAR(9))) AS version,
         concat('f_', CAST(1850 + s_nationkey AS VARCHAR(9)), '01-', CAST(1880 + s_nationkey AS VARCHAR(9)), '12.nc') AS file FROM supplier""",
-    "importance_long": """SELECT concat('M', CAST(l_suppkey % 9 AS VARCHAR(9))) AS model, l_shipmode AS predictor, avg(l_discount) - 0.04 - 0.001 * (l_suppkey % 9) AS importance, avg(l_tax) - 0.04 AS coef FROM lineitem GROUP BY l_suppkey % 9, l_shipmode""",
+    "importance_long": """SELECT concat('M', CAST(l_suppkey % 9 AS VARCHAR(9))) AS model, concat('P', CAST(l_linenumber AS VARCHAR(9))) AS predictor, avg(l_discount) - 0.04 - 0.001 * (l_suppkey % 9) AS importance, avg(l_tax) - 0.04 AS coef FROM lineitem GROUP BY l_suppkey % 9, l_linenumber""",
     "cv_results": """SELECT CAST(l_linenumber AS DOUBLE) AS alpha, CAST(l_suppkey % 7 AS DOUBLE) / 7 AS l1_ratio, avg(l_discount) AS mean_score, stddev_pop(l_discount) AS sd_score FROM lineitem GROUP BY ALL""",
 }
 

@@ -1,0 +1 @@
+"""The reference workload has no streams; nothing is built here."""
