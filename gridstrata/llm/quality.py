@@ -43,6 +43,12 @@ def _class(characters: str) -> str:
     return "".join("\\" + c if c in r"\^]-[&" else c for c in characters)
 
 
+def _here() -> Column:
+    """True, but nothing is moved across it: a filter on our columns, pushed below the projections, would repeat their
+    array expressions within each other."""
+    return F.monotonically_increasing_id() >= 0
+
+
 def _has_word(line: Column) -> Column:
     return line.rlike(WORD)
 
@@ -70,7 +76,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         total(F.transform("_words", F.length)).alias("word_chars"),
         _only(t, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(total(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(_here(), F.coalesce(total(covered), F.lit(0)).cast("long")).alias("n_repeat_words"),
     )
     return step.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
@@ -97,14 +103,12 @@ def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     chars = F.aggregate(F.split(F.coalesce(F.col("cleaned"), F.lit("")), SPACE + "+"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     # words hold all characters that aren't white space
     lost = F.when(F.col("n_lines_failed") > 0, 100 * (F.col("word_chars") - chars) > MOST_LOST * F.col("word_chars")).otherwise(F.lit(False))
-    return base.withColumn("kept", ~F.col("base_failed") & ~lost).drop("_split", "_bad")
+    return base.withColumn("kept", _here() & ~F.col("base_failed") & ~lost).drop("_split", "_bad")
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of cleaned() that are kept. The row number keeps the filter above the projections: pushed below them, it
-    would repeat their array expressions within each other."""
-    rows = cleaned(docs, text).withColumn("_row", F.monotonically_increasing_id())
-    return rows.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+    """The rows of cleaned() that are kept."""
+    return cleaned(docs, text).where("kept")
 
 
 def _sql_class(characters: str) -> str:
