@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from gridstrata.functions.columns import share, weight
 from gridstrata.operators.panel import CELL
 
-W = weight(F.col("lat"))
+
+def area() -> Column:
+    """A cell's weight by its latitude."""
+    return weight(F.col("lat"))
 
 
 def regime(x: Column, base: str, variable: str) -> Column:
@@ -59,8 +62,8 @@ def low_quadrant_agreement(df: DataFrame, q: str = "quadrant", least: int = 8, l
 
 def quadrant_areas(df: DataFrame, q: str = "quadrant", low: str = "low") -> DataFrame:
     """H10. Area in percent of each quadrant: all, robust, and uncertain. df: one map."""
-    total = F.sum(F.when(F.col(q).isNotNull(), W))
-    part = lambda k, c: 100 * F.sum(F.when(c, W).otherwise(0.0)) / F.nullif(total, F.lit(0.0))
+    total = F.sum(F.when(F.col(q).isNotNull(), area()))
+    part = lambda k, c: 100 * F.sum(F.when(c, area()).otherwise(0.0)) / F.nullif(total, F.lit(0.0))
     robust = lambda k: (F.col(q) == k) & ~F.coalesce(F.col(low), F.lit(False))
     wide = df.agg(*[part(k, F.col(q) == k).alias(f"t{k}") for k in range(4)], *[part(k, robust(k)).alias(f"r{k}") for k in range(4)])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("quadrant"), F.col(f"t{k}").alias("total"), F.col(f"r{k}").alias("robust")) for k in range(4)]))
@@ -84,7 +87,7 @@ def change_category(base: Column, change: Column) -> Column:
 def areas(df: DataFrame, label: Column, by: list[str] | None = None) -> DataFrame:
     """F11, H12, H14, H19. Area of each label in percent of all labelled area, by key."""
     keys = by or []
-    parts = df.withColumn("label", label).where("label is not null").groupBy(*keys, "label").agg(F.sum(W).alias("w"))
+    parts = df.withColumn("label", label).where("label is not null").groupBy(*keys, "label").agg(F.sum(area()).alias("w"))
     total = parts.groupBy(*keys).agg(F.sum("w").alias("all"))
     both = parts.join(total, keys) if keys else parts.crossJoin(F.broadcast(total))  # one row
     return both.select(*keys, "label", (100 * F.col("w") / F.col("all")).alias("percent"))
@@ -94,7 +97,7 @@ def flips(df: DataFrame, base: str, future: str, by: list[str]) -> DataFrame:
     """F12, H16. Area in percent that goes from + to - and from - to +, of the area where the base is known."""
     a, b = F.col(base), F.col(future)
     known = F.when(a.isNotNull(), F.lit(True))
-    return df.groupBy(*by).agg(share(known & F.coalesce((a > 0) & (b < 0), F.lit(False)), W).alias("pos_to_neg"), share(known & F.coalesce((a < 0) & (b > 0), F.lit(False)), W).alias("neg_to_pos"))
+    return df.groupBy(*by).agg(share(known & F.coalesce((a > 0) & (b < 0), F.lit(False)), area()).alias("pos_to_neg"), share(known & F.coalesce((a < 0) & (b > 0), F.lit(False)), area()).alias("neg_to_pos"))
 
 
 def flip_spread(per_model: DataFrame) -> DataFrame:
