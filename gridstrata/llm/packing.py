@@ -8,13 +8,14 @@ until a sequence is empty or no step is left. Blocks are independent, so packing
 little free space, which doesn't grow with the number of pieces.
 
 Tokenization keeps what it has seen: texts are cut before each blank or line feed that follows a printable ASCII or letter
-character, where no match of the byte-level pattern can span the cut, and each distinct part is encoded once by the library and kept, up to
-CACHE_PARTS of them. Null text is empty: one id 0. Repeated rows are packed each for itself. Other columns are not read.
+character, where no match of the byte-level pattern can span the cut, and each distinct part is encoded once by the library and kept by the
+worker process, up to CACHE_PARTS of them: those of the older half that are not met again go. Null text is empty: one id 0. Repeated rows are packed each for itself. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 
 from gridstrata.llm.common import written
 
-SIZE, BLOCK, CACHE_PARTS = 2048, 16_384, 400_000
-#: White space other than blank and line feed, two in a row, or a mark of our own: such texts are encoded whole.
-_UNSAFE = re.compile(r"[^\S \n]|\s\s|[\x00-\x09\x0b-\x1f\x7f-\xa0]")
+SIZE, BLOCK, CACHE_PARTS = 2048, 16_384, 1_200_000
+#: White space other than blank and line feed, or a mark of our own; like two white spaces in a row, they have a text encoded whole.
+_UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+#: How the byte-level alphabet writes a blank.
+_BLANK = "\u0120"
+_TWO = ("  ", " \n", "\n ", "\n\n")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -48,32 +52,58 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        self.own, self.kept = tokenizer(path), {}
+        self.own, self.kept, self.before = tokenizer(path), {}, {}
+        self.model = self.own.model
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, parts: set[str]) -> None:
+        """Adds the ids of parts. One of ASCII letters is a single match, which the library's model takes as it is."""
+        if len(self.kept) > CACHE_PARTS // 2:
+            self.before, self.kept = self.kept, {}
+        rest = []
+        for p in parts:
+            if (known := self.before.get(p)) is not None:
+                self.kept[p] = known
+            elif p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                self.kept[p] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(p.replace(" ", _BLANK))]) else b""
+            else:
+                rest.append(p)
+        self.kept.update(zip(rest, self._encode(rest), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > CACHE_PARTS:
-            self.kept.clear()
-        cut = [None if _UNSAFE.search(t) else t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for t in texts]
+        cut = [None if any(map(t.__contains__, _TWO)) or _UNSAFE.search(t) else t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for t in texts]
         whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        found = [c and list(map(self.kept.get, c)) for c in cut]
-        new = list({p for c, f in zip(cut, found, strict=True) if c is not None and None in f for p, b in zip(c, f, strict=True) if b is None})
-        self.kept.update(zip(new, self._encode(new), strict=True))
-        return [next(whole) if c is None else b"".join(f if None not in f else map(self.kept.__getitem__, c)) for c, f in zip(cut, found, strict=True)]
+        out = []
+        for c in cut:
+            if c is None:
+                out.append(next(whole))
+                continue
+            found = list(map(self.kept.get, c))
+            if None in found:
+                self._learn({p for p, b in zip(c, found, strict=True) if b is None})
+                found = [self.kept[p] if b is None else b for p, b in zip(c, found, strict=True)]
+            out.append(b"".join(found))
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that what a task has seen serves the next."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE) -> DataFrame:
     """PIECES of each document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(a, 256).columns)
                 out = []
-                for d, raw in zip(ids, encoder([t or "" for t in texts]), strict=True):
+                for d, raw in zip(ids, encode([t or "" for t in texts]), strict=True):
                     raw += bytes(4)
                     n = len(raw) // 4
                     first = n - (n - 1) // size * size
