@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -47,6 +47,19 @@ def hashed_share(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def smallest_hashes(rows: DataFrame, group: str, doc_id: str, most: int) -> DataFrame:
+    """Of each group, at most `most` rows, those whose ids have the smallest hashes: a bounded sample.
+
+    A group's count first says below which hash `most` rows are to be expected, with six standard deviations to spare, so
+    only about that many rows of a group are ranked, however large it is. A null group has no rows.
+    """
+    spare = most + 6 * most**0.5 + 20
+    share = F.pmod(F.xxhash64(doc_id), F.lit(1 << 53)) / (1 << 53)
+    low = rows.join(rows.groupBy(group).agg(F.count("*").alias("_size")), group).where(share * F.col("_size") < spare).drop("_size")
+    order = Window.partitionBy(group).orderBy(share, doc_id)
+    return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from gridstrata.llm.common import smallest_hashes
+
 ORDER = 3
 SAMPLE_DOCS = 1200
 #: Positions scored at once.
@@ -176,11 +178,8 @@ class Trees:
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int) -> DataFrame:
     """At most sample_docs rows of each language, by the hash of their ids; ids are ranked without their texts."""
-    from pyspark.sql import Window
-
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    chosen = rows.select(doc_id, lang).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_docs).select(doc_id).distinct()
+    chosen = smallest_hashes(rows.select(doc_id, lang), lang, doc_id, sample_docs).select(doc_id).distinct()
     return rows.join(F.broadcast(chosen), doc_id, "left_semi")  # bounded: sample_docs ids a language
 
 

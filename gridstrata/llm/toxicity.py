@@ -25,10 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from gridstrata.llm.common import smallest_hashes, written
+
 SAMPLE_DOCS = 6000
 PRIOR, LEAST_ODDS, LEAST_Z, LEAST_COUNT, DRIFT, MOST_EXPECTED = 0.1, 1.5, 3.0, 5, 0.02, 0.05
 _TOKEN = re.compile(r"\w+")
@@ -99,11 +101,11 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, sample_docs: int) -> DataFrame:
-    order = Window.partitionBy("y").orderBy(F.xxhash64("d"), "d")
     ids = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("d"), (F.col(label) > 0).cast("int").alias("y"))
     # only documents that are there count towards the bound
-    chosen = ids.join(docs.select(F.col(doc_id).alias("d")), "d").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs).drop("r")
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d")  # bounded: 2 * sample_docs ids
+    chosen = smallest_hashes(ids.join(docs.select(F.col(doc_id).alias("d")), "d"), "y", "d", sample_docs)
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d")  # bounded: 2 * sample_docs ids
+    return written(rows, "sample")  # read several times
 
 
 def log_odds(counts: pd.DataFrame, prior: float = PRIOR, least_odds: float = LEAST_ODDS, least_z: float = LEAST_Z, least_count: int = LEAST_COUNT) -> dict[str, float]:
