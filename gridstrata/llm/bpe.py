@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,13 @@ def encode(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            yield pa.array([[i for piece in pieces(t or "", piece_chars) for i in enc.encode_ordinary(piece)] for t in batch.to_pylist()], pa.list_(pa.int32()))
+            # flat arrays, as lists of Python numbers would take ten times the memory
+            own, ends = [np.empty(0, np.int32)], [0]
+            for t in batch:
+                found = [np.array(enc.encode_ordinary(piece), np.int32) for piece in pieces(t.as_py() or "", piece_chars)]
+                own += found
+                ends.append(ends[-1] + sum(map(len, found)))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
 
     return ids(text)
 
@@ -67,7 +74,7 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            yield pa.array([enc.decode_bytes(x or []) for x in batch.to_pylist()], pa.binary())
+            yield pa.array([enc.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
 
     return raw(ids)
 
