@@ -51,11 +51,12 @@ def smallest_hashes(rows: DataFrame, group: str, doc_id: str, most: int) -> Data
     """Of each group, at most `most` rows, those whose ids have the smallest hashes: a bounded sample.
 
     A group's count first says below which hash `most` rows are to be expected, with six standard deviations to spare, so
-    only about that many rows of a group are ranked, however large it is. A null group has no rows.
+    only about that many rows of a group are shuffled and ranked, however large it is. The counts, one row a group, are
+    broadcast: groups are the classes of a model that holds all of them anyway. A null group has no rows.
     """
     spare = most + 6 * most**0.5 + 20
     share = F.pmod(F.xxhash64(doc_id), F.lit(1 << 53)) / (1 << 53)
-    low = rows.join(rows.groupBy(group).agg(F.count("*").alias("_size")), group).where(share * F.col("_size") < spare).drop("_size")
+    low = rows.join(F.broadcast(rows.groupBy(group).agg(F.count("*").alias("_size"))), group).where(share * F.col("_size") < spare).drop("_size")
     order = Window.partitionBy(group).orderBy(share, doc_id)
     return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 
