@@ -115,15 +115,19 @@ class Ledger:
         return paths.join(hit, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
-def scanned(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
-    """blob, path, spans: of each row of docs; spans in order of start, then of the rules."""
-    spark = docs.sparkSession
-    ledger = ledger or Ledger(spark)
-    at = shared_dir(spark, "paths")
+def _scan(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...], ledger: Ledger) -> DataFrame:
+    """path and blob of each row of docs, after a scan."""
+    at = shared_dir(docs.sparkSession, "paths")
     docs.select(path, blob(F.col(text)).alias("blob")).write.parquet(at)
-    paths = spark.read.parquet(at)
+    paths = docs.sparkSession.read.parquet(at)
     ledger.scan(docs, paths, text, path, rules)
-    return ledger.findings(paths)
+    return paths
+
+
+def scanned(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
+    """blob, path, spans: of each row of docs; spans in order of start, then of the rules."""
+    ledger = ledger or Ledger(docs.sparkSession)
+    return ledger.findings(_scan(docs, text, path, rules, ledger))
 
 
 def joined(found: Column) -> Column:
@@ -133,7 +137,10 @@ def joined(found: Column) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs, with each span of a secret replaced by its kind in brackets; overlapping spans are replaced as one."""
-    found = scanned(docs, text, path, rules).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
+    ledger = Ledger(docs.sparkSession)
+    _scan(docs, text, path, rules, ledger)
+    # a new ledger has one part, with one row a blob: a plain join, so that a blob with many paths can be split
+    found = ledger.seen().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     t = F.col(text)
 
     def step(acc: Column, s: Column) -> Column:
@@ -142,7 +149,7 @@ def redacted(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: t
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    wide = docs.withColumn("_blob", blob(t)).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    wide = docs.withColumn("_blob", blob(t)).join(found, "_blob", "left")
     return wide.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(t)).select(*docs.columns)
 
 
