@@ -42,6 +42,26 @@ def pad_days(df: DataFrame, keys: list[str], first: str, last: str, leap: bool =
     return df.unionByName(days.drop("_a", "_b"), allowMissingColumns=True)
 
 
+def conform_months(df: DataFrame, reference: DataFrame, keys: list[str], first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """B9. Slice, pad, and take over the reference's months by position. reference: rank, year, month."""
+    return by_rank(pad_months(slice_months(df, first, last), keys, first, last), reference, keys, ["year", "month"], ["year", "month"])
+
+
+def day_coverage(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """B9, for days, which are sliced only: first and last day of each key, and whether they cover the window."""
+    there = df.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    return there.withColumn("covered", (F.col("first") == F.lit(first).cast("date")) & (F.col("last") == F.lit(last).cast("date")))
+
+
+def preprocess(df: DataFrame, drop: list[str], first: tuple[int, int], last: tuple[int, int], units: dict[str, tuple[str, str]], values: list[str], mask: DataFrame | None, grid: tuple[float, float] | None = None) -> DataFrame:
+    """B21. Redundant variables, grid (spacing, wanted spacing), months, units, landmask or names without it, Antarctica: one lazy plan."""
+    out = drop_redundant(df, drop)
+    if grid:
+        out = regrid_conservative(out, values, ["experiment", "model", "year", "month"], *grid)
+    out = set_units(slice_months(out, first, last), units)
+    return remove_antarctica(no_landmask_names(out, values) if mask is None else apply_landmask(out, mask, values))
+
+
 def drop_feb29(df: DataFrame, keys: list[str], expected: int) -> DataFrame:
     """B8. Drop 29 February where that makes a cell's count the expected one."""
     leap = (F.month("day") == 2) & (F.day("day") == 29)

@@ -116,14 +116,68 @@ def ensemble(df: DataFrame, values: list[str], by: list[str], name: str = "mean"
     return df.groupBy(*by).agg(*[STATS[name](v).alias(v) for v in values])
 
 
-def change(df: DataFrame, values: list[str], base: str, relative: tuple[str, ...] = ()) -> DataFrame:
-    """G3, G4, G5. Each other period less the base, by model and cell; relative variables, and mrso, in percent."""
-    a, b = df.where(F.col("period") != base), df.where(F.col("period") == base).select("model", *CELL, *[F.col(v).alias(f"_{v}") for v in values])
+def change(df: DataFrame, values: list[str], base: str, relative: tuple[str, ...] = (), by: tuple[str, ...] = ("model", *CELL)) -> DataFrame:
+    """G3, G4, G5. Each other period less the base, by key (model and cell); relative variables, and mrso, in percent."""
+    a, b = df.where(F.col("period") != base), df.where(F.col("period") == base).select(*by, *[F.col(v).alias(f"_{v}") for v in values])
     diff = lambda v: F.col(v) - F.col(f"_{v}")
     out = {v: 100 * diff(v) / F.when(F.col(f"_{v}") != 0, F.col(f"_{v}")) if v in relative or v == "mrso" else diff(v) for v in values}
-    return a.join(b, ["model", *CELL]).select(F.concat("period", F.lit(f"-{base}")).alias("period"), "model", *CELL, *[c.alias(v) for v, c in out.items()])
+    return a.join(b, list(by)).select(F.concat("period", F.lit(f"-{base}")).alias("period"), *by, *[c.alias(v) for v, c in out.items()])
 
 
+def relative_change(df: DataFrame, values: list[str], base: str, eps: float = 1e-12) -> DataFrame:
+    """G6. Changes in percent of the base where its size exceeds eps, and their mean over models as model `ensemble mean`; a variable that isn't there raises."""
+    if missing := [v for v in values if v not in df.columns]:
+        raise KeyError(f"no such variables: {missing}")
+    part = change(df.withColumns({v: F.when(F.abs(v) > eps, F.col(v)) if v in values else F.col(v) for v in values}), values, base, tuple(values))
+    return part.unionByName(ensemble(part, values, ["period", *CELL]).withColumn("model", F.lit("ensemble mean")))
+
+
+def combine(base: DataFrame, drivers: DataFrame, keys: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """G11. Base rows with the drivers' columns, without the models to skip; a key that the drivers lack raises."""
+    own = base.where(~F.col("model").isin(list(skip))) if skip else base
+    if not own.join(drivers, keys, "left_anti").isEmpty():
+        raise KeyError("drivers lack keys of the base")
+    return own.join(drivers, keys)
+
+
+def driver_product(df: DataFrame, periods: DataFrame, base: str, values: list[str], seasonal: list[str], mask: DataFrame) -> DataFrame:
+    """G13. Period means and seasonality by model, masked, with changes; then the mean over models, by period and cell."""
+    hit = df.join(F.broadcast(periods), (df["experiment"] == periods["experiment"]) & df["year"].between(periods["y0"], periods["y1"])).drop(periods["experiment"])
+    keys = ["period", "model", *CELL]
+    months = hit.groupBy(*keys, "month").agg(*[x for v in values for x in (F.sum(v).alias(f"s_{v}"), F.count(v).alias(f"n_{v}"))], *[F.avg(v).alias(f"m_{v}") for v in seasonal])
+    mean = lambda v: F.sum(f"s_{v}") / F.nullif(F.sum(f"n_{v}"), F.lit(0))
+    both = months.groupBy(*keys).agg(*[mean(v).alias(f"{v}_mean") for v in values], *[F.stddev_pop(f"m_{v}").alias(f"{v}_seasonality") for v in seasonal])
+    own = [*[f"{v}_mean" for v in values], *[f"{v}_seasonality" for v in seasonal]]
+    kept = apply_mask(both, mask, own).select(*keys, *own)
+    return ensemble(kept.unionByName(change(kept, own, base)), own, ["period", *CELL])
+
+
+def monthly_product(df: DataFrame, periods: DataFrame, base: str, values: list[str], mask: DataFrame) -> DataFrame:
+    """G15. As period_product for each calendar month: climatology, bgws, mask, changes, mean over models."""
+    hit = df.join(F.broadcast(periods), (df["experiment"] == periods["experiment"]) & df["year"].between(periods["y0"], periods["y1"])).drop(periods["experiment"])
+    clim = partition_metrics(stats(hit, values, ["mean"], ["period", "model", *CELL, "month"], "_clim"), ["tran"], "clim")
+    kept = apply_mask(clim, mask, ["bgws_tran"]).select("period", "model", *CELL, "month", "bgws_tran")
+    return ensemble(kept.unionByName(change(kept, ["bgws_tran"], base, by=("model", *CELL, "month"))), ["bgws_tran"], ["period", *CELL, "month"])
+
+
+def sustain_lulcc(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """C17. Half the effect of land use under ssp126 and half that under ssp370; one row for each key and experiment."""
+    of = lambda e, v: F.max(F.when(F.col("experiment") == e, F.col(v)))
+    return df.groupBy(*keys).agg(*[(0.5 * (of("ssp126", v) - of("ssp126-ssp370Lu", v)) + 0.5 * (of("ssp370-ssp126Lu", v) - of("ssp370", v))).alias(v) for v in values])
+
+
+def to_celsius(df: DataFrame, value: str = "tas", by: tuple[str, ...] = ("model",), mean: float = 150, most: float = 100) -> DataFrame:
+    """C18. Kelvin by the values: a group whose mean or maximum is too large for deg C is converted. Groups are summed before they are joined back."""
+    kelvin = df.groupBy(*by).agg(((F.avg(value) > mean) | (F.max(value) > most)).alias("_kelvin"))
+    return df.join(kelvin, list(by)).withColumn(value, F.when(F.col("_kelvin"), F.col(value) - 273.15).otherwise(F.col(value))).drop("_kelvin")
+
+
+def regional_series(df: DataFrame, mask: DataFrame, cell_region: DataFrame) -> DataFrame:
+    """F7. Yearly regional series of masked cells by model: means, bgws, storage change and residual."""
+    values = ["pr", "mrro", "tran", "evapo", "mrso"]
+    yearly = df.join(mask, CELL, "left_semi").groupBy("model", *CELL, "year").agg(*[F.avg(v).alias(v) for v in values])
+    return partition_metrics(budget_series(regional_mean(yearly, cell_region, values, ["model", "year"]), ["model", "region"]), ["tran"], "")
+
 def hydro_mask(df: DataFrame, thresholds: dict[str, float] = THRESHOLDS, suffix: str = "") -> DataFrame:
     """G7, G9. lat, lon of cells whose ensemble means exceed all thresholds."""
     means = df.groupBy(*CELL).agg(*[F.avg(v + suffix).alias(v) for v in thresholds])
@@ -168,6 +222,37 @@ def budget_series(df: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"dS_over_P": F.col("dS") / F.col("p_year") * 100, "residual": residual, "residual_pct": residual / F.col("p_year") * 100}).drop("p_year")
 
 
+def rx1day(df: DataFrame, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """C5. Yearly maximum of daily pr; NULL for a year that misses a day."""
+    year = F.year("day").alias("year")
+    out = df.groupBy(*keys, year).agg(F.max("pr").alias("most"), F.count("pr").alias("n"))
+    return out.select(*keys, "year", F.when(F.col("n") == F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))), F.col("most")).alias("rx1day"))
+
+
+def rx5day_ratio(yearly: DataFrame, monthly: DataFrame, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """C7. rx5day over the year's precipitation by its monthly means; NULL where that isn't positive."""
+    total = monthly.groupBy(*keys, "year").agg((F.avg("pr") * 365).alias("total"))
+    return yearly.join(total, [*keys, "year"]).select(*keys, "year", (F.col("rx5day") / F.when(F.col("total") > 0, F.col("total"))).alias("rx5day_ratio"))
+
+
+#: States of land use in each class.
+LAND_USE = {"forest": ["primf", "secdf"], "cropland": ["c3ann", "c4ann", "c3per", "c4per", "c3nfx"], "grazing_land": ["pastr", "range"], "natural_non_forest": ["primn", "secdn"]}
+
+
+def land_use(df: DataFrame) -> DataFrame:
+    """C14. Percent of each class."""
+    return df.withColumns({name: sum((F.col(c) for c in states[1:]), F.col(states[0])) * 100 for name, states in LAND_USE.items()})
+
+
+def carbon(df: DataFrame) -> DataFrame:
+    """C15. Ratios and wood carbon, each where its inputs are there; NULL where the divisor is 0."""
+    over = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0.0))
+    if {"cVeg", "cLeaf", "cRoot"} <= set(df.columns):
+        df = df.withColumn("cWood", F.col("cVeg") - F.col("cLeaf") - F.col("cRoot"))
+    ratios = {"cVeg_nVeg": ("cVeg", "nVeg"), "lai_cLeaf": ("lai", "cLeaf"), "f_leaf": ("cLeaf", "cVeg"), "f_root": ("cRoot", "cVeg"), "f_wood": ("cWood", "cVeg")}
+    return df.withColumns({name: over(a, b) for name, (a, b) in ratios.items() if {a, b} <= set(df.columns)})
+
+
 def rolling_max(df: DataFrame, days: int = 5, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
     """C5, C6. Yearly maxima of daily pr and of its running sums; windows with a missing day are NULL."""
     seconds = F.unix_date("day")

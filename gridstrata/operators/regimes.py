@@ -117,6 +117,18 @@ def disagreement(mean: Column, ref_a: Column, ref_b: Column) -> Column:
     return F.coalesce((s != 0) & (F.signum(ref_a) == -s) & (F.signum(ref_b) == -s), F.lit(False))
 
 
+def increase_decrease(change: Column, least: float = 0.0) -> tuple[Column, Column]:
+    """H18."""
+    return F.coalesce(change > least, F.lit(False)), F.coalesce(change < -least, F.lit(False))
+
+
+def confidence_classes(df: DataFrame, value: str) -> DataFrame:
+    """H19, H20. By cell: 1 confident and positive, 2 confident and negative, 3 masked; with the agreement's columns."""
+    mean = df.groupBy(*CELL).agg(F.avg(value).alias("mean"))
+    both = sign_agreement(df, value).join(mean, CELL)
+    return both.withColumn("class", F.when(~F.col("confident"), 3).when(F.col("mean") > 0, 1).when(F.col("mean") < 0, 2).otherwise(3))
+
+
 def three_way(a: Column, b: Column, c: Column, eps: float = 0.0) -> Column:
     """H14. 0 all near zero, 1 all +, 2 all -, 3 two share a sign, 4 no two do; NULL where one is unknown."""
     sign = [F.when(x > eps, 1).when(x < -eps, -1).otherwise(0) for x in (a, b, c)]

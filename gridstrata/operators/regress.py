@@ -208,6 +208,59 @@ def forest_repeats(df: DataFrame, splits: DataFrame, response: str, predictors:
         yield r, score.evaluate(fitted.transform(train)), score.evaluate(fitted.transform(test)), dict(zip(predictors, fitted.featureImportances.toArray().tolist(), strict=True))
 
 
+def forest_grid(df: DataFrame, folds: DataFrame, response: str, predictors: list[str], depths=(8, 16), leaves=(3, 5), shares=(0.5, 1.0), trees: int = 200, seed: int = 42) -> DataFrame:
+    """J18, J22. depth, leaf, share, train_r2, test_r2: means over the folds of blocks. One MLlib job for each setting and fold; folds: block, fold."""
+    from itertools import product
+
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = VectorAssembler(inputCols=predictors, outputCol="_x").transform(df.join(F.broadcast(folds), "block")).select("_x", response, "fold")
+    score, out = RegressionEvaluator(labelCol=response, metricName="r2"), []
+    numbers = [r[0] for r in folds.select("fold").distinct().collect()]  # a handful
+    for depth, leaf, share in product(depths, leaves, shares):
+        model = RandomForestRegressor(featuresCol="_x", labelCol=response, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all" if share >= 1 else str(share), seed=seed)
+        both = []
+        for k in numbers:
+            fitted = model.fit(rows.where(F.col("fold") != k))
+            both.append([score.evaluate(fitted.transform(rows.where(c))) for c in (F.col("fold") != k, F.col("fold") == k)])
+        train, test = np.mean(both, axis=0).tolist()
+        out.append((depth, leaf, float(share), train, test))
+    return df.sparkSession.createDataFrame(out, "depth int, leaf int, share double, train_r2 double, test_r2 double")
+
+
+def shapley(model, rows: DataFrame, background: DataFrame, predictors: list[str], permutations: int = 20, most: int = 300, seed: int = 42) -> DataFrame:
+    """J20. predictor, mean_abs: an estimate of each predictor's mean absolute contribution to a model's predictions.
+
+    At most `most` rows, those whose ids have the smallest hashes, are explained (a bounded sample, as in the reference's
+    method). For each, predictors change from those of a background row to its own in the order of each permutation; a
+    predictor's contribution is the mean step of the prediction. rows, background: cell and the predictors; model: a
+    fitted one with features `_x`.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    rng, k = np.random.RandomState(seed), len(predictors)
+    orders = F.array(*[F.struct(F.lit(p).alias("p"), F.array(*[F.lit(int(i)) for i in rng.permutation(k)]).alias("order")) for p in range(permutations)])
+    values, by_hash = F.array(*[F.col(c).cast("double") for c in predictors]), F.xxhash64("cell", F.lit(seed))
+    own = rows.orderBy(by_hash, "cell").limit(most).select("cell", values.alias("own"), F.explode(orders).alias("o")).select("cell", "own", "o.*")
+    other = background.orderBy(by_hash, "cell").limit(permutations).select(F.array_sort(F.collect_list(values).over(Window.partitionBy(F.lit(0)))).alias("all")).limit(1)
+    other = other.select(F.posexplode("all").alias("p", "other"))  # at most one row a permutation
+    steps = own.join(F.broadcast(other), "p").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    mixed = F.transform("own", lambda x, i: F.when(F.array_position("order", i) <= F.col("step"), x).otherwise(F.get("other", i)))
+    scored = model.transform(steps.withColumn("_x", array_to_vector(mixed)))
+    before = F.lag("prediction").over(Window.partitionBy("cell", "p").orderBy("step"))
+    delta = scored.withColumn("delta", F.col("prediction") - before).where("step > 0").withColumn("i", F.get("order", F.col("step") - 1))
+    name = F.get(F.array(*[F.lit(c) for c in predictors]), F.col("i"))
+    return delta.groupBy("cell", name.alias("predictor")).agg(F.avg("delta").alias("c")).groupBy("predictor").agg(F.avg(F.abs("c")).alias("mean_abs"))
+
+
+def compare_sets(fits: DataFrame) -> DataFrame:
+    """J11. By set of predictors, the best first: mean, median and deviation of R2, and how many predictors are selected. fits: set, repeat, test_r2, predictor, coef."""
+    each = fits.groupBy("set", "repeat").agg(F.first("test_r2").alias("r2"), F.count_if(F.col("coef") != 0).alias("n"))
+    return each.groupBy("set").agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev("r2").alias("sd_r2"), F.avg("n").alias("mean_selected")).orderBy(F.desc("mean_r2"))
+
+
 def overfit_guard(results: DataFrame, most_gap: float = 0.10) -> DataFrame:
     """J23. The setting of the best test R2 among those whose training R2 isn't more than the gap above it."""
     return results.where(F.col("train_r2") - F.col("test_r2") <= most_gap).orderBy(F.desc("test_r2")).limit(1)

@@ -81,6 +81,12 @@ def robust_limits(df: DataFrame, value: str) -> DataFrame:
     return p.select((F.col("lo") - 0.04 * (F.col("hi") - F.col("lo"))).alias("lo"), (F.col("hi") + 0.04 * (F.col("hi") - F.col("lo"))).alias("hi"))
 
 
+def nice_bound(x: Column) -> Column:
+    """I15. The size of x rounded up to one leading digit; 0 for 0."""
+    step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, 0.0).otherwise(F.ceil(F.abs(x) / step) * step)
+
+
 def zscore(df: DataFrame, values: list[str]) -> DataFrame:
     """I11. Values standardised over the whole table."""
     m = df.agg(*[x for v in values for x in (F.avg(v).alias(f"m_{v}"), F.stddev_pop(v).alias(f"s_{v}"))])

@@ -84,7 +84,8 @@ def add_cte(name: str, ctes: str, final: str, doubles: str):
 
     def add(f: Callable) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: _rounded(f(lambda n: view(spark, sf_dir, n), spark))
-        ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c} + {NUDGE}, 6) + 0.0 AS {c}' for c in doubles.split())}) FROM ({text})"
+        replaced = ", ".join(f"round({c} + {NUDGE}, 6) + 0.0 AS {c}" for c in doubles.split())
+        ORACLE_SQL[name] = f"SELECT * REPLACE ({replaced}) FROM ({text})" if replaced else text
         return f
 
     return add

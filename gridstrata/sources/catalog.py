@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +82,23 @@ def load_or_compute(spark: SparkSession, path: str, compute, partition: list[str
     return spark.read.parquet(path)
 
 
+def provenance(steps: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
+    """B17. seq, step, keys, n_rows: what each step left of each dataset; the newest step has the largest seq."""
+    rows = [df.groupBy(*keys).agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("seq"), F.lit(name).alias("step"), *keys, "n_rows") for k, (name, df) in enumerate(steps)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset and the session is local."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(top or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def csv_export(df: DataFrame, path: str) -> None:
     """A11. A result table (models by variables) as one CSV file."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

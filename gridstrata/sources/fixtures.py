@@ -15,6 +15,9 @@ SQL = {
     "change_frame": """SELECT p_partkey AS cell, CAST((p_partkey * 37) % 140 - 55 AS DOUBLE) AS lat, CAST((p_partkey * 91) % 360 - 180 AS DOUBLE) AS lon,
         avg(l_extendedprice) / 1000 - avg(l_discount) * 200 AS bgws, avg(l_quantity) AS pr, avg(l_discount) AS disc, avg(l_tax) AS tax, CAST(max(p_size) AS DOUBLE) AS size, max(p_retailprice) AS price
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey""",
+    "landuse_year": f"""SELECT CASE WHEN year(l_shipdate) <= 1997 THEN 'historical' ELSE 'ssp370' END AS experiment, {_CELL}, CAST(year(l_shipdate) AS INT) AS year, avg(l_discount) AS primf, avg(l_tax) AS primn,
+        avg(l_discount) / 2 AS secdf, avg(l_tax) / 2 AS secdn, avg(l_quantity) / 1000 AS c3ann, avg(l_quantity) / 2000 AS c4ann, avg(l_discount) / 10 AS c3per, avg(l_discount) / 20 AS c4per, avg(l_tax) / 10 AS c3nfx,
+        avg(l_quantity) / 500 AS pastr, avg(l_tax) / 4 AS range FROM lineitem GROUP BY ALL""",
     "catalog": """SELECT concat('S', CAST(s_suppkey % 7 AS VARCHAR(9))) AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN 'historical' ELSE 'ssp370' END AS experiment_id, concat('r', CAST(s_suppkey % 2 AS VARCHAR(9))) AS member_id,
         'Amon' AS table_id, CASE WHEN s_nationkey % 2 = 0 THEN 'pr' ELSE 'tas' END AS variable_id, CASE WHEN s_suppkey % 5 = 0 THEN 'gn' ELSE 'gr' END AS grid, concat('v2019', CAST(1000 + s_nationkey AS VARCHAR(9))) AS version,
         concat('f_', CAST(1850 + s_nationkey AS VARCHAR(9)), '01-', CAST(1880 + s_nationkey AS VARCHAR(9)), '12.nc') AS file FROM supplier""",
@@ -22,7 +25,7 @@ SQL = {
     "cv_results": """SELECT CAST(l_linenumber AS DOUBLE) AS alpha, CAST(l_suppkey % 7 AS DOUBLE) / 7 AS l1_ratio, avg(l_discount) AS mean_score, stddev_pop(l_discount) AS sd_score FROM lineitem GROUP BY ALL""",
 }
 
-_TABLES = {"panel_month": ["lineitem"], "panel_day": ["lineitem"], "change_frame": ["lineitem", "part"], "catalog": ["supplier"], "importance_long": ["lineitem"], "cv_results": ["lineitem"]}
+_TABLES = {"panel_month": ["lineitem"], "panel_day": ["lineitem"], "change_frame": ["lineitem", "part"], "landuse_year": ["lineitem"], "catalog": ["supplier"], "importance_long": ["lineitem"], "cv_results": ["lineitem"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from gridstrata.plans import registry
+from gridstrata.plans import products, registry  # noqa: F401 (products adds to the registry)
 
 DATA = "/root/testdata/sf0.001"
 
