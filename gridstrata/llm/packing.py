@@ -8,8 +8,8 @@ until a sequence is empty or no step is left. Blocks are independent, so packing
 little free space, which doesn't grow with the number of pieces.
 
 Tokenization keeps what it has seen: texts are cut before each blank or line feed that follows a printable ASCII or letter
-character, where no match of the byte-level pattern can span the cut, and each distinct part is encoded once by the library and kept by the
-worker process, up to CACHE_PARTS of them: those of the older half that are not met again go. Null text is empty: one id 0. Repeated rows are packed each for itself. Other columns are not read.
+character, where no match of the byte-level pattern can span the cut, and each distinct part is encoded once, by the library as a whole or
+by its model match by match, and kept by the worker process, up to CACHE_PARTS of them: those of the older half that are not met again go. Null text is empty: one id 0. Repeated rows are packed each for itself. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from gridstrata.llm.common import written
 SIZE, BLOCK, CACHE_PARTS = 2048, 16_384, 1_200_000
 #: White space other than blank and line feed, or a mark of our own; like two white spaces in a row, they have a text encoded whole.
 _UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-#: How the byte-level alphabet writes a blank.
-_BLANK = "\u0120"
+#: How the byte-level alphabet writes bytes: those that Latin-1 doesn't print as the characters from U+0100 on, in order.
+_ALPHABET = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+#: A part of up to three matches of the byte-level pattern: a line feed, a word of Latin letters, a mark that isn't an apostrophe.
+_PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
 _TWO = ("  ", " \n", "\n ", "\n\n")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,16 +60,27 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _match(self, match: str) -> bytes:
+        """Ids of a single match, which the library's model takes as it is."""
+        if (known := self.kept.get(match)) is None:
+            if (known := self.before.get(match)) is None:
+                # the byte-level alphabet's characters for a line feed and a blank; other ASCII stands for itself
+                written = match.replace("\n", "\u010a").replace(" ", "\u0120") if match.isascii() else match.encode().decode("latin-1").translate(_ALPHABET)
+                ids = [t.id for t in self.model.tokenize(written)]
+                known = struct.pack(f"<{len(ids)}I", *ids)
+            self.kept[match] = known
+        return known
+
     def _learn(self, parts: set[str]) -> None:
-        """Adds the ids of parts. One of ASCII letters is a single match, which the library's model takes as it is."""
+        """Adds the ids of parts; plain ones match by match, others by the library as a whole."""
         if len(self.kept) > CACHE_PARTS // 2:
             self.before, self.kept = self.kept, {}
         rest = []
         for p in parts:
             if (known := self.before.get(p)) is not None:
                 self.kept[p] = known
-            elif p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
-                self.kept[p] = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(p.replace(" ", _BLANK))]) else b""
+            elif plain := _PLAIN.fullmatch(p):
+                self.kept[p] = b"".join([self._match(m) for m in plain.groups() if m])
             else:
                 rest.append(p)
         self.kept.update(zip(rest, self._encode(rest), strict=True))
