@@ -40,12 +40,22 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", 1, r"[0-9a-f]{16,}"),
 )
+#: A PEM key from its BEGIN line to its END line, whatever the lines between hold but five dashes in a row; where END is missing,
+#: headers, lines that start with 24 base64 characters or more (indented, quoted or with \\n written out), and shorter lines of
+#: base64 characters only. Repeats are bounded, as Java's matcher recurses for each
+#: (400 lines are more than any key has), and written so that RE2 takes them.
+_JOINT = r"""[\x20\t\r\n>#*|"',\\-]"""
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:--?-?-?[^-]+){0,400}-----+END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_JOINT}+(?:Proc-Type|DEK-Info):[^\n\\]*){{0,2}}(?:{_JOINT}+{'[A-Za-z0-9+/]' * 24}[A-Za-z0-9+/]*=?=?){{0,400}}"
+    rf"(?:[\x20\t]*[\r\n\\]{_JOINT}*[A-Za-z0-9+/]+(?:==?|[\x20\t]*(?:\r|\\n|(?m:$)))){{0,400}})"
+)
 #: The kinds that this method adds: formats that issuers publish.
 MORE = (
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", 2, _PEM),
 )
 RULES = BASE + MORE
 

@@ -280,3 +280,26 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert all(set(r.rules) == {x.name for x in secrets.MORE} for r in spark.read.parquet(ledger.parts[2]).collect())
     texts = dict(enumerate(TEXTS))
     assert all([tuple(s) for s in r.spans] == spans(texts[r.doc_id]) for r in again)
+
+
+def test_redacted_leaves_nothing_of_a_key(spark):
+    body = [base64.b64encode(bytes((7 * k + j) % 256 for j in range(48))).decode() for k in range(60)] + ["QUJDREVG", "QUI="]
+    begin, end, headers = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n"
+    lines = "\n".join(body)
+    texts = {
+        f"before\n{begin}\n{lines}\n{end}\nafter it": "before\n[pem]\nafter it",
+        f"{begin}\n{headers}\n{lines}\n{end}\nafter": "[pem]\nafter",
+        f"{begin}\n{headers}\n{lines}\nThis text stays.": "[pem]\nThis text stays.",
+        f"{begin}\n{lines}": "[pem]",
+        f"{begin}\n{lines[:-5]}\nThis text stays.": "[pem]\nThis text stays.",
+        f"{begin}\n{lines}\n{begin}\n{lines}\n{end} x": "[pem]\n[pem] x",
+        f"{begin}\r\n{lines}\r\n{end}\r\n".replace("\r\n", "\n").replace("\n", "\r\n"): "[pem]\r\n",
+        f'"key": "{begin}\n{lines}\n{end}\n", "more": 1'.replace("\n", "\\n"): '"key": "[pem]\\n", "more": 1',
+        "\n".join("-" + x for x in [begin, *body, end]) + "\n rest": "-[pem]\n rest",
+        f"the line {begin} is a header": "the line [pem] is a header",
+    }
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(made).collect()}
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
+    for r in secrets.scanned(made).join(made, "doc_id").collect():
+        assert [tuple(s) for s in r.spans] == spans(r.text)
