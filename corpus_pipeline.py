@@ -33,9 +33,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each component that names it; documents without a word are none's copy and stay."""
-    keep = ngramjoin.joined(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """Keeps one row of each component, that of the smallest doc_id (null only where there is no other) and row key; documents
+    without a word are none's copy and stay."""
+    # the key is stored, so that it names the same row however often the table is read
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = rows.select("text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"))
+    keep = ngramjoin.joined(named).where(F.col("doc_id") == F.col("component_id")).select("doc_id._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             n = (Counter(), Counter())
             for t, y in zip(batch["t"], batch["y"], strict=True):
                 n[int(y)].update(tokens(t))
-            names = sorted(n[0].keys() | n[1].keys())
+            if not (names := sorted(n[0].keys() | n[1].keys())):
+                continue  # Arrow takes no empty column of strings from pandas
             yield pd.DataFrame({"token": names, "n1": [n[1][w] for w in names], "n0": [n[0][w] for w in names]}).astype({"n1": "int64", "n0": "int64"})
 
     counts = rows.select("t", "y").mapInPandas(count, "token string, n1 long, n0 long").groupBy("token").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
