@@ -1,11 +1,13 @@
 """Best-fit packing of token pieces into sequences, with a swap-based local search.
 
 A document is its ids by the tokenizers library and a closing id 0. Longer documents are cut into pieces of `size` tokens of
-which the first may be shorter; a whole piece is a sequence. The rest is packed block by block, BLOCK pieces at a time
-in the order in which they are stored: best fit of falling lengths, then a local search between underfull sequences, from
-the emptiest on: it moves a piece, exchanges one for one, or one for two, always so that the sum of squared fills rises,
-until a sequence is empty or no step is left. Blocks are independent, so packing needs no shuffle; each leaves at most a
-little free space, which doesn't grow with the number of pieces.
+which the first may be shorter; a whole piece is a sequence. The rest is packed block by block: best fit of falling
+lengths, then a local search between underfull sequences, from the emptiest on: it moves a piece, exchanges one for one, or
+one for two, always so that the sum of squared fills rises, until a sequence is empty or no step is left. The stored pieces
+(numbers, no texts) are counted and dealt to blocks of about BLOCK by a hash of all that they hold, whichever files they come
+from: each block has the mix of lengths of the whole and leaves little free space, and the result is the same for any layout
+of files. Pieces that are equal in everything are one row and a count, and are dealt COPIES at a time, so that no key makes
+a block of its own.
 
 Tokenization keeps what it has seen: texts are cut before each blank or line feed that follows a printable ASCII or letter
 character, where no match of the byte-level pattern can span the cut, and each distinct part is encoded once, by the library as a whole or
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridstrata.llm.common import written
 
-SIZE, BLOCK, CACHE_PARTS = 2048, 16_384, 1_200_000
+SIZE, BLOCK, COPIES, CACHE_PARTS = 2048, 16_384, 16, 1_200_000
 #: White space other than blank and line feed, or a mark of our own; like two white spaces in a row, they have a text encoded whole.
 _UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 #: How the byte-level alphabet writes bytes: those that Latin-1 doesn't print as the characters from U+0100 on, in order.
@@ -220,16 +222,24 @@ def _step(source: list[int], target: list[int], lengths: list[int], free: int) -
     return out
 
 
+def dealt(stored: DataFrame, blocks: int) -> DataFrame:
+    """b, n and the columns of PIECES: each distinct piece in n copies, for block b, partitioned by block and in one order."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    rows = stored.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"), F.lit(COPIES).cast("long"))))
+    rows = rows.select(F.pmod(F.xxhash64(*names, "_k"), F.lit(blocks)).alias("b"), F.least(F.lit(COPIES), F.col("_n") - F.col("_k")).cast("int").alias("n"), *names)
+    return rows.repartitionById(blocks, F.col("b").cast("int")).sortWithinPartitions("b", *names, "n")
+
+
 def packed(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """PACKED: every piece with its sequence and place."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 36
         held: list[pa.RecordBatch] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal number
             rows = pa.Table.from_batches(held).combine_chunks()
+            number = rows.column("b")[0].as_py() << 36
+            rows = rows.take(pa.array(np.repeat(np.arange(len(rows)), rows.column("n").to_numpy()))).drop_columns(["b", "n"])
             lengths = rows.column("length").to_pylist()
             short = [i for i, n in enumerate(lengths) if n < size]
             own = [lengths[i] for i in short]
@@ -242,19 +252,20 @@ def packed(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str
                     at += lengths[i]
                 number += 1
             out = rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-            return out.to_batches()[0]
+            return out.combine_chunks().to_batches()[0]
 
         for batch in batches:
-            while len(batch):
-                take = batch.slice(0, block - sum(map(len, held)))
-                held.append(take)
-                batch = batch.slice(len(take))
-                if sum(map(len, held)) == block:
+            blocks = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and a < b and held[0].column(0)[0].as_py() != int(blocks[a]):
                     yield close()
                     held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
         if held:
             yield close()
 
     # stored first, so that texts are read once and a repeated task packs the same rows
     stored = written(pieces(docs, tokenizer_file, text, doc_id, size), "pieces")
-    return stored.mapInArrow(pack, PACKED)
+    return dealt(stored, max(1, round(stored.count() / block))).mapInArrow(pack, PACKED)

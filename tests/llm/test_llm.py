@@ -282,6 +282,18 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert all([tuple(s) for s in r.spans] == spans(texts[r.doc_id]) for r in again)
 
 
+def test_packing_is_the_same_for_any_layout(spark):
+    path, schema = public_tokenizers.path("byte_bpe_50k.json"), "doc_id long, text string"
+    # files of one source: texts that need a sequence each alone, then short ones; and many copies of a row
+    rows = [(k, "the " * (36 + k % 8)) for k in range(400)] + [(1000 + k, "the " * (10 + k % 9)) for k in range(600)] + [(None, "the the")] * 300
+    by_file = packing.packed(spark.createDataFrame(rows, schema).coalesce(4), path, size=64, block=300)
+    mixed = packing.packed(spark.createDataFrame(rows[::-1], schema).repartition(3), path, size=64, block=300)
+    got = by_file.collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixed.collect()))
+    assert len(got) == len(rows) and max(Counter(r.sequence_id >> 36 for r in got).values()) < 600
+    assert len({r.sequence_id for r in got}) <= 1.05 * sum(r.length for r in got) / 64
+
+
 def test_redacted_leaves_nothing_of_a_key(spark):
     body = [base64.b64encode(bytes((7 * k + j) % 256 for j in range(48))).decode() for k in range(60)] + ["QUJDREVG", "QUI="]
     begin, end, headers = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n"
