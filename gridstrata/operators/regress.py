@@ -255,10 +255,11 @@ def shapley(model, rows: DataFrame, background: DataFrame, predictors: list[str]
     return delta.groupBy("cell", name.alias("predictor")).agg(F.avg("delta").alias("c")).groupBy("predictor").agg(F.avg(F.abs("c")).alias("mean_abs"))
 
 
-def compare_sets(fits: DataFrame) -> DataFrame:
-    """J11. By set of predictors, the best first: mean, median and deviation of R2, and how many predictors are selected. fits: set, repeat, test_r2, predictor, coef."""
-    each = fits.groupBy("set", "repeat").agg(F.first("test_r2").alias("r2"), F.count_if(F.col("coef") != 0).alias("n"))
-    return each.groupBy("set").agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev("r2").alias("sd_r2"), F.avg("n").alias("mean_selected")).orderBy(F.desc("mean_r2"))
+def compare_sets(fits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """J11. By keys and set of predictors, the best first: mean, median and deviation of R2, and how many predictors are selected. fits: keys, set, repeat, test_r2, predictor, coef."""
+    by = by or []
+    each = fits.groupBy(*by, "set", "repeat").agg(F.first("test_r2").alias("r2"), F.count_if(F.col("coef") != 0).alias("n"))
+    return each.groupBy(*by, "set").agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev("r2").alias("sd_r2"), F.avg("n").alias("mean_selected")).orderBy(*by, F.desc("mean_r2"))
 
 
 def overfit_guard(results: DataFrame, most_gap: float = 0.10) -> DataFrame:

@@ -305,13 +305,13 @@ def _rows(v) -> DataFrame:
     return rows.withColumns({"block": regress.block(F.col("lat"), F.col("lon")), "model": F.concat(F.lit("M"), (F.col("cell") % 3).cast("string"))})
 
 
-def _fit(rows: DataFrame, predictors: list[str], keys: list[str]) -> DataFrame:
+def _fit(rows: DataFrame, predictors: list[str], keys: list[str], repeats: int = 40) -> DataFrame:
     moments = regress.block_moments(rows, "bgws", predictors, [*keys, "block"])
-    return regress.repeated_elastic_net(moments, regress.group_shuffles(rows, 3), "bgws", predictors, keys, alphas=regress.ALPHAS[::5], l1_ratios=(0.1, 0.5, 1.0))
+    return regress.repeated_elastic_net(moments, regress.group_shuffles(rows, repeats), "bgws", predictors, keys)
 
 
-query("j11_compare_predictor_sets")(lambda v, s: regress.compare_sets(_fit(_rows(v), ["pr", "disc", "tax"], ["regime"]).withColumn("set", F.lit("full")).unionByName(_fit(_rows(v), ["pr", "tax"], ["regime"]).withColumn("set", F.lit("without disc"))).where("regime = 'positive'")))
-query("j14_per_model")(lambda v, s: _fit(_rows(v), ["pr", "disc", "tax"], ["model", "regime"]))
+query("j11_compare_predictor_sets")(lambda v, s: regress.compare_sets(_fit(_rows(v), ["pr", "disc", "tax"], ["regime"]).withColumn("set", F.lit("full")).unionByName(_fit(_rows(v), ["pr", "tax"], ["regime"]).withColumn("set", F.lit("without disc"))), ["regime"]))
+query("j14_per_model")(lambda v, s: _fit(_rows(v), ["pr", "disc", "tax"], ["model", "regime"], 20))
 
 
 def _grid(v) -> DataFrame:

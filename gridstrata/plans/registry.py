@@ -365,7 +365,7 @@ query("j5_block_moments", f"SELECT {_BLOCK} AS block, CAST(count(*) AS DOUBLE) A
 def _fits(v) -> DataFrame:
     rows = v("change_frame").where("bgws <> 0").withColumn("regime", F.when(F.col("bgws") > 0, "positive").otherwise("negative")).withColumn("block", regress.block(F.col("lat"), F.col("lon")))
     moments = regress.block_moments(rows, "bgws", ["pr", "disc", "tax"], ["regime", "block"])
-    return regress.repeated_elastic_net(moments, regress.group_shuffles(rows, 4), "bgws", ["pr", "disc", "tax"], ["regime"], alphas=regress.ALPHAS[::4], l1_ratios=(0.1, 0.5, 1.0))
+    return regress.repeated_elastic_net(moments, regress.group_shuffles(rows, 40), "bgws", ["pr", "disc", "tax"], ["regime"])
 
 
 query("j9_repeated_elastic_net")(lambda v, s: _fits(v))
