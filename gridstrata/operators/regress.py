@@ -95,7 +95,7 @@ def r_squared(m: pd.Series, own: list[str], coef: np.ndarray, intercept: float)
 
 
 def repeated_elastic_net(moments: DataFrame, splits: DataFrame, response: str, predictors: list[str], keys: list[str], inner: int = 4, alphas=ALPHAS, l1_ratios=L1_RATIOS) -> DataFrame:
-    """J7-J9, J14. For each key and repeat: the one-standard-error choice over inner folds of blocks, refitted; R2 on test blocks and the coefficients.
+    """J8, J9, J14. For each key and repeat: the one-standard-error choice over inner folds of blocks, refitted; R2 on test blocks and the coefficients.
 
     moments: by keys and block. A group holds the moments of one key and repeat, at most 324 blocks.
     """
@@ -194,7 +194,7 @@ def representative(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def forest_repeats(df: DataFrame, splits: DataFrame, response: str, predictors: list[str], repeats: int, trees: int = 200, depth: int = 8, leaf: int = 5, share: float = 0.5, seed: int = 42) -> Iterator[tuple[int, float, float, dict[str, float]]]:
-    """J18, J19, J22. For each repeat: R2 on training and test rows of blocks, and impurity importance; one MLlib job a repeat."""
+    """J19 without permutation importance. For each repeat: R2 on training and test rows of blocks, and impurity importance; one MLlib job a repeat."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -209,7 +209,7 @@ def forest_repeats(df: DataFrame, splits: DataFrame, response: str, predictors:
 
 
 def forest_grid(df: DataFrame, folds: DataFrame, response: str, predictors: list[str], depths=(8, 16), leaves=(3, 5), shares=(0.5, 1.0), trees: int = 200, seed: int = 42) -> DataFrame:
-    """J18, J22. depth, leaf, share, train_r2, test_r2: means over the folds of blocks. One MLlib job for each setting and fold; folds: block, fold."""
+    """J18. depth, leaf, share, train_r2, test_r2: means over the folds of blocks. One MLlib job for each setting and fold; folds: block, fold."""
     from itertools import product
 
     from pyspark.ml.evaluation import RegressionEvaluator
