@@ -9,35 +9,40 @@ from: each block has the mix of lengths of the whole and leaves little free spac
 of files. Pieces that are equal in everything are one row and a count, and are dealt COPIES at a time, so that no key makes
 a block of its own.
 
-Tokenization keeps what it has seen: texts are cut before each blank or line feed that follows a printable ASCII or letter
-character, where no match of the byte-level pattern can span the cut, and each distinct part is encoded once, by the library as a whole or
-by its model match by match, and kept by the worker process, up to CACHE_PARTS of them: those of the older half that are not met again go. Null text is empty: one id 0. Repeated rows are packed each for itself. Other columns are not read.
+Tokenization encodes each distinct part of a slice of texts once. Texts are cut by Arrow before each blank or line feed that
+follows a printable ASCII or letter character, after line feeds, and between a Latin letter and a mark, where no match of the
+byte-level pattern can span the cut; other texts go to the library as they are. Arrow numbers the parts, those that the worker
+process doesn't know yet are encoded by the library (words by its model), and numpy gathers the ids of the texts. A process keeps up to CACHE_PARTS parts: those of the older half that are not met again go. Null text is empty: one
+id 0. Repeated rows are packed each for itself. Other columns are not read. doc_id is a number, or text that casts to one.
 """
 
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.llm.common import written
 
-SIZE, BLOCK, COPIES, CACHE_PARTS = 2048, 16_384, 16, 1_200_000
+SIZE, BLOCK, COPIES, CACHE_PARTS = 2048, 16_384, 16, 600_000
 #: White space other than blank and line feed, or a mark of our own; like two white spaces in a row, they have a text encoded whole.
 _UNSAFE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 #: How the byte-level alphabet writes bytes: those that Latin-1 doesn't print as the characters from U+0100 on, in order.
 _ALPHABET = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
-#: A part of up to three matches of the byte-level pattern: a line feed, a word of Latin letters, a mark that isn't an apostrophe.
-_PLAIN = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+#: Latin letters, marks that aren't an apostrophe; a part that is a word, a single match of the byte-level pattern.
+_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
+_WORD = re.compile(f" ?[{_LATIN}]+")
 _TWO = ("  ", " \n", "\n ", "\n\n")
+#: Bytes of text of a slice, and rows.
+SLICE_BYTES, SLICE_ROWS = 1 << 22, 1 << 13
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -53,53 +58,61 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         self.own, self.kept, self.before = tokenizer(path), {}, {}
-        self.model = self.own.model
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _match(self, match: str) -> bytes:
-        """Ids of a single match, which the library's model takes as it is."""
-        if (known := self.kept.get(match)) is None:
-            if (known := self.before.get(match)) is None:
-                # the byte-level alphabet's characters for a line feed and a blank; other ASCII stands for itself
-                written = match.replace("\n", "\u010a").replace(" ", "\u0120") if match.isascii() else match.encode().decode("latin-1").translate(_ALPHABET)
-                ids = [t.id for t in self.model.tokenize(written)]
-                known = struct.pack(f"<{len(ids)}I", *ids)
-            self.kept[match] = known
-        return known
-
-    def _learn(self, parts: set[str]) -> None:
-        """Adds the ids of parts; plain ones match by match, others by the library as a whole."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, single matches, which the library's model takes as they are, written in the byte-level alphabet."""
+        written = "\0".join(words).encode().decode("latin-1").translate(_ALPHABET).split(chr(_ALPHABET[0]))
+        tokens = list(map(self.own.model.tokenize, written)) if words else []
+        raw = np.array([t.id for own in tokens for t in own], "<u4").tobytes()
+        ends = [0, *accumulate(4 * len(own) for own in tokens)]
+        return [raw[a:b] for a, b in pairwise(ends)]
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts."""
         if len(self.kept) > CACHE_PARTS // 2:
             self.before, self.kept = self.kept, {}
-        rest = []
-        for p in parts:
-            if (known := self.before.get(p)) is not None:
-                self.kept[p] = known
-            elif plain := _PLAIN.fullmatch(p):
-                self.kept[p] = b"".join([self._match(m) for m in plain.groups() if m])
-            else:
-                rest.append(p)
-        self.kept.update(zip(rest, self._encode(rest), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(map(t.__contains__, _TWO)) or _UNSAFE.search(t) else t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") for t in texts]
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out = []
-        for c in cut:
-            if c is None:
-                out.append(next(whole))
-                continue
-            found = list(map(self.kept.get, c))
-            if None in found:
-                self._learn({p for p, b in zip(c, found, strict=True) if b is None})
-                found = [self.kept[p] if b is None else b for p, b in zip(c, found, strict=True)]
-            out.append(b"".join(found))
+        out = list(map(self.kept.get, parts))
+        missing = [p for p, found in zip(parts, out, strict=True) if found is None]
+        if missing:
+            new = list(map(self.before.get, missing))
+            rest = [p for p, found in zip(missing, new, strict=True) if found is None]
+            words = [p for p in rest if _WORD.fullmatch(p)]
+            other = sorted(set(rest).difference(words))
+            found = dict(zip(words + other, self._words(words) + self._whole(other), strict=True))
+            found.update((p, raw) for p, raw in zip(missing, new, strict=True) if raw is not None)
+            self.kept.update(found)
+            out = [found[p] if raw is None else raw for p, raw in zip(parts, out, strict=True)]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        safe = [k for k, t in enumerate(texts) if t and not (any(map(t.__contains__, _TWO)) or _UNSAFE.search(t))]
+        out = [np.empty(0, "<u4")] * len(texts)
+        if rest := sorted({k for k, t in enumerate(texts) if t} - set(safe)):
+            for k, raw in zip(rest, self._whole([texts[k] for k in rest]), strict=True):
+                out[k] = np.frombuffer(raw, "<u4")
+        if safe:
+            cut = pa.array([texts[k] for k in safe], pa.large_string())
+            for old, new in (("\n", "\0\n\0"), (" ", "\0 ")):
+                cut = pc.replace_substring(cut, old, new)
+            cut = pc.split_pattern(pc.replace_substring_regex(cut, f"([{_LATIN}])([{_MARKS}])", "\\1\0\\2"), "\0")
+            coded = cut.flatten().dictionary_encode()
+            raw = self.parts(coded.dictionary.to_pylist())
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            codes, ids = coded.indices.to_numpy(), np.frombuffer(b"".join(raw), "<u4")
+            # where each part's ids start in what is known, and where in the texts
+            at, lengths = np.cumsum(size) - size, size[codes]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            flat = ids[np.repeat(at[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+            bounds = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+            for k, a, b in zip(safe, bounds, bounds[1:]):
+                out[k] = flat[a:b]
         return out
 
 
@@ -115,16 +128,20 @@ def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_file)
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(a, 256).columns)
-                out = []
-                for d, raw in zip(ids, encode([t or "" for t in texts]), strict=True):
-                    raw += bytes(4)
-                    n = len(raw) // 4
+            # a slice ends where its texts reach SLICE_BYTES
+            end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < len(batch):
+                b = min(a + SLICE_ROWS, max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + SLICE_BYTES))))
+                ids, texts = (c.to_pylist() for c in batch.slice(a, b - a).columns)
+                a, out = b, []
+                for d, own in zip(ids, encode([t or "" for t in texts]), strict=True):
+                    n, raw = len(own) + 1, memoryview(own).cast("B") if len(own) else b""
                     first = n - (n - 1) // size * size
                     for k, start in enumerate([0, *range(first, n, size)]):
-                        end = first if k == 0 else start + size
-                        out.append((d, k, start, end - start, zlib.crc32(raw[4 * start : 4 * end])))
+                        end_ = first if k == 0 else start + size
+                        crc = zlib.crc32(raw[4 * start : 4 * end_])
+                        out.append((d, k, start, end_ - start, zlib.crc32(bytes(4), crc) if end_ == n else crc))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names)
 
     names = [x.split()[0] for x in PIECES.split(", ")]
