@@ -1,8 +1,10 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every version of a text is a blob, named by the SHA-256 of its bytes. The ledger holds, for each blob, the rules (with their
-versions) that have scanned it, and what they found. A scan takes the pairs of blob and rule version that the ledger lacks,
-reads one text for each such blob, adds to the ledger, and joins findings back to every path that holds the blob.
+versions) that have scanned it, and what each of them found. A scan takes the pairs of blob and rule version that the ledger
+lacks, reads one text for each such blob, adds a part to the ledger, and joins the findings of the rules asked for back to every
+path that holds the blob. A ledger's folder can be opened again by a later session: its parts are those that are complete.
+What an older version of a rule found stays in the ledger, and is given only when that version is asked for.
 
 Spans come from a rule's matches and the text between them, so they are in code points, leftmost and without overlap in
 each kind. Null text is the empty text. A null path is a path like any other; repeated rows each get their findings.
@@ -10,6 +12,8 @@ each kind. Null text is the empty text. A null path is a path like any other; re
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,34 +64,53 @@ MORE = (
 RULES = BASE + MORE
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
-_LEDGER = "blob binary, rules array<string>, spans " + SPANS
+#: Spans in the ledger: of which rule and version.
+_FOUND = "array<struct<start:int,end:int,rule:string>>"
+_LEDGER = "blob binary, rules array<string>, spans " + _FOUND
+#: Matches are added up in chunks of so many, so that a text of very many costs little more than in proportion.
+_CHUNK = 256
 
 
 def blob(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The spans of one rule in a text."""
+def _running(sizes: Column) -> Column:
+    """The sums before each of the sizes."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """The spans of one rule in a text, as in the ledger."""
     found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    # each match with the text before it
+    # each match with the text before it, in chunks
     both = F.zip_with(F.slice(between, 1, F.size(found)), F.arrays_zip(found.alias("m"), value.alias("v")), lambda b, x: F.struct(F.length(b).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["v"]).alias("value")))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
+    span = lambda x, at, first: F.when(x["value"] >= rule.least, F.struct((first + at + x["gap"]).alias("start"), (first + at + x["gap"] + x["size"]).alias("end"), F.lit(rule.name).alias("rule")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(xs: Column, first: Column) -> Column:
+        return F.zip_with(xs, _running(F.transform(xs, lambda x: x["gap"] + x["size"])), lambda x, at: span(x, at, first))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(both, nothing, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+    def chunked(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _CHUNK).cast("int")), lambda k: F.slice(all_, k * _CHUNK + 1, _CHUNK))
+        return F.flatten(F.zip_with(chunks, _running(F.transform(chunks, total)), placed))
+
+    # a lambda's argument is computed once, however often it is read
+    each = F.flatten(F.transform(F.array(both), lambda xs: F.when(F.size(xs) > _CHUNK, chunked(xs)).otherwise(placed(xs, F.lit(0)))))
+    return F.when(text.rlike(rule.pattern), F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast(_FOUND))
 
 
 class Ledger:
     """The ledger's parts, each a table in one folder; a scan adds a part."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder, self.parts = spark, folder or shared_dir(spark, "ledger"), []
+        self.spark, self.folder = spark, (folder or shared_dir(spark, "ledger")).rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/part-*/_SUCCESS")
+        done = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        #: What is there already; a part without _SUCCESS is a scan that was ended, and is scanned again.
+        self.parts = sorted(x.getPath().getParent().toString() for x in done)
 
     def seen(self) -> DataFrame | None:
         """blob, rules, spans: one row a blob."""
@@ -96,8 +119,7 @@ class Ledger:
         rows = self.spark.read.schema(_LEDGER).parquet(*self.parts)
         if len(self.parts) == 1:
             return rows
-        merged = rows.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("rules"), F.flatten(F.collect_list("spans")).alias("spans"))
-        return merged.select("blob", "rules", F.sort_array("spans").alias("spans"))
+        return rows.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("rules"), F.flatten(F.collect_list("spans")).alias("spans"))
 
     def scan(self, docs: DataFrame, paths: DataFrame, text: str, path: str, rules: tuple[Rule, ...]) -> None:
         """Scan what the ledger lacks. paths: path and blob of each row of docs."""
@@ -112,17 +134,24 @@ class Ledger:
         texts = docs.select(F.col(path).alias("_p"), F.coalesce(F.col(text), F.lit("")).alias("t"))
         # the path alone picks the text's row; a path of several versions is settled by the blob
         read = texts.join(todo, F.col("_p").eqNullSafe(F.col("_path"))).where(blob(F.col("t")) == F.col("blob"))
-        own = [F.when(F.array_contains("rules", r.name), spans(F.col("t"), r, k)).otherwise(F.array().cast(SPANS)) for k, r in enumerate(rules)]
-        found = read.select("blob", "rules", F.sort_array(F.concat(*own)).alias("spans"))
+        own = [F.when(F.array_contains("rules", r.name), spans(F.col("t"), r)).otherwise(F.array().cast(_FOUND)) for r in rules]
+        found = read.select("blob", "rules", F.concat(*own).alias("spans"))
         found = found.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("spans").alias("spans"))  # repeated rows
-        part = f"{self.folder}/part-{len(self.parts):05d}"
+        # names rise with time, also where two sessions use one folder
+        part = f"{self.folder}/part-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         found.write.parquet(part)
         self.parts.append(part)
 
-    def findings(self, paths: DataFrame) -> DataFrame:
+    def hits(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """blob, spans: of the blobs in which these rules, in these versions, found any; spans in order of start, then of the rules."""
+        kinds = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(k).alias("rank"), F.lit(r.kind).alias("kind")) for k, r in enumerate(rules)])
+        of = lambda s, r: F.when(s["rule"] == r["rule"], F.struct(s["start"], r["rank"].alias("rank"), s["end"], r["kind"].alias("kind")))
+        own = F.filter(F.flatten(F.transform(kinds, lambda r: F.transform("spans", lambda s: of(s, r)))), lambda s: s.isNotNull())
+        return self.seen().where(F.size("spans") > 0).select("blob", F.sort_array(own).cast(SPANS).alias("spans")).where(F.size("spans") > 0)
+
+    def findings(self, paths: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         """paths with the spans of their blobs; blobs without any don't travel."""
-        hit = self.seen().where(F.size("spans") > 0).select("blob", "spans")
-        return paths.join(hit, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+        return paths.join(self.hits(rules), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
 def _scan(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...], ledger: Ledger) -> DataFrame:
@@ -137,7 +166,7 @@ def _scan(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...], ledger
 def scanned(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
     """blob, path, spans: of each row of docs; spans in order of start, then of the rules."""
     ledger = ledger or Ledger(docs.sparkSession)
-    return ledger.findings(_scan(docs, text, path, rules, ledger))
+    return ledger.findings(_scan(docs, text, path, rules, ledger), rules)
 
 
 def joined(found: Column) -> Column:
@@ -149,18 +178,20 @@ def redacted(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: t
     """docs, with each span of a secret replaced by its kind in brackets; overlapping spans are replaced as one."""
     ledger = Ledger(docs.sparkSession)
     _scan(docs, text, path, rules, ledger)
-    # a new ledger has one part, with one row a blob: a plain join, so that a blob with many paths can be split
-    found = ledger.seen().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    t = F.col(text)
+    # a new ledger has one part, with one row a blob: a plain join, so that a blob with many paths can be split. The document's
+    # columns travel as one, so that their names don't matter
+    found, t = ledger.hits(rules), F.col("t")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"), blob(F.col(text)).alias("blob")).join(found, "blob", "left")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(acc["out"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.concat(gap, F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    wide = docs.withColumn("_blob", blob(t)).join(found, "_blob", "left")
-    return wide.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(t)).select(*docs.columns)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    redacted_ = F.when(F.col("spans").isNotNull(), clean).otherwise(t)
+    return wide.select(*[(redacted_ if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _sql_spans(rule: Rule, rank: int) -> str:
