@@ -7,8 +7,11 @@ lines name their keeper) and semi-joined (known lines add to their count), and i
 FANOUT runs they are merged into one of the next level. Lines are then dropped by what the merged runs say.
 
 A line's key is the line, stripped of ASCII white space at both ends and A-Z lower-cased; its hash is the key's MD5 of 128
-bits. Keys of a document count once. Null or empty text is one empty line. A repeated row counts as a document of its own,
-and rows that share the largest doc_id all keep the line; a null doc_id is smaller than any other. Other columns stay.
+bits. Keys of a document count once. Null or empty text is one empty line. Rows that share a doc_id are one document when
+documents are counted, and those that share the largest doc_id all keep the line; a null doc_id is smaller than any other.
+doc_id is a number. Other columns stay, whatever their names; columns of the names that are added are replaced.
+
+Spark doesn't know the order of a run that it reads back: a merge sorts it once more, by hash and without its texts.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ _RUN = "h binary, n long, keeper long"
 
 
 def key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+\z", ""), _UPPER, _LOWER)
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
 
 
 def _lines(text: Column) -> Column:
@@ -38,13 +41,13 @@ def _hash(k: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text: str, doc_id: str, least_chars: int, batches: int) -> DataFrame:
-    """b, d, h: batch, doc_id and hash of each distinct key that is long enough."""
+    """b, d, h: batch, doc_id and hash of each distinct key that is long enough; rows that share a doc_id count as one document."""
     ids = docs.select(F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"))
     cuts = ids.agg(F.percentile_approx("d", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     batch = sum((F.when(F.col("d") <= c, 1).otherwise(0) for c in cuts), F.lit(0))
     keys = F.filter(F.transform(_lines(F.col(text)), key), lambda k: F.length(k) >= least_chars)
     each = docs.select(F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"), F.explode(F.array_distinct(keys)).alias("k"))
-    return each.select(batch.alias("b"), "d", _hash(F.col("k")).alias("h"))
+    return each.select(batch.alias("b"), "d", _hash(F.col("k")).alias("h")).distinct()
 
 
 class LineRuns:
@@ -96,17 +99,18 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         runs.add(lines.where(F.col("b") == b).select("d", "h"))
     common = runs.all().where(F.col("n") >= least_docs).select("h", "keeper")
     # only lines that go are gathered by document; a hot line's rows are split by the adaptive skew join
-    gone = lines.join(common, "h").where("d < keeper").groupBy("d").agg(F.collect_set("h").alias("_gone"))
+    gone = lines.join(common, "h").where("d < keeper").groupBy("d").agg(F.collect_set("h").alias("gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    wide = docs.withColumn("_d", F.coalesce(F.col(doc_id), F.lit(-(2**63)))).join(gone.withColumnRenamed("d", "_d"), "_d", "left")
-    wide = wide.withColumn("_lines", _lines(F.col(text)))
-    stays = lambda line: ~F.coalesce(F.array_contains(F.col("_gone"), _hash(key(line))), F.lit(False))
-    wide = wide.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))
+    # the document's columns travel as one, so that their names don't matter
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"), _lines(F.col(text)).alias("lines"))
+    wide = wide.join(gone, "d", "left")
+    stays = lambda line: ~F.coalesce(F.array_contains(F.col("gone"), _hash(key(line))), F.lit(False))
+    wide = wide.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
     return wide.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.array_join("_kept", "\n").alias("kept_text"),
+        *[F.col("row").getField(c).alias(c) for c in own],
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.array_join("kept", "\n").alias("kept_text"),
     )
 
 
