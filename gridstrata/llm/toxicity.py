@@ -52,27 +52,28 @@ def tokens(text: str | None) -> list[str]:
 def maximal_segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, as (first, last, score): scores at some places, -drift at every token.
 
-    Candidates hold the sums before and after them. A new one joins the nearest earlier candidate that begins lower,
-    with all between, if it ends higher; each is pushed and popped once, so the time is linear in the places.
+    Candidates hold the sums before and after them, and the nearest earlier candidate that begins lower. A new one joins its own
+    such candidate, with all between, if it ends higher. The search for it follows these chains of left ends, since all that
+    a chain skips begins at least as high: so the time is linear in the places.
     """
-    held: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    held: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, nearest that begins lower
     total, last = 0.0, -1
     for place, score in zip(places, scores, strict=True):
         total -= drift * (place - last - 1)
         before, total, last = total, total + score - drift, place
         if score <= drift:
             continue
-        segment = (before, total, place, place)
+        low, high, first, j = before, total, place, len(held) - 1
         while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][0] >= segment[0]:
-                j -= 1
-            if j < 0 or held[j][1] >= segment[1]:
-                held.append(segment)
+            while j >= 0 and held[j][0] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][1] >= high:
+                held.append((low, high, first, place, j))
                 break
-            segment = (held[j][0], segment[1], held[j][2], segment[3])
+            low, first = held[j][0], held[j][2]
             del held[j:]
-    return [(a, b, high - low) for low, high, a, b in held]
+            j = len(held) - 1
+    return [(a, b, high - low) for low, high, a, b, _ in held]
 
 
 @dataclass
@@ -114,10 +115,13 @@ def log_odds(counts: pd.DataFrame, prior: float = PRIOR, least_odds: float = LEA
     if not len(counts) or not n1.sum() or not n0.sum():
         return {}
     alpha = (n1 + n0) * prior
-    odds = [np.log((n + alpha) / (n.sum() + alpha.sum() - n - alpha)) for n in (n1, n0)]
+    # a token that isn't there, or that is all there is, has no odds
+    known = (alpha > 0) & (n1 + alpha < n1.sum() + alpha.sum()) & (n0 + alpha < n0.sum() + alpha.sum())
+    safe = np.where(known, alpha, 1.0)
+    odds = [np.log((n + safe) / np.where(known, n.sum() + alpha.sum() - n - alpha, 1.0)) for n in (n1, n0)]
     delta = odds[0] - odds[1]
-    z = delta / np.sqrt(1 / (n1 + alpha) + 1 / (n0 + alpha))
-    keep = (np.abs(delta) >= least_odds) & (np.abs(z) >= least_z) & (n1 + n0 >= least_count)
+    z = delta / np.sqrt(1 / (n1 + safe) + 1 / (n0 + safe))
+    keep = known & (np.abs(delta) >= least_odds) & (np.abs(z) >= least_z) & (n1 + n0 >= least_count)
     return dict(zip(counts["token"][keep], delta[keep].tolist(), strict=True))
 
 
