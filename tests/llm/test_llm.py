@@ -69,26 +69,94 @@ def test_forest_and_bounds_against_all_pairs():
     for _ in range(60):
         for i, j in ok:
             root[i] = root[j] = min(root[i], root[j])
-    edges = ngramjoin.forest(list(range(60)), own)
+    ids, sizes, maps = list(range(60)), list(map(len, own)), list(map(ngramjoin.bitmap, own))
+    assert len(set(map(len, maps))) > 1
+    edges = ngramjoin.forest(ids, sizes, maps, own)
     assert len(edges) == 60 - len(set(root)) and all(root[a] == root[b] for a, b in edges)
-    bits = np.frombuffer(b"".join(map(ngramjoin.bitmap, own)), np.uint64).reshape(60, -1)
-    marked = ngramjoin.candidates(np.array(list(map(len, own))), bits)
-    assert all(marked[i] and marked[j] for i, j in ok)
+    # with what is known to be connected, only the rest is linked
+    known = [k if k % 2 else r for k, r in enumerate(root)]
+    more = ngramjoin.forest(ids, sizes, maps, own, known)
+    assert len(more) <= len(edges) and joined_roots(60, more + list(enumerate(known))) == joined_roots(60, edges)
+    # what bitmaps allow holds all links
+    allowed = joined_roots(60, ngramjoin.forest(ids, sizes, maps))
+    assert all(allowed[i] == allowed[j] for i, j in ok)
 
 
-def test_crowded_shingles_keep_all_links():
+def joined_roots(n, edges):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_bitmaps_of_any_width_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 16, 17, 31, 32, 33, 120, 128, 129, 170, 5000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for m in {-(-3 * n // 4), n, 4 * n // 3}:
+            y = np.unique(np.concatenate([x[: min(n, m) * 9 // 10 + 1], rng.integers(0, 2**63, m).astype(np.uint64)])[:m])
+            maps = ngramjoin.Maps([ngramjoin.bitmap(x), ngramjoin.bitmap(y)])
+            alone_x, alone_y = maps.alone(0, np.array([1]))
+            common = len(np.intersect1d(x, y))
+            assert common <= min(len(x) - alone_x[0], len(y) - alone_y[0])
+
+
+def test_crowded_shingles_come_last():
     import numpy as np
 
     x = np.unique(np.random.default_rng(0).integers(0, 2**63, 100).astype(np.uint64))
-    crowded = np.zeros(ngramjoin.BUCKETS, bool)
-    crowded[(x[:50] >> np.uint64(40)) % np.uint64(ngramjoin.BUCKETS)] = True
-    assert len(ngramjoin.prefix(x, crowded)) == 26 and not set(ngramjoin.prefix(x, crowded).tolist()) & set(x[:24].tolist())
+    level = np.zeros(ngramjoin.BUCKETS, np.uint8)
+    level[ngramjoin.bucket(x[:40])] = 3
+    level[ngramjoin.bucket(x[40:80])] = 2
+    early, late = ngramjoin.prefix(x, level)
+    assert early.tolist() == x[80:].tolist() and late.tolist() == x[40:46].tolist()
+    counts = ngramjoin.Counts()
+    for _ in range(3):
+        counts.add(x)
+    assert sum(np.frombuffer(zlib.decompress(m), np.int64).sum() for _, m in counts.blocks()) == 300
+
+
+def near_copies(n, step, words=60):
+    """Texts of which each differs from the next one by one word in `step`, and from later ones by more."""
+    base = [f"w{k}" for k in range(words)]
+    for k in range(n):
+        for j in range(k % step, words, max(step, words // 2)):
+            base[j] = f"c{k}x{j}"
+        yield " ".join(base)
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_join_of_hot_groups_and_chains(spark, monkeypatch, tile):
+    """A long chain, a group that shares a passage and doesn't link, near copies, exact copies, null ids; one tile and many."""
+    monkeypatch.setattr(ngramjoin, "TILE_CLASSES", tile)
+    monkeypatch.setattr(ngramjoin, "OWN_TILES", min(64, tile))
+    monkeypatch.setattr(ngramjoin, "SIGMAS", 1)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [*near_copies(120, 7), *[passage + " " + " ".join(f"o{i}_{k}" for k in range(14 + i % 9)) for i in range(40)], *[passage + f" tail{i}" for i in range(40)], *["copy of a text of more than five words"] * 30, "", None]
+    rows = [(k, t, k) for k, t in enumerate(texts)] + [(None, texts[3], 0), (None, "words of its own", 0)]
+    got = ngramjoin.joined(spark.createDataFrame(rows, "doc_id long, text string, c long").repartition(5)).collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := split(lower(t or ""))) else set() for t in texts]
+    edges = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a]) if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    root = joined_roots(len(texts), edges)
+    assert len(set(root[:120])) < 120 and len({r for r in root[120:160]}) > 30
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {k: (len(s), root[k]) for k, s in enumerate(sets)}
+    assert Counter(r.component_id for r in got if r.doc_id is None) == Counter([root[3], None])
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_candidates_by_filter_and_by_join(docs, monkeypatch, most):
+    monkeypatch.setattr(ngramjoin, "FILTER_MOST", most)
+    roots = {r.doc_id: r.component_id for r in ngramjoin.joined(docs).collect()}
+    assert roots[16] == roots[15] and roots[6] == 6 and roots[5] == 4
 
 
 def test_line_dedup(docs, empty):
     got = {r.doc_id: r for r in linededup.deduplicated(docs).collect()}
     key = lambda line: lower(line.strip(SPACES))
-    found = Counter(k for t in [*TEXTS, TEXTS[5]] for k in {key(x) for x in (t or "").split("\n")} if len(k) >= 40)
+    found = Counter(k for t in TEXTS for k in {key(x) for x in (t or "").split("\n")} if len(k) >= 40)
     last = {key(x): d for d, t in enumerate(TEXTS) for x in (t or "").split("\n")}
     for d, t in enumerate(TEXTS):
         kept = [x for x in (t or "").split("\n") if not (found[key(x)] >= 5 and d < last[key(x)])]
@@ -96,6 +164,21 @@ def test_line_dedup(docs, empty):
     assert found[key(LINE)] >= 5 and linededup.deduplicated(empty).collect() == []
 
 
+def test_line_dedup_counts_documents_and_keeps_any_column(spark):
+    rows = [(1, LINE, "d", 7)] * 4 + [(2, LINE, "e", 8)]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, d string, lines int")).collect()
+    assert {r.n_dropped for r in got} == {0} and {(r.d, r.lines) for r in got} == {("d", 7), ("e", 8)}
+    rows = [(k, LINE, "d", 7) for k in (1, 2, 3, 4, 5, 5, 1)]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, d string, lines int")).collect()
+    assert Counter((r.doc_id, r.n_dropped) for r in got) == Counter([(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (5, 0)])
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    texts = ["a" + " " * 1_000_000 + "b\n" + LINE, "x\n" * 300_000 + LINE, *[LINE] * 5]
+    got = {r.doc_id: r for r in linededup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].n_dropped == 1 and got[0].kept_text == texts[0][: -len(LINE) - 1] and got[1].n_lines == 300_001 and got[1].n_dropped == 1 and got[6].n_dropped == 0
+
+
 def test_runs_are_compacted(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     for b in range(5):
@@ -242,6 +325,15 @@ def test_maximal_segments_against_definition():
         assert [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(list(range(14)), x.tolist(), 0.0)] == brute(0, 14)
 
 
+def test_maximal_segments_take_linear_time():
+    import time
+
+    n = 1 << 17
+    began = time.process_time()
+    got = toxicity.maximal_segments(list(range(n)), [1.0, -1.5] * (n // 2), 0.0)
+    assert len(got) == n // 2 and time.process_time() - began < 2
+
+
 def test_toxicity(spark):
     rows = [(k, ("calm words about the weather and a garden " * 3) + ("you idiot scum " if k % 4 == 0 else "")) for k in range(200)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -276,10 +368,30 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     secrets.scanned(docs, rules=secrets.BASE, ledger=ledger)
     secrets.scanned(docs, rules=secrets.BASE, ledger=ledger)
     assert spark.read.parquet(ledger.parts[1]).count() == 0
+    # a later session finds the folder's parts
+    ledger = secrets.Ledger(spark, ledger.folder)
+    assert len(ledger.parts) == 2
     again = secrets.scanned(docs, rules=secrets.RULES, ledger=ledger).collect()
     assert all(set(r.rules) == {x.name for x in secrets.MORE} for r in spark.read.parquet(ledger.parts[2]).collect())
     texts = dict(enumerate(TEXTS))
     assert all([tuple(s) for s in r.spans] == spans(texts[r.doc_id]) for r in again)
+    # fewer rules give their own findings only
+    less = secrets.scanned(docs, rules=secrets.BASE[2:], ledger=ledger).collect()
+    assert sum(len(r.spans) for r in less) > 0 and all([(a, c) for a, _, c, _ in r.spans] == [(a, c) for a, _, c, kind in spans(texts[r.doc_id]) if kind == "hex"] for r in less)
+    # a raised version is scanned anew, and its findings come once
+    longer = secrets.Rule("hex", 2, r"[0-9a-f]{17,}")
+    more = secrets.scanned(docs, rules=(secrets.BASE[1], longer), ledger=ledger).collect()
+    assert set(spark.read.parquet(ledger.parts[-1]).first().rules) == {"hex:2"}
+    want = lambda t: [(a, c) for a, _, c, kind in spans(t) if kind == "access" or (kind == "hex" and c - a >= 17)]
+    assert all([(a, c) for a, _, c, _ in r.spans] == want(texts[r.doc_id]) for r in more)
+
+
+def test_many_matches_and_clashing_names(spark):
+    text = " é".join(f"AKIA{'B' * (14 + k % 3)}" for k in range(1500)) + " short AKIAB"
+    made = spark.createDataFrame([(1, text, b"x", [1])], "doc_id long, text string, blob binary, spans array<int>")
+    assert [tuple(s) for s in secrets.scanned(made.select("doc_id", "text")).first().spans] == spans(text)
+    clean = secrets.redacted(made).first()
+    assert clean.text == " é".join(["[access]"] * 1500) + " short AKIAB" and clean.blob == b"x" and clean.spans == [1]
 
 
 def test_packing_is_the_same_for_any_layout(spark):
