@@ -94,8 +94,22 @@ def r_squared(m: pd.Series, own: list[str], coef: np.ndarray, intercept: float)
     return float(1 - sse / sst) if sst > 0 else float("nan")
 
 
-def repeated_elastic_net(moments: DataFrame, splits: DataFrame, response: str, predictors: list[str], keys: list[str], inner: int = 4, alphas=ALPHAS, l1_ratios=L1_RATIOS) -> DataFrame:
-    """J8, J9, J14. For each key and repeat: the one-standard-error choice over inner folds of blocks, refitted; R2 on test blocks and the coefficients.
+def permutation_importance(m: pd.Series, own: list[str], coef: np.ndarray, intercept: float) -> np.ndarray:
+    """J10. By predictor, the drop of a linear fit's R2 on held-out rows when that predictor is permuted over them: its mean over all
+    permutations, which the moments of the rows give exactly, where repeated draws estimate it."""
+    n, s, q = _gram(m, own)
+    sst = q[-1, -1] - s[-1] ** 2 / n
+    if not sst > 0:
+        return np.full(len(coef), np.nan)
+    v = np.append(-coef, 1.0)
+    # a permuted value has the mean of all and is uncorrelated with the row's own: what it adds to a residual is b (x - x')
+    with_residual = (q @ v)[:-1] - intercept * s[:-1] - s[:-1] / n * (v @ s - n * intercept)
+    return (2 * coef * with_residual + 2 * coef**2 * (np.diag(q)[:-1] - s[:-1] ** 2 / n)) / sst
+
+
+def repeated_elastic_net(moments: DataFrame, splits: DataFrame, response: str, predictors: list[str], keys: list[str], inner: int = 4, alphas=ALPHAS, l1_ratios=L1_RATIOS, simplest: bool = True) -> DataFrame:
+    """J8, J9, J10, J14. For each key and repeat: the choice over inner folds of blocks (the one-standard-error one, or the best if not
+    `simplest`), refitted; R2 and permutation importance on test blocks, and the coefficients.
 
     moments: by keys and block. A group holds the moments of one key and repeat, at most 324 blocks.
     """
@@ -114,17 +128,35 @@ def repeated_elastic_net(moments: DataFrame, splits: DataFrame, response: str, p
             for l1 in l1_ratios:
                 scores[a, l1] = [r_squared(p, own, *elastic_net(whole - p, own, a, l1)) for p in parts if p["n"]]
         mean = {k: float(np.mean(v)) for k, v in scores.items()}
-        best = max(mean, key=mean.get)
-        a, l1 = max(k for k, v in mean.items() if v >= mean[best] - np.std(scores[best]) / np.sqrt(len(scores[best])))
+        a, l1 = best = max(mean, key=mean.get)
+        if simplest:
+            a, l1 = max(k for k, v in mean.items() if v >= mean[best] - np.std(scores[best]) / np.sqrt(len(scores[best])))
         coef, intercept = elastic_net(whole, own, a, l1)
-        score = r_squared(test[sums].sum(), own, coef, intercept)
+        held_out = test[sums].sum()
         first = rows.iloc[0]
-        return pd.DataFrame({**{k: first[k] for k in [*keys, "repeat"]}, "alpha": a, "l1_ratio": l1, "test_r2": score, "predictor": predictors, "coef": coef})
+        scored = {"test_r2": r_squared(held_out, own, coef, intercept), "predictor": predictors, "coef": coef, "importance": permutation_importance(held_out, own, coef, intercept)}
+        return pd.DataFrame({**{k: first[k] for k in [*keys, "repeat"]}, "alpha": a, "l1_ratio": l1, "inner_r2": mean[a, l1], **scored})
 
-    schema = ", ".join([*[f"{k} string" for k in keys], "repeat int, alpha double, l1_ratio double, test_r2 double, predictor string, coef double"])
+    schema = ", ".join([*[f"{k} string" for k in keys], "repeat int, alpha double, l1_ratio double, inner_r2 double, test_r2 double, predictor string, coef double, importance double"])
     return moments.join(F.broadcast(splits), "block").groupBy(*keys, "repeat").applyInPandas(fit, schema)  # splits: repeats times 324 rows
 
 
+def nested_screening(moments: DataFrame, folds: DataFrame, response: str, predictors: list[str], keys: list[str], **grid) -> DataFrame:
+    """J7. repeated_elastic_net with the outer folds of blocks as its repeats, and the best setting of the inner folds for each.
+    folds: block, fold (group_folds)."""
+    outer = folds.select(F.col("fold").alias("repeat")).distinct().crossJoin(folds).select("repeat", "block", (F.col("fold") == F.col("repeat")).alias("is_test"))  # folds times 324 rows
+    return repeated_elastic_net(moments, outer, response, predictors, keys, simplest=False, **grid)
+
+
+def importance_table(fits: DataFrame, by: list[str]) -> DataFrame:
+    """J14. By key and predictor, over the repeats: importance, coefficients, how often selected and of which sign, and the key's performance."""
+    c, x = F.col("coef"), F.col("importance")
+    return fits.groupBy(*by, "predictor").agg(
+        F.avg(x).alias("mean_perm_importance"), F.median(x).alias("median_perm_importance"), F.median(c).alias("coef_median"), F.avg(c).alias("coef_mean"), F.avg((c != 0).cast("double")).alias("selection_frequency"),
+        F.avg(F.signum(F.nullif(c, F.lit(0.0)))).alias("sign_consistency"), F.avg("test_r2").alias("mean_test_r2"), F.median("test_r2").alias("median_test_r2"), F.stddev("test_r2").alias("sd_test_r2"), F.count("*").alias("n"),
+    )
+
+
 def one_se(cv: DataFrame, k: int, by: list[str]) -> DataFrame:
     """J8. Of the settings within a standard error of the best, the largest alpha, then the largest l1 ratio."""
     best = cv.groupBy(*by).agg(F.max_by(F.struct("mean_score", "sd_score"), F.struct("mean_score", "alpha", "l1_ratio")).alias("b"))
@@ -141,22 +173,6 @@ def selection(coefs: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("class", F.when(core, "core").when(F.col("frequency") >= 0.5, "secondary").otherwise("weak"))
 
 
-def permutation_importance(df: DataFrame, response: str, coefs: dict[str, float], intercept: float, seed: int = 0) -> DataFrame:
-    """J10. R2 drop of a linear model when one predictor is permuted over the rows, by predictor."""
-    from operator import add
-    from functools import reduce
-
-    n = df.withColumn("_i", F.row_number().over(Window.partitionBy("part").orderBy("cell")))
-    moved = df.select("part", *[F.col(p).alias(f"_p_{p}") for p in coefs], F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("cell", F.lit(seed)))).alias("_i"))
-    both = n.join(moved, ["part", "_i"])
-    fit = lambda swap: F.lit(intercept) + reduce(add, [F.lit(b) * F.col(f"_p_{p}" if p == swap else p) for p, b in coefs.items()])
-    y = F.col(response)
-    sst = F.var_pop(y) * F.count(y)
-    drop = lambda p: (F.sum((y - fit(p)) ** 2) - F.sum((y - fit(None)) ** 2)) / F.nullif(sst, F.lit(0.0))
-    wide = both.agg(*[drop(p).alias(p) for p in coefs])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).alias("importance")) for p in coefs])).alias("x")).select("x.*")
-
-
 def importance_summary(df: DataFrame, by: list[str], value: str = "importance") -> DataFrame:
     """J13."""
     q = F.percentile(value, F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.75, 0.975)]))
@@ -262,6 +278,15 @@ def compare_sets(fits: DataFrame, by: list[str] | None = None) -> DataFrame:
     return each.groupBy(*by, "set").agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.stddev("r2").alias("sd_r2"), F.avg("n").alias("mean_selected")).orderBy(*by, F.desc("mean_r2"))
 
 
+def overfit_gaps(results: DataFrame, most_gap: float = 0.10) -> DataFrame:
+    """J23. results, one row a setting, with the gap of training over test R2, and whether it passes."""
+    gap = F.col("train_r2") - F.col("test_r2")
+    return results.withColumns({"gap": gap, "passes": gap <= most_gap})
+
+
 def overfit_guard(results: DataFrame, most_gap: float = 0.10) -> DataFrame:
-    """J23. The setting of the best test R2 among those whose training R2 isn't more than the gap above it."""
-    return results.where(F.col("train_r2") - F.col("test_r2") <= most_gap).orderBy(F.desc("test_r2")).limit(1)
+    """J23. The setting of the best test R2 among those that pass; an error if there is none."""
+    best = overfit_gaps(results, most_gap).where("passes").orderBy(F.desc("test_r2")).limit(1).select(*results.columns)
+    if best.isEmpty():
+        raise ValueError(f"each setting's training R2 is more than {most_gap} above its test R2")
+    return best

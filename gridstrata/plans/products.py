@@ -311,7 +311,7 @@ def _fit(rows: DataFrame, predictors: list[str], keys: list[str], repeats: int =
 
 
 query("j11_compare_predictor_sets")(lambda v, s: regress.compare_sets(_fit(_rows(v), ["pr", "disc", "tax"], ["regime"]).withColumn("set", F.lit("full")).unionByName(_fit(_rows(v), ["pr", "tax"], ["regime"]).withColumn("set", F.lit("without disc"))), ["regime"]))
-query("j14_per_model")(lambda v, s: _fit(_rows(v), ["pr", "disc", "tax"], ["model", "regime"], 20))
+query("j14_per_model")(lambda v, s: regress.importance_table(_fit(_rows(v), ["pr", "disc", "tax"], ["model", "regime"], 20), ["model", "regime"]))
 
 
 def _grid(v) -> DataFrame:
@@ -319,7 +319,7 @@ def _grid(v) -> DataFrame:
 
 
 query("j18_forest_grid")(lambda v, s: _grid(v))
-query("j23_overfit_guard")(lambda v, s: regress.overfit_guard(_grid(v), 1.0))
+query("j23_overfit_guard")(lambda v, s: regress.overfit_gaps(_grid(v)))
 
 
 @query("j19_forest_repeats")

@@ -126,8 +126,13 @@ query("a8_skip_present", "SELECT DISTINCT model, lat, lon FROM panel_month EXCEP
 )
 
 # --- conforming ---
+def _ranks(spark) -> DataFrame:
+    """A reference calendar: the days from 2000 on by rank, for 50 years."""
+    return spark.range(1, 18264).select(F.col("id").alias("rank"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int") - 1).alias("day"))
+
+
 query("b3_conform_time_by_rank", "SELECT cell, rank, CAST(CAST(DATE '2000-01-01' + CAST(rank - 1 AS INT) AS DATE) AS VARCHAR) AS day, pr FROM (SELECT cell, pr, dense_rank() OVER (PARTITION BY cell ORDER BY day) AS rank FROM panel_day)", "pr")(
-    lambda v, s: v("panel_day").withColumn("rank", F.dense_rank().over(series.Window.partitionBy("cell").orderBy("day"))).select("cell", F.col("rank").cast("long"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("rank") - 1).cast("string").alias("day"), "pr")
+    lambda v, s: conform.by_rank(v("panel_day"), _ranks(s), ["cell"], ["day"], ["day"]).select("cell", (F.datediff("day", F.lit("2000-01-01")) + 1).cast("long").alias("rank"), F.col("day").cast("string"), "pr")
 )
 query("b4_slice_months", "SELECT experiment, model, lat, lon, year, month, pr FROM panel_month WHERE year * 12 + month BETWEEN 1996 * 12 + 5 AND 1999 * 12 + 3", "pr")(
     lambda v, s: conform.slice_months(v("panel_month"), (1996, 5), (1999, 3)).select("experiment", "model", *CELL, "year", "month", "pr")
@@ -362,10 +367,16 @@ query("j5_block_moments", f"SELECT {_BLOCK} AS block, CAST(count(*) AS DOUBLE) A
 )
 
 
+def _regimes(v) -> DataFrame:
+    return v("change_frame").where("bgws <> 0").withColumn("regime", F.when(F.col("bgws") > 0, "positive").otherwise("negative")).withColumn("block", regress.block(F.col("lat"), F.col("lon")))
+
+
+def _moments(v) -> DataFrame:
+    return regress.block_moments(_regimes(v), "bgws", ["pr", "disc", "tax"], ["regime", "block"])
+
+
 def _fits(v) -> DataFrame:
-    rows = v("change_frame").where("bgws <> 0").withColumn("regime", F.when(F.col("bgws") > 0, "positive").otherwise("negative")).withColumn("block", regress.block(F.col("lat"), F.col("lon")))
-    moments = regress.block_moments(rows, "bgws", ["pr", "disc", "tax"], ["regime", "block"])
-    return regress.repeated_elastic_net(moments, regress.group_shuffles(rows, 40), "bgws", ["pr", "disc", "tax"], ["regime"])
+    return regress.repeated_elastic_net(_moments(v), regress.group_shuffles(_regimes(v), 40), "bgws", ["pr", "disc", "tax"], ["regime"])
 
 
 query("j9_repeated_elastic_net")(lambda v, s: _fits(v))
@@ -373,7 +384,8 @@ query("j12_predictor_classes")(lambda v, s: regress.selection(_fits(v), ["regime
 query("j8_one_se", "SELECT (m).alpha AS alpha, (m).l1_ratio AS l1_ratio, (m).mean_score AS mean_score FROM (SELECT max({'alpha': alpha, 'l1_ratio': l1_ratio, 'mean_score': mean_score}) AS m FROM cv_results, (SELECT mean_score AS bm, sd_score AS bs FROM cv_results ORDER BY mean_score DESC, alpha DESC, l1_ratio DESC LIMIT 1) WHERE mean_score >= bm - bs / 2)", "alpha l1_ratio mean_score")(
     lambda v, s: regress.one_se(v("cv_results"), 4, [])
 )
-query("j10_permutation_importance")(lambda v, s: regress.permutation_importance(v("change_frame").withColumn("part", regress.block(F.col("lat"), F.col("lon"))), "bgws", {"pr": 0.1, "disc": -200.0}, 0.0))
+query("j10_permutation_importance")(lambda v, s: _fits(v).select("regime", "repeat", "predictor", "coef", "importance"))
+query("j7_nested_screening")(lambda v, s: regress.nested_screening(_moments(v), regress.group_folds(_regimes(v), 5), "bgws", ["pr", "disc", "tax"], ["regime"]))
 query("j13_importance_summary", "SELECT predictor, avg(importance) AS mean, quantile_cont(importance, 0.025) AS p2_5, quantile_cont(importance, 0.25) AS q25, median(importance) AS median, quantile_cont(importance, 0.75) AS q75, quantile_cont(importance, 0.975) AS p97_5 FROM importance_long GROUP BY predictor", "mean p2_5 q25 median q75 p97_5")(
     lambda v, s: regress.importance_summary(v("importance_long"), ["predictor"])
 )

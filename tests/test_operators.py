@@ -138,3 +138,43 @@ def test_panel_write_replaces_only_its_partitions(spark, tmp_path):
     catalog.panel_write(frame([("h", "a", 1), ("h", "b", 2)]), f"{tmp_path}/p")
     catalog.panel_write(frame([("h", "b", 3)]), f"{tmp_path}/p")
     assert sorted((r.model, r.v) for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [("a", 1), ("b", 3)]
+
+
+def test_permutation_importance_is_the_mean_over_permutations(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 2)) @ np.array([[1.0, 0.6], [0.0, 1.0]])
+    y = x @ [1.5, -0.5] + rng.normal(size=60)
+    own = ["a", "b", "y"]
+    frame = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y, "k": 1}))
+    m = regress.block_moments(frame, "y", ["a", "b"], ["k"]).toPandas().iloc[0]
+    coef, intercept = np.array([1.2, -0.3]), 0.1
+    r2 = lambda z: 1 - ((y - z @ coef - intercept) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    want = []
+    for j in range(2):
+        drops = []
+        for _ in range(4000):
+            z = x.copy()
+            z[:, j] = rng.permutation(z[:, j])
+            drops.append(r2(x) - r2(z))
+        want.append((np.mean(drops), 5 * np.std(drops) / 4000**0.5))
+    got = regress.permutation_importance(m, own, coef, intercept)
+    assert all(abs(g - w) <= e for g, (w, e) in zip(got, want, strict=True))
+
+
+def test_nested_screening_tests_each_block_once_with_the_best_setting(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=200)
+    rows = pd.DataFrame({"a": a, "y": 2 * a + 0.1 * rng.normal(size=200), "block": [f"b{k % 12:02d}" for k in range(200)], "g": "x"})
+    frame = spark.createDataFrame(rows)
+    folds = regress.group_folds(frame, 5)
+    out = regress.nested_screening(regress.block_moments(frame, "y", ["a"], ["g", "block"]), folds, "y", ["a"], ["g"], alphas=(0.001, 1.0), l1_ratios=(0.5,)).toPandas()
+    assert sorted(out["repeat"]) == list(range(5)) and (out["alpha"] == 0.001).all() and (out["test_r2"] > 0.99).all()
+    one_se = regress.repeated_elastic_net(regress.block_moments(frame, "y", ["a"], ["g", "block"]), regress.group_shuffles(frame, 3), "y", ["a"], ["g"], alphas=(0.001, 1.0), l1_ratios=(0.5,)).toPandas()
+    assert (one_se["importance"] > 1).all()
+
+
+def test_overfit_guard(spark):
+    rows = spark.createDataFrame([(2, 0.5, 0.45), (8, 0.9, 0.6), (4, 0.55, 0.5)], "depth int, train_r2 double, test_r2 double")
+    assert regress.overfit_guard(rows).first().depth == 4
+    with pytest.raises(ValueError):
+        regress.overfit_guard(rows.where("depth = 8"))
