@@ -13,7 +13,7 @@ sync, a missing table or a bad CRC raise; lost or repeated packets are counted i
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -152,13 +152,19 @@ def read_stream(media: bytes) -> dict:
     return {"payload": b"".join(parts), "program": program, "pmt_pid": pmt_pid, "stream_pid": stream_pid, "continuity_errors": int((steps != 1).sum()), "units": units}
 
 
+def _by_slices(batch: pa.Array, f: Callable, kind: pa.DataType, rows: int = 128) -> pa.Array:
+    """f of each value; only a slice's values are Python objects at a time."""
+    made = [pa.array([f(x) for x in batch.slice(a, rows).to_pylist()], kind) for a in range(0, len(batch), rows)]
+    return pa.concat_arrays(made or [pa.array([], kind)])
+
+
 def mux(data: Column) -> Column:
     """binary: the transport stream of a binary column."""
 
     @arrow_udf("binary")
     def streams(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([stream(padded(x or b"")) for x in batch.to_pylist()], pa.binary())
+            yield _by_slices(batch, lambda x: stream(padded(x or b"")), pa.binary())
 
     return streams(data)
 
@@ -169,7 +175,7 @@ def demux(media: Column) -> Column:
     @arrow_udf(DEMUXED)
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([None if x is None else read_stream(x) for x in batch.to_pylist()], _DEMUXED)
+            yield _by_slices(batch, lambda x: None if x is None else read_stream(x), _DEMUXED)
 
     return read(media)
 
