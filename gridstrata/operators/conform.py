@@ -20,6 +20,23 @@ def by_rank(df: DataFrame, reference: DataFrame, keys: list[str], order: list[st
     return ranked.drop(*[c for c in take if c in ranked.columns]).join(reference.select("rank", *take), "rank").drop("rank")
 
 
+def by_axis(df: DataFrame, reference: DataFrame, keys: list[str], axis: str) -> DataFrame:
+    """B2. As by_rank for an axis that many rows share: only its distinct values are ranked. reference: rank, axis."""
+    own = df.select(*keys, axis).distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(axis)))
+    to = own.join(reference.select("rank", F.col(axis).alias("_to")), "rank").drop("rank")
+    return df.join(to, [*keys, axis]).withColumn(axis, F.col("_to")).drop("_to")
+
+
+def merge_tables(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """A1, B2. The outer merge of tables whose keys are unique, one shuffle for all of them; the first known value of a column that several have counts."""
+    values = list(dict.fromkeys(c for t in tables for c in t.columns if c not in keys))
+    union = None
+    for i, t in enumerate(tables):
+        part = t.select(*keys, *[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(c).alias("x"))).alias(c) for c in t.columns if c not in keys])
+        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
+    return union.groupBy(*keys).agg(*[F.min(c).alias(c) for c in values]).select(*keys, *[F.col(f"{c}.x").alias(c) for c in values])
+
+
 def slice_months(df: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
     """B4."""
     at = F.col("year") * 12 + F.col("month")
@@ -112,6 +129,27 @@ def regrid_nearest(df: DataFrame, target: DataFrame, values: list[str], keys: li
     return out.select(*keys, F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), *values)
 
 
+def _bracket(df: DataFrame, target: DataFrame, axis: str, wrap: bool) -> DataFrame:
+    """to_<axis>, <axis>, w_<axis>: the source coordinates around each target coordinate, with their weights."""
+    to, places = F.col(f"to_{axis}"), F.array(*[F.col(axis) + k for k in ((-360.0, 0.0, 360.0) if wrap else (0.0,))])
+    source = df.select(axis).distinct().select(axis, F.explode(places).alias("x"))
+    pairs = target.select(F.col(axis).alias(f"to_{axis}")).distinct().crossJoin(F.broadcast(source))  # axes of a grid, not rows
+    at = F.struct("x", axis)
+    ends = pairs.groupBy(f"to_{axis}").agg(F.max(F.when(F.col("x") <= to, at)).alias("lo"), F.min(F.when(F.col("x") >= to, at)).alias("hi")).where("lo is not null and hi is not null")
+    share = F.when(F.col("hi.x") > F.col("lo.x"), (to - F.col("lo.x")) / (F.col("hi.x") - F.col("lo.x"))).otherwise(0.0)
+    sides = [F.struct(F.col(f"{end}.{axis}").alias(axis), w.alias(f"w_{axis}")) for end, w in (("lo", 1 - share), ("hi", share))]
+    return ends.select(f"to_{axis}", F.inline(F.array(*sides))).where(F.col(f"w_{axis}") > 0)
+
+
+def regrid_bilinear(df: DataFrame, target: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """B11. Linear in latitude and, modulo 360, in longitude; target: lat, lon. NULL where one of the neighbours with a weight is
+    missing; latitudes beyond the source's go."""
+    both = df.join(F.broadcast(_bracket(df, target, "lat", False)), "lat").join(F.broadcast(_bracket(df, target, "lon", True)), "lon")
+    w = F.col("w_lat") * F.col("w_lon")
+    mean = lambda v: F.when(F.sum(F.when(F.col(v).isNotNull(), w)) >= 1 - 1e-9, F.sum(F.col(v) * w))
+    return both.groupBy(*keys, "to_lat", "to_lon").agg(*[mean(v).alias(v) for v in values]).withColumnsRenamed({"to_lat": "lat", "to_lon": "lon"})
+
+
 def apply_landmask(df: DataFrame, mask: DataFrame, values: list[str]) -> DataFrame:
     """B12. mask: lat, lon, landseamask (1 or NULL)."""
     return df.join(mask, ["lat", "lon"]).withColumns({v: F.col(v) * F.col("landseamask") for v in values}).drop("landseamask")
@@ -134,7 +172,10 @@ def region_of(cells: DataFrame, rings: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), n - 1), F.lit(0),
         lambda acc, i: acc + F.when(_crosses(F.get("ring", i), F.get("ring", (i + 1) % n)), 1).otherwise(0),
     )
-    return cells.select("lat", "lon").distinct().join(F.broadcast(rings), F.lit(True)).where(crossings % 2 == 1).select("lat", "lon", "region")
+    end = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
+    boxes = rings.select("region", "ring", *[end(f, axis).alias(f"_{n}_{axis}") for axis in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    near = F.col("lat").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("lon").between(F.col("_lo_lon"), F.col("_hi_lon"))
+    return cells.select("lat", "lon").distinct().join(F.broadcast(boxes), near).where(crossings % 2 == 1).select("lat", "lon", "region")
 
 
 def _crosses(a: Column, b: Column) -> Column:

@@ -124,6 +124,23 @@ def change(df: DataFrame, values: list[str], base: str, relative: tuple[str, ...
     return a.join(b, list(by)).select(F.concat("period", F.lit(f"-{base}")).alias("period"), *by, *[c.alias(v) for v, c in out.items()])
 
 
+def with_changes(df: DataFrame, values: list[str], base: str, relative: tuple[str, ...] = (), by: tuple[str, ...] = ("model", *CELL)) -> DataFrame:
+    """G3, G4. df's keys and values, and the rows of change(), from one pass: a key has one row a period, so its window is small."""
+    key, at = Window.partitionBy(*by), F.col("period") == base
+    rows = df.select(*by, "period", *values, F.bool_or(at).over(key).alias("_base"), *[F.max(F.when(at, F.col(v))).over(key).alias(f"_{v}") for v in values])
+    diff = lambda v: F.col(v) - F.col(f"_{v}")
+    out = [(100 * diff(v) / F.when(F.col(f"_{v}") != 0, F.col(f"_{v}")) if v in relative or v == "mrso" else diff(v)).alias(v) for v in values]
+    changed = F.when(~at & F.col("_base"), F.struct(F.concat("period", F.lit(f"-{base}")).alias("period"), *out))
+    return rows.select(*by, F.inline(F.array_compact(F.array(F.struct("period", *values), changed))))
+
+
+def with_ensemble(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """G1, G3. Rows of kind `member`, and of kind `mean` their mean as model `ensemble mean`; by: keys but for the model, which has few rows each."""
+    member = F.struct("model", *values, F.lit("member").alias("kind"))
+    mean = F.struct(F.lit("ensemble mean").alias("model"), *[F.avg(v).alias(v) for v in values], F.lit("mean").alias("kind"))
+    return df.groupBy(*by).agg(F.collect_list(member).alias("_rows"), mean.alias("_mean")).select(*by, F.inline(F.concat("_rows", F.array("_mean"))))
+
+
 def relative_change(df: DataFrame, values: list[str], base: str, eps: float = 1e-12) -> DataFrame:
     """G6. Changes in percent of the base where its size exceeds eps, and their mean over models as model `ensemble mean`; a variable that isn't there raises."""
     if missing := [v for v in values if v not in df.columns]:
@@ -140,16 +157,37 @@ def combine(base: DataFrame, drivers: DataFrame, keys: list[str], skip: tuple[st
     return own.join(drivers, keys)
 
 
-def driver_product(df: DataFrame, periods: DataFrame, base: str, values: list[str], seasonal: list[str], mask: DataFrame) -> DataFrame:
-    """G13. Period means and seasonality by model, masked, with changes; then the mean over models, by period and cell."""
+def period_summary(df: DataFrame, periods: DataFrame, values: list[str], seasonal: list[str]) -> DataFrame:
+    """E3, E12. <value>_mean and <value>_seasonality by period, model and cell, from one scan."""
     hit = df.join(F.broadcast(periods), (df["experiment"] == periods["experiment"]) & df["year"].between(periods["y0"], periods["y1"])).drop(periods["experiment"])
     keys = ["period", "model", *CELL]
     months = hit.groupBy(*keys, "month").agg(*[x for v in values for x in (F.sum(v).alias(f"s_{v}"), F.count(v).alias(f"n_{v}"))], *[F.avg(v).alias(f"m_{v}") for v in seasonal])
     mean = lambda v: F.sum(f"s_{v}") / F.nullif(F.sum(f"n_{v}"), F.lit(0))
-    both = months.groupBy(*keys).agg(*[mean(v).alias(f"{v}_mean") for v in values], *[F.stddev_pop(f"m_{v}").alias(f"{v}_seasonality") for v in seasonal])
+    return months.groupBy(*keys).agg(*[mean(v).alias(f"{v}_mean") for v in values], *[F.stddev_pop(f"m_{v}").alias(f"{v}_seasonality") for v in seasonal])
+
+
+def driver_product(df: DataFrame, periods: DataFrame, base: str, values: list[str], seasonal: list[str], mask: DataFrame) -> DataFrame:
+    """G13. Period means and seasonality by model, masked, with changes; then the mean over models, by period and cell."""
+    both = period_summary(df, periods, values, seasonal)
     own = [*[f"{v}_mean" for v in values], *[f"{v}_seasonality" for v in seasonal]]
-    kept = apply_mask(both, mask, own).select(*keys, *own)
-    return ensemble(kept.unionByName(change(kept, own, base)), own, ["period", *CELL])
+    kept = apply_mask(both, mask, own).select("period", "model", *CELL, *own)
+    return ensemble(with_changes(kept, own, base), own, ["period", *CELL])
+
+
+def selected_driver_product(df: DataFrame, land: DataFrame, periods: DataFrame, base: str, values: list[str], seasonal: list[str]) -> DataFrame:
+    """G14. Drivers, bgws and land use of the models that have all of them in all periods, within those models' own mask: members
+    and means, with changes. land: period, model, lat, lon and land-use columns; values hold pr, tran and mrro."""
+    uses = [c for c in land.columns if c not in ("period", "model", *CELL)]
+    both = partition_metrics(period_summary(df, periods, values, seasonal), ["tran"], "mean").join(land, ["period", "model", *CELL], "left")
+    own = [*[f"{v}_mean" for v in values], *[f"{v}_seasonality" for v in seasonal], "bgws_tran", *uses]
+    full = common_models(both, own).withColumn("_in", in_mask(base, suffix="_mean"))
+    kept = full.select("period", "model", *CELL, *[F.when(F.col("_in"), F.col(v)).alias(v) for v in own])
+    return with_ensemble(with_changes(kept, own, base), own, ["period", *CELL])
+
+
+def subset_ensembles(df: DataFrame, values: list[str], by: list[str], members: DataFrame) -> DataFrame:
+    """G17. Means over each named set of models. members: ensemble, model; a model may be in several."""
+    return df.join(members.select("ensemble", "model").distinct(), "model").groupBy("ensemble", *by).agg(*[F.avg(v).alias(v) for v in values])
 
 
 def monthly_product(df: DataFrame, periods: DataFrame, base: str, values: list[str], mask: DataFrame) -> DataFrame:
@@ -157,7 +195,7 @@ def monthly_product(df: DataFrame, periods: DataFrame, base: str, values: list[s
     hit = df.join(F.broadcast(periods), (df["experiment"] == periods["experiment"]) & df["year"].between(periods["y0"], periods["y1"])).drop(periods["experiment"])
     clim = partition_metrics(stats(hit, values, ["mean"], ["period", "model", *CELL, "month"], "_clim"), ["tran"], "clim")
     kept = apply_mask(clim, mask, ["bgws_tran"]).select("period", "model", *CELL, "month", "bgws_tran")
-    return ensemble(kept.unionByName(change(kept, ["bgws_tran"], base, by=("model", *CELL, "month"))), ["bgws_tran"], ["period", *CELL, "month"])
+    return ensemble(with_changes(kept, ["bgws_tran"], base, by=("model", *CELL, "month")), ["bgws_tran"], ["period", *CELL, "month"])
 
 
 def sustain_lulcc(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
@@ -184,6 +222,14 @@ def hydro_mask(df: DataFrame, thresholds: dict[str, float] = THRESHOLDS, suffix:
     return means.where(" and ".join(f"{v} > {t}" for v, t in thresholds.items())).select(*CELL)
 
 
+def in_mask(base: str, thresholds: dict[str, float] = THRESHOLDS, suffix: str = "") -> Column:
+    """G7. As hydro_mask, for the rows of period means themselves: whether the cell's ensemble means of the base exceed all thresholds."""
+    cell, out = Window.partitionBy(*CELL), F.lit(True)
+    for v, least in thresholds.items():
+        out = out & (F.avg(F.when(F.col("period") == base, F.col(v + suffix))).over(cell) > least)
+    return F.coalesce(out, F.lit(False))
+
+
 def apply_mask(df: DataFrame, mask: DataFrame, values: list[str]) -> DataFrame:
     """G8. Values outside the mask become NULL; cells stay. mask: one row a cell."""
     return df.join(mask.withColumn("_in", F.lit(True)), CELL, "left").withColumns({v: F.when(F.col("_in"), F.col(v)) for v in values}).drop("_in")
@@ -191,8 +237,8 @@ def apply_mask(df: DataFrame, mask: DataFrame, values: list[str]) -> DataFrame:
 
 def common_models(df: DataFrame, values: list[str]) -> DataFrame:
     """G10. Rows of the models that have all values in all periods."""
-    have = df.groupBy("model", "period").agg(*[F.count(v).alias(v) for v in values]).where(" and ".join(f"{v} > 0" for v in values))
-    full = have.groupBy("model").agg(F.count_distinct("period").alias("n")).join(df.agg(F.count_distinct("period").alias("n")), "n")
+    have = df.groupBy("model", "period").agg(*[F.count(v).alias(v) for v in values])  # a few rows
+    full = have.where(" and ".join(f"{v} > 0" for v in values)).groupBy("model").agg(F.count("*").alias("n")).join(have.agg(F.count_distinct("period").alias("n")), "n")
     return df.join(full.select("model"), "model", "left_semi")
 
 
@@ -204,14 +250,12 @@ def partition_metrics(df: DataFrame, terms: list[str], suffix: str) -> DataFrame
 
 
 def period_product(df: DataFrame, periods: DataFrame, base: str, values: list[str]) -> DataFrame:
-    """G12. Period means, partition metrics, hydrological mask, ensemble mean, changes and their ensemble mean: one lazy plan."""
+    """G12. Period means, partition metrics, hydrological mask, changes, and ensemble means of both: one scan of the panel, then
+    windows over cells that hold a row for each model and period."""
     means = partition_metrics(period_stats(df, periods, values, ["mean"]), ["tran"], "mean")
-    mask = hydro_mask(means.where(F.col("period") == base), suffix="_mean")
     own = [f"{v}_mean" for v in values] + ["bgws_tran"]
-    kept = apply_mask(means, mask, own).select("period", "model", *CELL, *own)
-    both = kept.unionByName(change(kept, own, base))
-    mean = ensemble(both, own, ["period", *CELL]).withColumn("model", F.lit("ensemble mean"))
-    return both.withColumn("kind", F.lit("member")).unionByName(mean.withColumn("kind", F.lit("mean")))
+    kept = means.withColumn("_in", in_mask(base, suffix="_mean")).select("period", "model", *CELL, *[F.when(F.col("_in"), F.col(v)).alias(v) for v in own])
+    return with_ensemble(with_changes(kept, own, base), own, ["period", *CELL])
 
 
 def budget_series(df: DataFrame, by: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstrata.functions.columns import share, weight
 from gridstrata.operators.panel import CELL
+from gridstrata.operators.series import quantiles, stacked
 
 
 def area() -> Column:
@@ -26,11 +27,11 @@ def subdivide(df: DataFrame, base: DataFrame, label: str = "regime") -> DataFram
 
 
 def sign_agreement(df: DataFrame, value: str, least_share: float = 0.8, least_valid: float = 0.75) -> DataFrame:
-    """H3, H5. By cell: shares of all models with a positive or negative value, valid models, and whether they agree."""
+    """H3, H5. By cell: shares of all models with a positive or negative value, valid models, the mean, and whether they agree."""
     x = F.col(value)
     out = df.groupBy(*CELL).agg(
         F.avg(F.when(x > 0, 1.0).otherwise(0.0)).alias("positive"), F.avg(F.when(x < 0, 1.0).otherwise(0.0)).alias("negative"),
-        F.sum(F.when(x != 0, 1).otherwise(0)).alias("n_valid"), F.count("*").alias("n"),
+        F.sum(F.when(x != 0, 1).otherwise(0)).alias("n_valid"), F.count("*").alias("n"), F.avg(x).alias("mean"),
     )
     majority = F.greatest("positive", "negative")
     return out.withColumns({"majority": majority, "confident": (majority >= least_share) & (F.col("n_valid") >= F.ceil(least_valid * F.col("n")))})
@@ -72,9 +73,10 @@ def quadrant_areas(df: DataFrame, q: str = "quadrant", low: str = "low") -> Data
 
 def magnitude_bins(df: DataFrame, a: str, b: str, q: Column) -> DataFrame:
     """H11. Joint magnitude on the scale of 90th percentiles, in three bins at its terciles, and the class quadrant * 3 + bin."""
-    ninety = df.agg(*[F.percentile(F.abs(c), F.lit(0.9)).alias(f"p_{c}") for c in (a, b)])
+    ninety = quantiles(stacked(df, {c: F.abs(c) for c in (a, b)}), "x", (0.9,), ("variable",))
+    ninety = ninety.agg(*[F.max(F.when(F.col("variable") == c, F.col("q")[0])).alias(f"p_{c}") for c in (a, b)])
     joint = df.crossJoin(F.broadcast(ninety)).withColumn("joint", F.greatest(F.abs(a) / F.col(f"p_{a}"), F.abs(b) / F.col(f"p_{b}"))).drop(f"p_{a}", f"p_{b}")  # one row
-    cuts = joint.agg(F.percentile("joint", F.array(F.lit(0.3333), F.lit(0.6667))).alias("cuts"))
+    cuts = quantiles(joint, "joint", (0.3333, 0.6667)).withColumnRenamed("q", "cuts")
     m = F.when(F.col("joint") <= F.col("cuts")[0], 0).when(F.col("joint") <= F.col("cuts")[1], 1).when(F.col("joint").isNotNull(), 2)
     return joint.crossJoin(F.broadcast(cuts)).withColumns({"magnitude": m, "class": q * 3 + m}).drop("cuts")
 
@@ -84,13 +86,12 @@ def change_category(base: Column, change: Column) -> Column:
     return F.when((base < 0) & (change < 0), "Greener").when((base < 0) & (change > 0), "Less green").when((base > 0) & (change < 0), "Less blue").when((base > 0) & (change > 0), "Bluer")
 
 
-def areas(df: DataFrame, label: Column, by: list[str] | None = None) -> DataFrame:
-    """F11, H12, H14, H19. Area of each label in percent of all labelled area, by key."""
+def areas(df: DataFrame, label: Column, by: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """F11, H12, H14, H19. Area of each label in percent of all labelled area, by key; count: a column for the number of rows."""
     keys = by or []
-    parts = df.withColumn("label", label).where("label is not null").groupBy(*keys, "label").agg(F.sum(area()).alias("w"))
-    total = parts.groupBy(*keys).agg(F.sum("w").alias("all"))
-    both = parts.join(total, keys) if keys else parts.crossJoin(F.broadcast(total))  # one row
-    return both.select(*keys, "label", (100 * F.col("w") / F.col("all")).alias("percent"))
+    parts = df.withColumn("label", label).where("label is not null").groupBy(*keys, "label").agg(F.sum(area()).alias("w"), F.count("*").alias("_n"))
+    whole = F.sum("w").over(Window.partitionBy(*keys))  # a row for each label
+    return parts.select(*keys, "label", *([F.col("_n").alias(count)] if count else []), (100 * F.col("w") / whole).alias("percent"))
 
 
 def flips(df: DataFrame, base: str, future: str, by: list[str]) -> DataFrame:
@@ -124,9 +125,7 @@ def increase_decrease(change: Column, least: float = 0.0) -> tuple[Column, Colum
 
 def confidence_classes(df: DataFrame, value: str) -> DataFrame:
     """H19, H20. By cell: 1 confident and positive, 2 confident and negative, 3 masked; with the agreement's columns."""
-    mean = df.groupBy(*CELL).agg(F.avg(value).alias("mean"))
-    both = sign_agreement(df, value).join(mean, CELL)
-    return both.withColumn("class", F.when(~F.col("confident"), 3).when(F.col("mean") > 0, 1).when(F.col("mean") < 0, 2).otherwise(3))
+    return sign_agreement(df, value).withColumn("class", F.when(~F.col("confident"), 3).when(F.col("mean") > 0, 1).when(F.col("mean") < 0, 2).otherwise(3))
 
 
 def three_way(a: Column, b: Column, c: Column, eps: float = 0.0) -> Column:

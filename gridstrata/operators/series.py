@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def detrend(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
@@ -19,17 +22,43 @@ def deseasonalise(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.withColumn("anomaly", F.col(value) - F.avg(value).over(Window.partitionBy(*keys, "month")))
 
 
+def _inversions(ranks: np.ndarray) -> int:
+    """Pairs in which the larger of two ranks comes first: counted at each bit, from the highest, among ranks equal above it."""
+    total = 0
+    for bit in reversed(range(int(ranks.max()).bit_length())):
+        one, above = ranks >> bit & 1, ranks >> (bit + 1)
+        ones = np.concatenate([[0], np.cumsum(one)])
+        before = ones[1:] - ones[np.searchsorted(above, above)]
+        total += int(before[one == 0].sum())
+        ranks = ranks[np.argsort(ranks >> bit, kind="stable")]
+    return total
+
+
+def tau_b(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Kendall's tau-b of two arrays, n log n; None with fewer than two values, or where one side is constant."""
+    x, y = (np.unique(c, return_inverse=True)[1].reshape(-1) for c in (a, b))
+    if len(x) < 2:
+        return None
+    tied = lambda ranks: int(sum(n * (n - 1) // 2 for n in np.unique(ranks, return_counts=True)[1].tolist()))
+    pairs, tx, ty, both = len(x) * (len(x) - 1) // 2, tied(x), tied(y), tied(x * (int(y.max()) + 1) + y)
+    if pairs in (tx, ty):
+        return None
+    return (pairs - tx - ty + both - 2 * _inversions(y[np.lexsort((y, x))])) / (float(pairs - tx) * float(pairs - ty)) ** 0.5
+
+
 def kendall(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """I3. Kendall's tau-b of each cell over complete pairs; NULL with fewer than two, or where one side is constant.
 
-    Pairs are compared within a cell: its series has a bounded length (months of a period).
+    A cell's series is an array of bounded length (months of a period); Arrow hands batches of them to numpy, which counts
+    discordant pairs in n log n.
     """
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("s"))
-    sign = lambda x, y, f: F.signum(x[f] - y[f]).cast("double")
-    pair = lambda x, y: F.struct((sign(x, y, "a") * sign(x, y, "b")).alias("c"), F.abs(sign(x, y, "a")).alias("a"), F.abs(sign(x, y, "b")).alias("b"))
-    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", F.lit(1), i), lambda y: pair(x, y))))
-    total = lambda f: F.aggregate("p", F.lit(0.0), lambda acc, p: acc + p[f])
-    return rows.select(*keys, pairs.alias("p")).select(*keys, (total("c") / F.nullif(F.sqrt(total("a") * total("b")), F.lit(0.0))).alias("tau"))
+
+    def tau(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([tau_b(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    series = [F.collect_list(F.col(c).cast("double")).alias(n) for c, n in ((a, "_a"), (b, "_b"))]
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(*series)
+    return rows.select(*keys, F.nanvl(F.pandas_udf(tau, DoubleType())("_a", "_b"), F.lit(None)).alias("tau"))
 
 
 def eli(df: DataFrame, soil: str, energy: str, et: str, keys: list[str]) -> DataFrame:
@@ -50,19 +79,52 @@ def pearson_and_bias(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     )
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+#: Buckets that a key's values are cut into where ranks are counted.
+BUCKETS = 64
+
+
+def value_ranks(df: DataFrame, value: str, by: list[str], times: Column | None = None) -> DataFrame:
+    """The distinct values of each key (not NULL), with n (how often), before (rows with smaller ones) and total.
+
+    Values are counted, cut into buckets by approximate quantiles, and summed up within buckets from the bucket's start, so
+    that no task holds all values of a key. Where the cuts lie has no effect on the result. times: rows that a row stands for.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.lit(1) if times is None else times).alias("n"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)]), F.lit(1000)).alias("_cuts"))
+    located = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # one row
+    located = located.withColumn("_k", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    key = Window.partitionBy(*by)  # a row for each bucket
+    starts = located.groupBy(*by, "_k").agg(F.sum("n").alias("_n"))
+    starts = starts.select(*by, "_k", (F.sum("_n").over(key.orderBy("_k")) - F.col("_n")).alias("_start"), F.sum("_n").over(key).alias("total"))
+    within = F.sum("n").over(Window.partitionBy(*by, "_k").orderBy(value)) - F.col("n")
+    return located.join(starts, [*by, "_k"]).select(*by, value, "n", (F.col("_start") + within).alias("before"), "total")
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, q: exact quantiles of the values that are known, interpolated between neighbours, as an array; no key, one row."""
+    ranks = value_ranks(df, value, list(by))
+    place = [F.lit(p) * (F.col("total") - 1) for p in shares]
+    at = lambda x: F.max(F.when((F.col("before") <= x) & (x < F.col("before") + F.col("n")), F.col(value)))
+    ends = ranks.groupBy(*by).agg(F.max("total").alias("total"), *[e for i, x in enumerate(place) for e in (at(F.floor(x)).alias(f"_lo{i}"), at(F.ceil(x)).alias(f"_hi{i}"))])
+    return ends.select(*by, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (x - F.floor(x)) for i, x in enumerate(place)]).alias("q"))
+
+
+def stacked(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """variable, x: a row for each of the named values of a row."""
+    rows = F.array(*[F.struct(F.lit(n).alias("variable"), c.cast("double").alias("x")) for n, c in values.items()])
+    return df.select(F.inline(rows))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str], weight: Column | None = None) -> DataFrame:
-    """I7, I8. Correlation of average ranks over rows where both are known, optionally weighted."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    w = F.lit(1.0) if weight is None else weight
-    r = rows.withColumns({"_x": average_rank(a, by), "_y": average_rank(b, by), "_w": w})
+    """I7, I8. Correlation of average ranks over rows where both are known, optionally weighted; keys aren't NULL."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_w", F.lit(1.0) if weight is None else weight)
+    joint = rows.groupBy(*by, a, b).agg(F.count("*").alias("_n"), F.sum("_w").alias("_w"))
+    rank = lambda c, name: value_ranks(joint, c, by, F.col("_n")).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    r = joint.join(rank(a, "_x"), [*by, a]).join(rank(b, "_y"), [*by, b])
     mean = lambda x: F.sum(x * F.col("_w")) / F.sum("_w")
     x, y = F.col("_x"), F.col("_y")
     cov, vx, vy = mean(x * y) - mean(x) * mean(y), mean(x * x) - mean(x) * mean(x), mean(y * y) - mean(y) * mean(y)
-    return r.groupBy(*by).agg((cov / F.nullif(F.sqrt(F.greatest(vx * vy, F.lit(0.0))), F.lit(0.0))).alias("rho"), F.count("*").alias("n"))
+    return r.groupBy(*by).agg((cov / F.nullif(F.sqrt(F.greatest(vx * vy, F.lit(0.0))), F.lit(0.0))).alias("rho"), F.sum("_n").alias("n"))
 
 
 def density(df: DataFrame, a: str, b: str, bins: int = 70, low: float = 0.08, high: float = 0.85) -> DataFrame:
@@ -77,7 +139,7 @@ def density(df: DataFrame, a: str, b: str, bins: int = 70, low: float = 0.08, hi
 
 def robust_limits(df: DataFrame, value: str) -> DataFrame:
     """I10. Percentiles 2.5 and 97.5, zero included, padded by 4 %."""
-    p = df.agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("p")).select(F.least(F.col("p")[0], F.lit(0.0)).alias("lo"), F.greatest(F.col("p")[1], F.lit(0.0)).alias("hi"))
+    p = quantiles(df, value, (0.025, 0.975)).select(F.least(F.col("q")[0], F.lit(0.0)).alias("lo"), F.greatest(F.col("q")[1], F.lit(0.0)).alias("hi"))
     return p.select((F.col("lo") - 0.04 * (F.col("hi") - F.col("lo"))).alias("lo"), (F.col("hi") + 0.04 * (F.col("hi") - F.col("lo"))).alias("hi"))
 
 
@@ -104,7 +166,7 @@ def pairwise(df: DataFrame, values: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, values: list[str]) -> DataFrame:
     """I14, I15. Count, mean, deviation, extremes and exact quartiles of each value."""
-    quarter = F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])
-    wide = df.agg(*[F.struct(F.lit(v).alias("variable"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.percentile(v, quarter).alias("q"), F.max(v).alias("max")).alias(v) for v in values])
-    rows = wide.select(F.explode(F.array(*values)).alias("x"))
-    return rows.select("x.variable", "x.n", "x.mean", "x.sd", "x.min", F.col("x.q")[0].alias("q25"), F.col("x.q")[1].alias("q50"), F.col("x.q")[2].alias("q75"), "x.max")
+    wide = df.agg(*[F.struct(F.lit(v).alias("variable"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")).alias(v) for v in values])
+    rows = wide.select(F.inline(F.array(*values)))
+    quarters = quantiles(stacked(df, {v: F.col(v) for v in values}), "x", (0.25, 0.5, 0.75), ("variable",))
+    return rows.join(quarters, "variable", "left").select("variable", "n", "mean", "sd", "min", *[F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)], "max")

@@ -32,6 +32,15 @@ def _(v, spark):
     return catalog.panel_scan(spark, path, ["pr", "tran", "no_such_variable"], ["historical"], ["M0", "M1"])
 
 
+@query("a1_outer_merge", f"SELECT {K6}, pr, tran FROM (SELECT {K6}, pr FROM panel_month WHERE model IN ('M0', 'M1')) FULL JOIN (SELECT {K6}, tran FROM panel_month WHERE model IN ('M1', 'M2')) USING ({K6})", "pr tran")
+def _(v, spark):
+    """Variables in tables of their own, and one that isn't there."""
+    paths = {c: catalog.shared_folder(spark, c) for c in ("pr", "tran", "lai")}
+    for c, models in (("pr", ["M0", "M1"]), ("tran", ["M1", "M2"])):
+        catalog.panel_write(v("panel_month").where(F.col("model").isin(models)).select(*_KEYS, c), paths[c])
+    return catalog.variables_scan(spark, paths, ["historical", "ssp370"])
+
+
 @add_cte("a10_load_or_compute", R._MEANS, "SELECT period, model, lat, lon, CAST(CAST(pr_mean AS FLOAT) AS DOUBLE) AS pr_mean FROM means", "pr_mean")
 def _(v, spark):
     path = catalog.shared_folder(spark, "result")
@@ -53,10 +62,21 @@ query("b1_drop_redundant", f"SELECT {K6}, pr, tran, gpp FROM panel_month", "pr t
 query("b19_remove_variables", f"SELECT {K6}, tas FROM panel_month", "tas")(lambda v, s: conform.drop_redundant(v("panel_month"), ["mrro", "evspsbl", "lai", "mrsos", "pr", "tran", "gpp", "huss", "ps"]))
 add_cte("b2_conform_axis_by_rank", "r AS (SELECT lat + 0.25 AS lat, dense_rank() OVER (ORDER BY lat) AS rank FROM (SELECT DISTINCT lat FROM panel_month)), p AS (SELECT *, dense_rank() OVER (PARTITION BY model ORDER BY lat) AS rank FROM panel_month)",
         "SELECT model, r.lat, lon, year, month, pr FROM p JOIN r ON p.rank = r.rank", "lat pr")(
-    lambda v, s: conform.by_rank(v("panel_month").select("model", *CELL, "year", "month", "pr"), _axis(v), ["model"], ["lat"], ["lat"])
+    lambda v, s: conform.by_axis(v("panel_month").select("model", *CELL, "year", "month", "pr"), _axis(v), ["model"], "lat")
 )
 
 
+query("b2_merge_tables", "SELECT model, lat, lon, year, month, pr, CASE WHEN month <= 6 THEN lai END AS lai FROM panel_month", "pr lai")(
+    lambda v, s: _merged(v("panel_month").select("model", *CELL, "year", "month", "pr"), v("panel_month").where("month <= 6").select("model", (F.col("lat") + 0.25).alias("lat"), "lon", "year", "month", "lai"), _axis(v))
+)
+
+
+def _merged(first: DataFrame, second: DataFrame, axis: DataFrame) -> DataFrame:
+    """The second table takes the first's latitudes by position; then both are merged."""
+    moved = conform.by_axis(second, axis.withColumn("lat", F.col("lat") - 0.25), ["model"], "lat")
+    return conform.merge_tables([first, moved], ["model", *CELL, "year", "month"])
+
+
 def _axis(v) -> DataFrame:
     """The latitudes of the grid, by rank: a few rows."""
     lats = v("panel_month").select("lat").distinct().agg(F.sort_array(F.collect_list("lat")).alias("lats"))
@@ -85,6 +105,10 @@ add_cte("b11_regrid_nearest", """g AS (SELECT model, lat, lon, avg(pr) AS pr FRO
         "SELECT model, CAST(y.t AS DOUBLE) AS lat, CAST(z.t AS DOUBLE) AS lon, pr FROM g JOIN y ON g.lat = y.lat JOIN z ON g.lon = z.lon", "pr")(
     lambda v, s: conform.regrid_nearest(history(v).groupBy("model", *CELL).agg(F.avg("pr").alias("pr")), s.range(16).select((-45.0 + 30 * (F.col("id") % 4)).alias("lat"), (-120.0 + 90 * F.floor(F.col("id") / 4)).alias("lon")), ["pr"], ["model"])
 )
+_SIDES = ", ".join(f"(SELECT CAST(t AS DOUBLE) AS t, ({lo} + {step} * floor((t - ({lo})) / {step}) + {step} * k {wrap}) AS s, CASE k WHEN 0 THEN 1 - (t - ({lo})) / {step} + floor((t - ({lo})) / {step}) ELSE (t - ({lo})) / {step} - floor((t - ({lo})) / {step}) END AS w FROM (VALUES {ts}) a(t), (VALUES (0), (1)) b(k)) {n}" for n, lo, step, ts, wrap in (("y", -50.5, 20, "(-45.0), (-15.0), (15.0), (45.0)", ""), ("z", -135.5, 90, "(-120.0), (-30.0), (60.0), (150.0)", "- CASE WHEN -135.5 + 90 * floor((t + 135.5) / 90) + 90 * k > 180 THEN 360 ELSE 0 END")))
+query("b11_regrid_bilinear", f"SELECT model, y.t AS lat, z.t AS lon, CASE WHEN sum(CASE WHEN pr IS NOT NULL THEN y.w * z.w END) >= 1 - 1e-9 THEN sum(pr * y.w * z.w) END AS pr FROM (SELECT model, lat, lon, avg(pr) AS pr FROM panel_month WHERE experiment = 'historical' GROUP BY ALL) g, {_SIDES} WHERE g.lat = y.s AND g.lon = z.s GROUP BY model, y.t, z.t", "pr")(
+    lambda v, s: conform.regrid_bilinear(history(v).groupBy("model", *CELL).agg(F.avg("pr").alias("pr")), s.range(16).select((-45.0 + 30 * (F.col("id") % 4)).alias("lat"), (-120.0 + 90 * F.floor(F.col("id") / 4)).alias("lon")), ["pr"], ["model"])
+)
 query("b13_remove_antarctica", "SELECT cell, lat - 20 AS lat, bgws FROM change_frame WHERE lat - 20 > -60", "bgws")(lambda v, s: conform.remove_antarctica(v("change_frame").withColumn("lat", F.col("lat") - 20)).select("cell", "lat", "bgws"))
 query("b15_cell_region", "SELECT DISTINCT lat, lon, CASE WHEN lon < 0 THEN 'box' ELSE 'peak' END AS region FROM panel_month WHERE (lon > -160 AND lon < -20 AND lat > -60 AND lat < 0) OR (lat > -60 AND lon > 80 * (lat + 60) / 140 AND lon < 160 - 80 * (lat + 60) / 140)")(
     lambda v, s: conform.region_of(v("panel_month"), s.createDataFrame([("box", [(-160.0, -60.0), (-20.0, -60.0), (-20.0, 0.0), (-160.0, 0.0)]), ("peak", [(0.0, -60.0), (160.0, -60.0), (80.0, 80.0)])], "region string, ring array<struct<lon:double,lat:double>>"))
@@ -179,9 +203,9 @@ add_cte("f8_regional_drivers", "y AS (SELECT model, lat, lon, year, avg(tas) AS
 # --- ensemble and change ---
 def far(v, spark) -> DataFrame:
     """model, lat, lon, base, future, x, y: bgws of both ends, and the changes of bgws and pr."""
-    m = means(v, spark)
-    of = lambda p, bgws, pr: m.where(F.col("period") == p).select("model", *CELL, F.col("bgws_tran").alias(bgws), F.col("pr_mean").alias(pr))
-    both = of("hist", "base", "_p0").join(of("far", "future", "_p1"), ["model", *CELL])
+    of = lambda p, c, name: F.max(F.when(F.col("period") == p, F.col(c))).alias(name)
+    ends = [of(p, c, n) for p, c, n in (("hist", "bgws_tran", "base"), ("far", "bgws_tran", "future"), ("hist", "pr_mean", "_p0"), ("far", "pr_mean", "_p1"))]
+    both = means(v, spark).where("period in ('hist', 'far')").groupBy("model", *CELL).agg(F.count("*").alias("_n"), *ends).where("_n = 2")
     return both.select("model", *CELL, "base", "future", (F.col("future") - F.col("base")).alias("x"), (F.col("_p1") - F.col("_p0")).alias("y"))
 
 
@@ -215,6 +239,23 @@ add_cte("g13_driver_period_stats", R._MEANS + f", {_HIT}, d AS (SELECT period, m
         "SELECT period, lat, lon, " + ", ".join(f"avg({c}) AS {c}" for c in _OWN) + " FROM u GROUP BY period, lat, lon", " ".join(_OWN))(
     lambda v, s: panel.driver_product(panel.to_celsius(v("panel_month")), periods(s), "hist", ["tas", "lai"], ["pr"], hydro(v, s))
 )
+_SELECTED = ("pr_mean", "lai_mean", "pr_seasonality", "bgws_tran", "forest", "cropland")
+add_cte("g14_selected_driver_product", f"{_HIT}, d AS (SELECT period, model, lat, lon, avg(pr) AS pr_mean, avg(tran) AS tran_mean, avg(mrro) AS mrro_mean, avg(lai) AS lai_mean FROM hit WHERE model IN ('M0', 'M1') GROUP BY ALL), se AS (SELECT period, model, lat, lon, stddev_pop(m) AS pr_seasonality FROM (SELECT period, model, lat, lon, month, avg(pr) AS m FROM hit GROUP BY ALL) GROUP BY ALL), "
+        f"lu AS (SELECT period, lat, lon, avg(primf + secdf) * 100 AS forest, avg(c3ann + c4ann + c3per + c4per + c3nfx) * 100 AS cropland FROM landuse_year l JOIN {R._PERIODS_SQL} ON l.experiment = periods.experiment AND l.year BETWEEN y0 AND y1 GROUP BY period, lat, lon), "
+        "b AS (SELECT *, least(greatest((mrro_mean - tran_mean) / (CASE WHEN pr_mean > 1e-12 THEN pr_mean END) * 100, -100), 100) AS bgws_tran FROM d JOIN se USING (period, model, lat, lon) LEFT JOIN lu USING (period, lat, lon)), msk AS (SELECT lat, lon FROM b WHERE period = 'hist' GROUP BY ALL HAVING avg(pr_mean) > 0.822 AND avg(tran_mean) > 0.05 AND avg(mrro_mean) > 0.05), "
+        "k AS (SELECT period, model, b.lat, b.lon, " + ", ".join(f"CASE WHEN msk.lat IS NOT NULL THEN {c} END AS {c}" for c in _SELECTED) + " FROM b LEFT JOIN msk ON msk.lat = b.lat AND msk.lon = b.lon), "
+        "u AS (SELECT * FROM k UNION ALL SELECT a.period || '-hist', model, lat, lon, " + ", ".join(f"a.{c} - h.{c}" for c in _SELECTED) + " FROM k a JOIN k h USING (model, lat, lon) WHERE a.period <> 'hist' AND h.period = 'hist')",
+        "SELECT *, 'member' AS kind FROM u UNION ALL SELECT period, 'ensemble mean', lat, lon, " + ", ".join(f"avg({c})" for c in _SELECTED) + ", 'mean' FROM u GROUP BY period, lat, lon", " ".join(_SELECTED))(
+    lambda v, s: panel.selected_driver_product(v("panel_month"), _land_of_models(v, s), periods(s), "hist", ["pr", "tran", "mrro", "lai"], ["pr"]).select("period", "model", *CELL, *_SELECTED, "kind")
+)
+
+
+def _land_of_models(v, spark) -> DataFrame:
+    """Land use by period and cell, for two of the three models."""
+    models = spark.createDataFrame([("M0",), ("M1",)], "model string")
+    return _land_use_means(v, spark).drop("model").crossJoin(F.broadcast(models)).select("period", "model", *CELL, "forest", "cropland")  # two rows
+
+
 add_cte("g15_monthly_product", R._MEANS + f", {_HIT}, c AS (SELECT period, model, lat, lon, month, least(greatest((avg(mrro) - avg(tran)) / CASE WHEN avg(pr) > 1e-12 THEN avg(pr) END * 100, -100), 100) AS bgws_tran FROM hit GROUP BY ALL), k AS (SELECT period, model, c.lat, c.lon, month, CASE WHEN msk.lat IS NOT NULL THEN bgws_tran END AS bgws_tran FROM c LEFT JOIN msk ON msk.lat = c.lat AND msk.lon = c.lon), "
         "u AS (SELECT * FROM k UNION ALL SELECT a.period || '-hist', model, lat, lon, month, a.bgws_tran - h.bgws_tran FROM k a JOIN k h USING (model, lat, lon, month) WHERE a.period <> 'hist' AND h.period = 'hist')",
         "SELECT period, lat, lon, month, avg(bgws_tran) AS bgws_tran FROM u GROUP BY ALL", "bgws_tran")(
@@ -229,10 +270,32 @@ add_cte("g17_land_use_change", f"p AS (SELECT period, lat, lon, {', '.join(f'avg
 )
 
 
-def _land_use_change(v, spark) -> DataFrame:
+def _land_use_means(v, spark) -> DataFrame:
     states = [c for names in panel.LAND_USE.values() for c in names]
     mean = panel.period_stats(v("landuse_year").withColumn("model", F.lit("LUH2")), periods(spark), states, ["mean"]).withColumnsRenamed({f"{c}_mean": c for c in states})
-    return panel.change(panel.land_use(mean), ["forest", "cropland"], "hist", by=tuple(CELL))
+    return panel.land_use(mean)
+
+
+def _land_use_change(v, spark) -> DataFrame:
+    return panel.change(_land_use_means(v, spark), ["forest", "cropland"], "hist", by=tuple(CELL))
+
+
+_SETS = [("3 models", "M0"), ("3 models", "M1"), ("3 models", "M2"), ("2 core models", "M0"), ("2 core models", "M1"), ("1 added model", "M2")]
+add_cte("g17_subset_ensembles", R._PRODUCT + f", sets(ensemble, model) AS (VALUES {', '.join(map(repr, _SETS))})", "SELECT ensemble, period, lat, lon, avg(bgws_tran) AS bgws_tran FROM ch JOIN sets USING (model) GROUP BY ensemble, period, lat, lon", "bgws_tran")(
+    lambda v, s: panel.subset_ensembles(R.product(v, s).where("kind = 'member' and period like '%-hist'"), ["bgws_tran"], ["period", *CELL], s.createDataFrame(_SETS, "ensemble string, model string"))
+)
+_FOUR = ("ssp126", "ssp126-ssp370Lu", "ssp370-ssp126Lu", "ssp370")
+_SEASON = "CASE WHEN month IN (12, 1, 2) THEN 'DJF' WHEN month <= 5 THEN 'MAM' WHEN month <= 8 THEN 'JJA' ELSE 'SON' END"
+add_cte("g17_sustain_seasonal", f"e AS (SELECT {_LULCC} AS experiment, model, lat, lon, {_SEASON} AS season, least(greatest((avg(mrro) - avg(tran)) / (CASE WHEN avg(pr) > 1e-12 THEN avg(pr) END) * 100, -100), 100) AS x FROM panel_month GROUP BY ALL), p AS (SELECT model, lat, lon, season, " + ", ".join(f"max(CASE WHEN experiment = '{e}' THEN x END) AS x{i}" for i, e in enumerate(_FOUR)) + " FROM e GROUP BY ALL), m AS (SELECT model, lat, lon, season, 0.5 * (x0 - x1) + 0.5 * (x2 - x3) AS bgws_tran FROM p)",
+        "SELECT *, 'member' AS kind FROM m UNION ALL SELECT 'ensemble mean', lat, lon, season, avg(bgws_tran), 'mean' FROM m GROUP BY lat, lon, season", "bgws_tran")(
+    lambda v, s: _sustain_seasonal(v("panel_month").withColumn("experiment", F.expr(_LULCC)))
+)
+
+
+def _sustain_seasonal(df: DataFrame) -> DataFrame:
+    clim = panel.stats(panel.with_season(df), ["pr", "tran", "mrro"], ["mean"], ["experiment", "model", *CELL, "season"], "")
+    effect = panel.sustain_lulcc(panel.partition_metrics(clim, ["tran"], ""), ["bgws_tran"], ["model", *CELL, "season"])
+    return panel.with_ensemble(effect, ["bgws_tran"], [*CELL, "season"])
 
 
 # --- regimes and agreement ---
@@ -279,7 +342,7 @@ add_cte("h19_confidence_classes", _X + _CONF + ", k AS (SELECT lat, CAST(CASE WH
 
 
 def _class_table(df: DataFrame) -> DataFrame:
-    return regimes.areas(df, F.col("class")).join(df.groupBy("class").agg(F.count("*").alias("n")).withColumnRenamed("class", "label"), "label").select(F.col("label").alias("class"), "n", "percent")
+    return regimes.areas(df, F.col("class"), count="n").select(F.col("label").alias("class"), "n", "percent")
 
 
 add_cte("h20_retained_fraction", _X + _CONF + ", " + _BASE, "SELECT regime, avg(CASE WHEN confident THEN 1.0 ELSE 0 END) AS retained, median(n_valid) AS n_valid FROM c JOIN base USING (lat, lon) WHERE regime IS NOT NULL GROUP BY regime", "retained n_valid")(

@@ -67,8 +67,7 @@ def means(v, spark) -> DataFrame:
 
 
 def masked(v, spark) -> DataFrame:
-    m = means(v, spark)
-    return m.join(panel.hydro_mask(m.where("period = 'hist'"), suffix="_mean"), CELL, "left_semi")
+    return means(v, spark).withColumn("_in", panel.in_mask("hist", suffix="_mean")).where("_in").drop("_in")
 
 
 def product(v, spark) -> DataFrame:
@@ -310,14 +309,19 @@ query("h14_three_way", "SELECT cell, CASE WHEN p = 3 THEN 1 WHEN n = 3 THEN 2 WH
 query("h15_limitation_regime", 'SELECT cell, CASE WHEN -a >= -b AND -a >= c THEN 1 WHEN -b >= c THEN 2 ELSE 3 END AS "limit" FROM (SELECT cell, (pr - avg(pr) OVER ()) / stddev_pop(pr) OVER () AS a, (price - avg(price) OVER ()) / stddev_pop(price) OVER () AS b, (size - avg(size) OVER ()) / stddev_pop(size) OVER () AS c FROM change_frame)')(
     lambda v, s: regimes.limitation_regime(v("change_frame"), "pr", "price", "size").select("cell", "limit")
 )
-add_cte("h16_flips", _MEANS, f"SELECT a.model, 100 * sum(CASE WHEN h.bgws_tran > 0 AND a.bgws_tran < 0 THEN cos(radians(a.lat)) ELSE 0 END) / sum(cos(radians(a.lat))) AS pos_to_neg, 100 * sum(CASE WHEN h.bgws_tran < 0 AND a.bgws_tran > 0 THEN cos(radians(a.lat)) ELSE 0 END) / sum(cos(radians(a.lat))) AS neg_to_pos FROM b a JOIN b h ON h.period = 'hist' AND a.period = 'far' AND a.model = h.model AND a.lat = h.lat AND a.lon = h.lon GROUP BY a.model", "pos_to_neg neg_to_pos")(
+_FLIPS = f"SELECT a.model, 100 * sum(CASE WHEN h.bgws_tran > 0 AND a.bgws_tran < 0 THEN cos(radians(a.lat)) ELSE 0 END) / sum(cos(radians(a.lat))) AS pos_to_neg, 100 * sum(CASE WHEN h.bgws_tran < 0 AND a.bgws_tran > 0 THEN cos(radians(a.lat)) ELSE 0 END) / sum(cos(radians(a.lat))) AS neg_to_pos FROM b a JOIN b h ON h.period = 'hist' AND a.period = 'far' AND a.model = h.model AND a.lat = h.lat AND a.lon = h.lon GROUP BY a.model"
+add_cte("h16_flips", _MEANS, _FLIPS, "pos_to_neg neg_to_pos")(
     lambda v, s: regimes.flips(_hist_far(means(v, s)), "hist", "far", ["model"])
 )
+add_cte("h16_flip_spread", _MEANS, "SELECT " + ", ".join(f"avg({c}) AS {c}, 1.96 * stddev_samp({c}) / sqrt(count({c})) AS {c}_half" for c in ("pos_to_neg", "neg_to_pos")) + f" FROM ({_FLIPS})", "pos_to_neg neg_to_pos pos_to_neg_half neg_to_pos_half")(
+    lambda v, s: regimes.flip_spread(regimes.flips(_hist_far(means(v, s)), "hist", "far", ["model"]))
+)
 
 
 def _hist_far(m: DataFrame) -> DataFrame:
-    p = lambda name: m.where(F.col("period") == name).select("model", *CELL, F.col("bgws_tran").alias(name))
-    return p("hist").join(p("far"), ["model", *CELL])
+    p = lambda name: F.max(F.when(F.col("period") == name, F.col("bgws_tran"))).alias(name)
+    both = m.where("period in ('hist', 'far')").groupBy("model", *CELL).agg(F.count("*").alias("_n"), p("hist"), p("far"))
+    return both.where("_n = 2").drop("_n")
 
 
 # --- series and correlation ---

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridstrata.operators.conform import merge_tables
+
 KEYS = ["experiment", "model", "lat", "lon", "year", "month"]
 
 
@@ -19,6 +21,12 @@ def panel_scan(spark: SparkSession, path: str, variables: list[str], experiments
     return df.select(*[c for c in [*KEYS, *variables] if c in df.columns])
 
 
+def variables_scan(spark: SparkSession, paths: dict[str, str], experiments: list[str], models: list[str] | None = None) -> DataFrame:
+    """A1. As panel_scan for variables stored apart, merged by outer join of KEYS; a path that isn't there is left out, and at least one must be."""
+    there = {v: p for v, p in paths.items() if _exists(spark, p)}
+    return merge_tables([panel_scan(spark, p, [v], experiments, models) for v, p in there.items()], KEYS)
+
+
 def models_with_all(catalog: DataFrame, required: list[tuple[str, str]], experiments: list[str]) -> DataFrame:
     """A2. source_id of models that have every (variable, table) in every experiment."""
     wanted = F.struct("variable_id", "table_id").isin([F.struct(F.lit(v), F.lit(t)) for v, t in required]) & F.col("experiment_id").isin(experiments)
@@ -73,10 +81,14 @@ def panel_write(df: DataFrame, path: str) -> None:
     df.write.partitionBy("experiment", "model").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_or_compute(spark: SparkSession, path: str, compute, partition: list[str]) -> DataFrame:
     """A10. A stored result, or compute() stored with its doubles as floats."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    if not _exists(spark, f"{path}/_SUCCESS"):
         df = compute()
         df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double" and c not in KEYS}).write.partitionBy(*partition).parquet(path)
     return spark.read.parquet(path)
@@ -101,4 +113,5 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def csv_export(df: DataFrame, path: str) -> None:
     """A11. A result table (models by variables) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    # a shuffle, so that what comes before keeps its tasks
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)

@@ -178,3 +178,57 @@ def test_overfit_guard(spark):
     assert regress.overfit_guard(rows).first().depth == 4
     with pytest.raises(ValueError):
         regress.overfit_guard(rows.where("depth = 8"))
+
+
+def test_tau_b_is_that_of_pairs():
+    rng = np.random.default_rng(7)
+    for n, top in ((2, 2), (9, 3), (60, 8), (200, 1000)):
+        for _ in range(10):
+            a, b = rng.integers(0, top, n).astype(float), rng.integers(0, top, n).astype(float)
+            da, db = (np.sign(x[:, None] - x[None, :]) for x in (a, b))
+            size = np.sqrt((da**2).sum() * (db**2).sum())
+            got = series.tau_b(a, b)
+            assert got is None if size == 0 else abs(got - (da * db).sum() / size) < 1e-12
+    assert series.tau_b(np.array([1.0]), np.array([2.0])) is None
+
+
+def test_quantiles_and_ranks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(x)) for k, n, top in (("a", 700, 40), ("b", 1, 5), ("c", 300, 10**6)) for x in rng.integers(-top, top, n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    shares = (0.0, 0.025, 0.3333, 0.5, 0.9, 1.0)
+    got = {r.k: r.q for r in series.quantiles(df, "x", shares, ("k",)).collect()}
+    for k in "abc":
+        assert np.allclose(got[k], np.quantile([x for c, x in rows if c == k and x is not None], shares))
+    assert "d" not in got and series.quantiles(df.where("x is null"), "x", (0.5,)).first().q == [None]
+    for r in series.value_ranks(df, "x", ["k"]).collect():
+        own = [x for c, x in rows if c == r.k and x is not None]
+        assert (r.n, r.before, r.total) == (own.count(r.x), sum(x < r.x for x in own), len(own))
+
+
+def test_changes_and_ensembles_in_one_pass(spark):
+    rows = [("hist", "A", 1.0, 2.0, 4.0), ("far", "A", 1.0, 2.0, 5.0), ("near", "A", 1.0, 2.0, None), ("far", "B", 1.0, 2.0, 9.0), ("hist", "C", 1.0, 2.0, 0.0), ("far", "C", 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "period string, model string, lat double, lon double, x double")
+    for relative in ((), ("x",)):
+        want = df.unionByName(panel.change(df, ["x"], "hist", relative))
+        got = panel.with_changes(df, ["x"], "hist", relative)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    both = panel.with_ensemble(df, ["x"], ["period", "lat", "lon"]).where("kind = 'mean'").collect()
+    assert {(r.period, r.model, r.x) for r in both} == {("hist", "ensemble mean", 2.0), ("far", "ensemble mean", 17 / 3), ("near", "ensemble mean", None)}
+
+
+def test_merged_tables_keep_all_keys(spark):
+    a = spark.createDataFrame([(1, 1.0, None), (2, None, 5.0)], "k int, x double, y double")
+    b = spark.createDataFrame([(2, 7.0, 6.0), (3, 8.0, 9.0)], "k int, z double, y double")
+    got = conform.merge_tables([a, b], ["k"]).orderBy("k").collect()
+    assert [(r.k, r.x, r.y, r.z) for r in got] == [(1, 1.0, None, None), (2, None, 5.0, 7.0), (3, None, 9.0, 8.0)]
+
+
+def test_bilinear_needs_its_neighbours(spark):
+    rows = [(y, x, y + 10 * np.cos(np.radians(x))) for y in (-10.0, 0.0, 10.0) for x in (-180.0, -90.0, 0.0, 90.0)]
+    df = spark.createDataFrame([(lat, lon, None if (lat, lon) == (10.0, 0.0) else float(v)) for lat, lon, v in rows], "lat double, lon double, x double").withColumn("m", F.lit("A"))
+    target = spark.createDataFrame([(lat, lon) for lat in (-20.0, -5.0, 0.0, 5.0) for lon in (-180.0, -45.0, 135.0)], "lat double, lon double")
+    got = {(r.lat, r.lon): r.x for r in conform.regrid_bilinear(df, target, ["x"], ["m"]).collect()}
+    of = {-180.0: -10.0, -45.0: 5.0, 135.0: -5.0}
+    want = {(lat, lon): None if (lat, lon) == (5.0, -45.0) else lat + w for lat in (-5.0, 0.0, 5.0) for lon, w in of.items()}
+    assert got.keys() == want.keys() and all(got[k] == w if w is None else abs(got[k] - w) < 1e-9 for k, w in want.items())
