@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame) -> Callable[[str], str]:
+    """Names for columns of our own, with so many underscores before them that no column of df begins alike."""
+    before = "_"
+    while any(c.startswith(before) for c in df.columns):
+        before += "_"
+    return lambda name: before + name
+
+
 def hashed_share(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

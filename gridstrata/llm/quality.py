@@ -4,7 +4,8 @@ measured() adds the base counts of each text. cleaned() drops lines that fail a
 rule, then rejects documents that lose too much text. Everything is computed within a row: there is no shuffle, so
 neither a hot source nor a group of copies matters.
 
-Null text counts as empty: no words, base_failed. Columns of a document that have the names added here are replaced.
+Null text counts as empty: no words, base_failed. Columns of a document that have the names added here, in
+either case, are replaced; others stay, whatever their names.
 Words repeat as exact strings: the five-word windows of a text are sorted only where a window occurs twice.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstrata.llm.common import SPACE, WORD, words
+from gridstrata.llm.common import SPACE, WORD, free_names, words
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -55,27 +56,27 @@ def _has_word(line: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns BASE."""
-    own = docs.columns
-    keep = [F.col(f"`{c}`") for c in own if c not in BASE]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in BASE]
+    own = free_names(docs)
     t = F.coalesce(F.col(text), F.lit(""))
     # one projection a step, so that each array is made once and read by position
-    step = docs.select("*", words(F.col(text)).alias("_words"), F.filter(F.split(t, "\n"), _has_word).alias("_lines"))
-    n = F.size("_words")
-    window = lambda i: F.concat_ws(" ", *[F.get(F.col("_words"), i + k) for k in range(WINDOW)])
-    step = step.withColumn("_windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<string>")))
-    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    step = step.withColumn("_sorted", F.when(again, F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
-    at = lambda i: F.get(F.col("_sorted"), i)["w"]
+    step = docs.select("*", words(F.col(text)).alias(own("words")), F.filter(F.split(t, "\n"), _has_word).alias(own("lines")))
+    n = F.size(own("words"))
+    window = lambda i: F.concat_ws(" ", *[F.get(F.col(own("words")), i + k) for k in range(WINDOW)])
+    step = step.withColumn(own("windows"), F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<string>")))
+    again = F.size(F.array_distinct(own("windows"))) < F.size(own("windows"))
+    step = step.withColumn(own("sorted"), F.when(again, F.sort_array(F.transform(own("windows"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+    at = lambda i: F.get(F.col(own("sorted")), i)["w"]
     twice = lambda x, i: F.when(F.coalesce((at(i - 1) == x["w"]) | (at(i + 1) == x["w"]), at(i - 1) == x["w"], at(i + 1) == x["w"], F.lit(False)), x["i"])
-    step = step.withColumn("_places", F.sort_array(F.filter(F.transform("_sorted", twice), lambda p: p.isNotNull())))
-    covered = F.transform("_places", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_places"), i + 1) - p, F.lit(WINDOW))))
+    step = step.withColumn(own("places"), F.sort_array(F.filter(F.transform(own("sorted"), twice), lambda p: p.isNotNull())))
+    covered = F.transform(own("places"), lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(own("places")), i + 1) - p, F.lit(WINDOW))))
     total = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
     step = step.select(
         *keep,
         n.cast("long").alias("n_words"),
-        total(F.transform("_words", F.length)).alias("word_chars"),
+        total(F.transform(own("words"), F.length)).alias("word_chars"),
         _only(t, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(own("lines")) - F.size(F.array_distinct(own("lines")))).cast("long").alias("n_dup_lines"),
         F.when(_here(), F.coalesce(total(covered), F.lit(0)).cast("long")).alias("n_repeat_words"),
     )
     return step.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
@@ -93,17 +94,18 @@ def line_fails(line: Column) -> Column:
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with BASE, n_lines_failed, cleaned (the text without failed lines), and kept."""
+    own = free_names(docs)
     base = measured(docs, text)
-    base = base.withColumn("_split", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    base = base.withColumn(own("split"), F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     # a line without any mark, separator or phrase can't fail: most texts stop here
     suspect = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(f"[{_class(MARKS + SEPARATORS)}]|" + "|".join(PHRASES))
-    base = base.withColumn("_bad", F.when(suspect, F.transform("_split", line_fails)).otherwise(F.array_repeat(F.lit(False), F.size("_split"))))
-    left = F.array_join(F.filter("_split", lambda _, i: ~F.get(F.col("_bad"), i)), "\n")
-    base = base.withColumn("n_lines_failed", F.size(F.filter("_bad", lambda x: x)).cast("long")).withColumn("cleaned", F.when(F.col("n_lines_failed") > 0, left).otherwise(F.col(text)))
+    base = base.withColumn(own("bad"), F.when(suspect, F.transform(own("split"), line_fails)).otherwise(F.array_repeat(F.lit(False), F.size(own("split")))))
+    left = F.array_join(F.filter(own("split"), lambda _, i: ~F.get(F.col(own("bad")), i)), "\n")
+    base = base.withColumn("n_lines_failed", F.size(F.filter(own("bad"), lambda x: x)).cast("long")).withColumn("cleaned", F.when(F.col("n_lines_failed") > 0, left).otherwise(F.col(text)))
     chars = F.aggregate(F.split(F.coalesce(F.col("cleaned"), F.lit("")), SPACE + "+"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     # words hold all characters that aren't white space
     lost = F.when(F.col("n_lines_failed") > 0, 100 * (F.col("word_chars") - chars) > MOST_LOST * F.col("word_chars")).otherwise(F.lit(False))
-    return base.withColumn("kept", _here() & ~F.col("base_failed") & ~lost).drop("_split", "_bad")
+    return base.withColumn("kept", _here() & ~F.col("base_failed") & ~lost).drop(own("split"), own("bad"))
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:

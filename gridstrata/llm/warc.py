@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes after which a task begins another archive, and bytes that a reader takes at once.
-ARCHIVE_BYTES, BLOCK_BYTES = 64 << 20, 1 << 20
+#: Bytes after which a task begins another archive, that a reader takes at once, and that it decompresses at once.
+ARCHIVE_BYTES, BLOCK_BYTES, PIECE_BYTES = 64 << 20, 1 << 20, 16 << 10
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -57,16 +57,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def members(source) -> Iterator[bytes]:
-    """The decompressed gzip members of a stream, one at a time, from blocks of BLOCK_BYTES."""
-    data, unpacker, parts = source.read(BLOCK_BYTES), None, []
+    """The decompressed gzip members of a stream, one at a time, from blocks of BLOCK_BYTES, of which the decompressor gets a
+    piece at a time: what it hands back after a member's end is short."""
+    data, at, unpacker, parts = source.read(BLOCK_BYTES), 0, None, []
     while data:
         unpacker = unpacker or zlib.decompressobj(31)
-        parts.append(unpacker.decompress(data))
-        data = unpacker.unused_data if unpacker.eof else b""
+        piece = data[at : at + PIECE_BYTES]
+        parts.append(unpacker.decompress(piece))
+        at += len(piece) - len(unpacker.unused_data)
         if unpacker.eof:
             yield b"".join(parts)
             unpacker, parts = None, []
-        data = data or source.read(BLOCK_BYTES)
+        if at == len(data):
+            data, at = source.read(BLOCK_BYTES), 0
     if unpacker is not None:
         raise EOFError("the archive ends within a record")
 

@@ -427,3 +427,26 @@ def test_redacted_leaves_nothing_of_a_key(spark):
     assert [got[k] for k in range(len(texts))] == list(texts.values())
     for r in secrets.scanned(made).join(made, "doc_id").collect():
         assert [tuple(s) for s in r.spans] == spans(r.text)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["_words", "_lines", "__windows", "_bad", "_split", "N_Words", "a.b"]
+    text = "one two three four five six seven eight nine ten eleven\nHome | News | Sport | Contact"
+    df = spark.createDataFrame([(1, text, *names), (2, None, *names)], ["doc_id", "text", *names])
+    out = quality.cleaned(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[d][n] == n for d in (1, 2) for n in names if n != "N_Words") and out.columns.count("n_words") == 1 and "N_Words" not in out.columns
+    assert got[1].n_words == 18 and got[1].n_lines_failed == 1 and got[1].kept and got[2].n_words == 0 and got[2].base_failed and not got[2].kept
+
+
+def test_small_records_are_read_in_linear_time():
+    import io
+    import time
+
+    raw = b"".join(warc.record(i, None, b"x" * (i % 50), None) for i in range(20_000))
+    start = time.process_time()
+    found = [warc.parse(m) for m in warc.members(io.BytesIO(raw))]
+    assert [r["page_id"] for r in found] == list(range(20_000)) and [r["payload_bytes"] for r in found] == [i % 50 for i in range(20_000)]
+    assert time.process_time() - start < 10
+    with pytest.raises(EOFError):
+        list(warc.members(io.BytesIO(raw[:-5])))
