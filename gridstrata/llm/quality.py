@@ -6,7 +6,7 @@ neither a hot source nor a group of copies matters.
 
 Null text counts as empty: no words, base_failed. Columns of a document that have the names added here, in
 either case, are replaced; others stay, whatever their names.
-Words repeat as exact strings: the five-word windows of a text are sorted only where a window occurs twice.
+Words repeat as exact strings: the five-word windows of a text are made and sorted only where two of their hashes are equal.
 """
 
 from __future__ import annotations
@@ -63,9 +63,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     step = docs.select("*", words(F.col(text)).alias(own("words")), F.filter(F.split(t, "\n"), _has_word).alias(own("lines")))
     n = F.size(own("words"))
     window = lambda i: F.concat_ws(" ", *[F.get(F.col(own("words")), i + k) for k in range(WINDOW)])
-    step = step.withColumn(own("windows"), F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<string>")))
-    again = F.size(F.array_distinct(own("windows"))) < F.size(own("windows"))
-    step = step.withColumn(own("sorted"), F.when(again, F.sort_array(F.transform(own("windows"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+    # hashes first: only a text in which two windows have one hash gets its windows as strings, to be compared as such
+    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(own("words"), i, WINDOW)))
+    step = step.withColumn(own("hashes"), F.when(n >= WINDOW, hashes).otherwise(F.array().cast("array<long>")))
+    again = F.size(F.array_distinct(own("hashes"))) < F.size(own("hashes"))
+    step = step.withColumn(own("windows"), F.when(again, F.transform(F.sequence(F.lit(0), n - WINDOW), window)))
+    step = step.withColumn(own("sorted"), F.sort_array(F.transform(own("windows"), lambda w, i: F.struct(w.alias("w"), i.alias("i")))))
     at = lambda i: F.get(F.col(own("sorted")), i)["w"]
     twice = lambda x, i: F.when(F.coalesce((at(i - 1) == x["w"]) | (at(i + 1) == x["w"]), at(i - 1) == x["w"], at(i + 1) == x["w"], F.lit(False)), x["i"])
     step = step.withColumn(own("places"), F.sort_array(F.filter(F.transform(own("sorted"), twice), lambda p: p.isNotNull())))
@@ -98,7 +101,10 @@ def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     base = measured(docs, text)
     base = base.withColumn(own("split"), F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     # a line without any mark, separator or phrase can't fail: most texts stop here
-    suspect = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(f"[{_class(MARKS + SEPARATORS)}]|" + "|".join(PHRASES))
+    t = F.coalesce(F.col(text), F.lit(""))
+    suspect = t.rlike(f"[{_class(MARKS + SEPARATORS)}]")
+    for phrase in PHRASES:
+        suspect = suspect | F.lower(t).contains(phrase)
     base = base.withColumn(own("bad"), F.when(suspect, F.transform(own("split"), line_fails)).otherwise(F.array_repeat(F.lit(False), F.size(own("split")))))
     left = F.array_join(F.filter(own("split"), lambda _, i: ~F.get(F.col(own("bad")), i)), "\n")
     base = base.withColumn("n_lines_failed", F.size(F.filter(own("bad"), lambda x: x)).cast("long")).withColumn("cleaned", F.when(F.col("n_lines_failed") > 0, left).otherwise(F.col(text)))
