@@ -49,6 +49,18 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _lists(batch: pa.Array, ids_of) -> tuple[pa.Array, list]:
+    """The ids of each text as one flat array, as lists of Python numbers would take ten times the memory, and what else
+    ids_of(text), a generator of (ids, other), gives for each text's pieces."""
+    own, ends, others = [np.empty(0, np.int32)], [0], []
+    for t in batch:
+        found = [(np.array(ids, np.int32), other) for ids, other in ids_of(t.as_py() or "")]
+        own += [ids for ids, _ in found]
+        ends.append(ends[-1] + sum(len(ids) for ids, _ in found))
+        others.append([other for _, other in found])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own))), others
+
+
 def encode(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> Column:
     """array<int>: the ids of each text, without special tokens."""
 
@@ -56,13 +68,7 @@ def encode(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            # flat arrays, as lists of Python numbers would take ten times the memory
-            own, ends = [np.empty(0, np.int32)], [0]
-            for t in batch:
-                found = [np.array(enc.encode_ordinary(piece), np.int32) for piece in pieces(t.as_py() or "", piece_chars)]
-                own += found
-                ends.append(ends[-1] + sum(map(len, found)))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
+            yield _lists(batch, lambda text: ((enc.encode_ordinary(piece), None) for piece in pieces(text, piece_chars)))[0]
 
     return ids(text)
 
@@ -79,7 +85,30 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     return raw(ids)
 
 
+def encode_and_decode(text: Column, rank_file: str, pattern: str, piece_chars: int = PIECE_CHARS) -> Column:
+    """struct<ids array<int>, decoded binary>: encode(), and decode() of its ids, in one worker with one encoder, so that ids
+    don't travel to a second one."""
+
+    @arrow_udf("struct<ids array<int>, decoded binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(rank_file, pattern)
+
+        def coded(text: str) -> Iterator[tuple[list[int], bytes]]:
+            for piece in pieces(text, piece_chars):
+                ids = enc.encode_ordinary(piece)
+                yield ids, enc.decode_bytes(ids)
+
+        for batch in batches:
+            ids, raw = _lists(batch, coded)
+            yield pa.StructArray.from_arrays([ids, pa.array([b"".join(parts) for parts in raw], pa.binary())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def with_tokens(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with the ids of its texts and what they decode to."""
-    encoded = docs.withColumn(ids, encode(F.col(text), rank_file, pattern))
-    return encoded.withColumn(decoded, decode(F.col(ids), rank_file, pattern))
+    """docs with the ids of its texts and what they decode to (columns of those names are replaced)."""
+    both = encode_and_decode(F.col(text), rank_file, pattern)
+    own = [c for c in docs.columns if c not in (ids, decoded)]
+    # own columns travel as one, so that their names don't matter
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), both.alias("both"))
+    return wide.select(*[F.col("row").getField(c).alias(c) for c in own], F.col("both.ids").alias(ids), F.col("both.decoded").alias(decoded))
