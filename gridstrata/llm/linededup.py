@@ -40,6 +40,12 @@ def _hash(k: Column) -> Column:
     return F.unhex(F.md5(k.cast("binary")))
 
 
+def _is_in(h: Column, run: Column, steps: Column) -> Column:
+    """Whether a sorted array, not empty, holds a hash, by halving. steps: the powers of two up to its size, falling."""
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(run, at + step - 1) <= h, F.lit(False)), at + step).otherwise(at))
+    return F.coalesce(F.get(run, at - 1) == h, F.lit(False))
+
+
 def line_table(docs: DataFrame, text: str, doc_id: str, least_chars: int, batches: int) -> DataFrame:
     """b, d, h: batch, doc_id and hash of each distinct key that is long enough; rows that share a doc_id count as one document."""
     ids = docs.select(F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"))
@@ -99,12 +105,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         runs.add(lines.where(F.col("b") == b).select("d", "h"))
     common = runs.all().where(F.col("n") >= least_docs).select("h", "keeper")
     # only lines that go are gathered by document; a hot line's rows are split by the adaptive skew join
-    gone = lines.join(common, "h").where("d < keeper").groupBy("d").agg(F.collect_set("h").alias("gone"))
+    gone = lines.join(common, "h").where("d < keeper").groupBy("d").agg(F.sort_array(F.collect_set("h")).alias("gone"))
+    gone = gone.withColumn("steps", F.transform(F.sequence(F.floor(F.log2(F.size("gone"))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i)))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     # the document's columns travel as one, so that their names don't matter
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("d"), _lines(F.col(text)).alias("lines"))
     wide = wide.join(gone, "d", "left")
-    stays = lambda line: ~F.coalesce(F.array_contains(F.col("gone"), _hash(key(line))), F.lit(False))
+    stays = lambda line: ~_is_in(_hash(key(line)), F.col("gone"), F.col("steps"))
     wide = wide.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
     return wide.select(
         *[F.col("row").getField(c).alias(c) for c in own],

@@ -450,3 +450,20 @@ def test_small_records_are_read_in_linear_time():
     assert time.process_time() - start < 10
     with pytest.raises(EOFError):
         list(warc.members(io.BytesIO(raw[:-5])))
+
+
+def test_halving_finds_what_a_sorted_run_holds(spark):
+    for n in (1, 2, 3, 4, 7, 8, 9):
+        held = sorted(bytes([7 * i, 200 - i]) for i in range(n))
+        asked = held + [b"", b"\0", bytes([3, 1]), b"\xff\xff"]
+        steps = [1 << i for i in range(n.bit_length() - 1, -1, -1)]
+        df = spark.createDataFrame([(h, held, steps) for h in asked], "h binary, run array<binary>, steps array<int>")
+        assert {(bytes(r.h), r.found) for r in df.select("h", linededup._is_in(F.col("h"), F.col("run"), F.col("steps")).alias("found")).collect()} == {(h, h in held) for h in asked}
+
+
+def test_a_text_with_many_dropped_lines(spark):
+    lines = [f"line {i} " + "x" * 40 for i in range(300)]
+    docs = [(d, "\n".join(lines + lines[:3] + [f"own {d}", ""])) for d in range(6)]
+    out = {r.doc_id: r for r in linededup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(out[d].n_lines, out[d].n_dropped) for d in range(6)] == [(305, 303)] * 5 + [(305, 0)]
+    assert all(out[d].kept_text == f"own {d}\n" for d in range(5)) and out[5].kept_text == docs[5][1]
