@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -209,48 +207,78 @@ def representative(df: DataFrame, by: list[str]) -> DataFrame:
     return df.join(mid, by).groupBy(*by).agg(F.min_by("repeat", F.struct(F.abs(F.col("r2") - F.col("mid")), F.col("repeat"))).alias("repeat"))
 
 
-def forest_repeats(df: DataFrame, splits: DataFrame, response: str, predictors: list[str], repeats: int, trees: int = 200, depth: int = 8, leaf: int = 5, share: float = 0.5, seed: int = 42) -> Iterator[tuple[int, float, float, dict[str, float]]]:
-    """J19 without permutation importance. For each repeat: R2 on training and test rows of blocks, and impurity importance; one MLlib job a repeat."""
-    from pyspark.ml.evaluation import RegressionEvaluator
+def _at_once(spark, job, settings: list, most: int) -> list:
+    """job(setting) of each setting, in their order; as many jobs run at once as `most` says."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(most) as pool:
+        return pool.map(inheritable_thread_target(spark)(job), settings, chunksize=1)
+
+
+def _forest_rows(df: DataFrame, splits: DataFrame, response: str, predictors: list[str]) -> DataFrame:
+    """The rows with features `_x` and the columns of splits, kept for many fits; lost parts are made again."""
     from pyspark.ml.feature import VectorAssembler
+
+    kept = VectorAssembler(inputCols=predictors, outputCol="_x").transform(df.join(F.broadcast(splits), "block"))  # splits: at most 324 rows a repeat
+    return kept.select("_x", response, *[c for c in splits.columns if c != "block"]).persist()
+
+
+def _fitted(train: DataFrame, test: DataFrame, response: str, trees: int, depth: int, leaf: int, share: float, seed: int):
+    """A forest, and its R2 on training and test rows."""
+    from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = VectorAssembler(inputCols=predictors, outputCol="_x").transform(df.join(F.broadcast(splits), "block"))
-    model = RandomForestRegressor(featuresCol="_x", labelCol=response, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=str(share), seed=seed)
+    model = RandomForestRegressor(featuresCol="_x", labelCol=response, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all" if share >= 1 else str(share), seed=seed).fit(train)
     score = RegressionEvaluator(labelCol=response, metricName="r2")
-    for r in range(repeats):
+    return model, score.evaluate(model.transform(train)), score.evaluate(model.transform(test))
+
+
+def forest_repeats(
+    df: DataFrame, splits: DataFrame, response: str, predictors: list[str], repeats: int = 12, trees: int = 200, depth: int = 8, leaf: int = 5, share: float = 0.5, seed: int = 42, at_once: int = 4
+) -> list[tuple[int, float, float, dict[str, float]]]:
+    """J19 without permutation importance. For each repeat: R2 on training and test rows of blocks, and impurity importance; one MLlib fit a repeat."""
+    rows = _forest_rows(df, splits, response, predictors)
+
+    def repeat(r: int) -> tuple[int, float, float, dict[str, float]]:
         train, test = (rows.where((F.col("repeat") == r) & (F.col("is_test") == t)) for t in (False, True))
-        fitted = model.fit(train)
-        yield r, score.evaluate(fitted.transform(train)), score.evaluate(fitted.transform(test)), dict(zip(predictors, fitted.featureImportances.toArray().tolist(), strict=True))
+        model, on_train, on_test = _fitted(train, test, response, trees, depth, leaf, share, seed)
+        return r, on_train, on_test, dict(zip(predictors, model.featureImportances.toArray().tolist(), strict=True))
+
+    try:
+        return _at_once(df.sparkSession, repeat, list(range(repeats)), at_once)
+    finally:
+        rows.unpersist()
 
 
-def forest_grid(df: DataFrame, folds: DataFrame, response: str, predictors: list[str], depths=(8, 16), leaves=(3, 5), shares=(0.5, 1.0), trees: int = 200, seed: int = 42) -> DataFrame:
-    """J18. depth, leaf, share, train_r2, test_r2: means over the folds of blocks. One MLlib job for each setting and fold; folds: block, fold."""
+def forest_grid(
+    df: DataFrame, folds: DataFrame, response: str, predictors: list[str], depths=(8, 16), leaves=(3, 5), shares=(0.5, 1.0), trees: int = 200, seed: int = 42, at_once: int = 4
+) -> DataFrame:
+    """J18. depth, leaf, share, train_r2, test_r2: means over the folds of blocks. One MLlib fit for each setting and fold; folds: block, fold."""
     from itertools import product
 
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+    rows = _forest_rows(df, folds, response, predictors)
+    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())  # a handful
+    settings = list(product(depths, leaves, shares))
+
+    def fold(job: tuple) -> tuple[float, float]:
+        (depth, leaf, share), k = job
+        return _fitted(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), response, trees, depth, leaf, share, seed)[1:]
 
-    rows = VectorAssembler(inputCols=predictors, outputCol="_x").transform(df.join(F.broadcast(folds), "block")).select("_x", response, "fold")
-    score, out = RegressionEvaluator(labelCol=response, metricName="r2"), []
-    numbers = [r[0] for r in folds.select("fold").distinct().collect()]  # a handful
-    for depth, leaf, share in product(depths, leaves, shares):
-        model = RandomForestRegressor(featuresCol="_x", labelCol=response, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all" if share >= 1 else str(share), seed=seed)
-        both = []
-        for k in numbers:
-            fitted = model.fit(rows.where(F.col("fold") != k))
-            both.append([score.evaluate(fitted.transform(rows.where(c))) for c in (F.col("fold") != k, F.col("fold") == k)])
-        train, test = np.mean(both, axis=0).tolist()
-        out.append((depth, leaf, float(share), train, test))
+    try:
+        scores = np.array(_at_once(df.sparkSession, fold, list(product(settings, numbers)), at_once)).reshape(len(settings), len(numbers), 2).mean(axis=1)
+    finally:
+        rows.unpersist()
+    out = [(depth, leaf, float(share), float(train), float(test)) for (depth, leaf, share), (train, test) in zip(settings, scores, strict=True)]
     return df.sparkSession.createDataFrame(out, "depth int, leaf int, share double, train_r2 double, test_r2 double")
 
 
-def shapley(model, rows: DataFrame, background: DataFrame, predictors: list[str], permutations: int = 20, most: int = 300, seed: int = 42) -> DataFrame:
+def shapley(model, rows: DataFrame, background: DataFrame, predictors: list[str], permutations: int = 20, most: int | None = 300, seed: int = 42) -> DataFrame:
     """J20. predictor, mean_abs: an estimate of each predictor's mean absolute contribution to a model's predictions.
 
     At most `most` rows, those whose ids have the smallest hashes, are explained (a bounded sample, as in the reference's
-    method). For each, predictors change from those of a background row to its own in the order of each permutation; a
+    method); all rows with None. For each, predictors change from those of a background row to its own in the order of each permutation; a
     predictor's contribution is the mean step of the prediction. rows, background: cell and the predictors; model: a
     fitted one with features `_x`.
     """
@@ -259,7 +287,8 @@ def shapley(model, rows: DataFrame, background: DataFrame, predictors: list[str]
     rng, k = np.random.RandomState(seed), len(predictors)
     orders = F.array(*[F.struct(F.lit(p).alias("p"), F.array(*[F.lit(int(i)) for i in rng.permutation(k)]).alias("order")) for p in range(permutations)])
     values, by_hash = F.array(*[F.col(c).cast("double") for c in predictors]), F.xxhash64("cell", F.lit(seed))
-    own = rows.orderBy(by_hash, "cell").limit(most).select("cell", values.alias("own"), F.explode(orders).alias("o")).select("cell", "own", "o.*")
+    explained = rows if most is None else rows.orderBy(by_hash, "cell").limit(most)
+    own = explained.select("cell", values.alias("own"), F.explode(orders).alias("o")).select("cell", "own", "o.*")
     other = background.orderBy(by_hash, "cell").limit(permutations).select(F.array_sort(F.collect_list(values).over(Window.partitionBy(F.lit(0)))).alias("all")).limit(1)
     other = other.select(F.posexplode("all").alias("p", "other"))  # at most one row a permutation
     steps = own.join(F.broadcast(other), "p").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))

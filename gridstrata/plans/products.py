@@ -388,7 +388,7 @@ query("j23_overfit_guard")(lambda v, s: regress.overfit_gaps(_grid(v)))
 @query("j19_forest_repeats")
 def _(v, spark):
     predictors = ["pr", "disc", "tax"]
-    found = regress.forest_repeats(_rows(v), regress.group_shuffles(_rows(v), 2), "bgws", predictors, 2, trees=8, depth=4)
+    found = regress.forest_repeats(_rows(v), regress.group_shuffles(_rows(v), 12), "bgws", predictors)
     out = [(r, train, test, train - test, p, weights[p]) for r, train, test, weights in found for p in predictors]
     return spark.createDataFrame(out, "repeat int, train_r2 double, test_r2 double, gap double, predictor string, importance double")
 
@@ -400,8 +400,8 @@ def _(v, spark):
 
     predictors = ["pr", "disc", "tax"]
     rows = VectorAssembler(inputCols=predictors, outputCol="_x").transform(_rows(v).join(F.broadcast(regress.group_shuffles(_rows(v), 1)), "block"))
-    model = RandomForestRegressor(featuresCol="_x", labelCol="bgws", numTrees=8, maxDepth=4, seed=42).fit(rows.where("not is_test"))
-    return regress.shapley(model, rows.where("is_test"), rows.where("not is_test"), predictors, 10)
+    model = RandomForestRegressor(featuresCol="_x", labelCol="bgws", numTrees=200, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="0.5", seed=42).fit(rows.where("not is_test"))
+    return regress.shapley(model, rows.where("is_test"), rows.where("not is_test"), predictors)
 
 
 def _variant(name: str, where: str) -> str:

@@ -27,3 +27,26 @@ def test_sets_are_compared_within_regimes(spark):
     fits = [(g, name, r, x + r, "pr", c) for g, name, x, c in [("negative", "a", 0.1, 0.0), ("negative", "b", 0.2, 1.0), ("positive", "a", 0.5, 2.0)] for r in range(2)]
     out = regress.compare_sets(spark.createDataFrame(fits, "regime string, set string, repeat int, test_r2 double, predictor string, coef double"), ["regime"]).collect()
     assert [(r.regime, r.set, round(r.mean_r2, 6), r.mean_selected) for r in out] == [("negative", "b", 0.7, 1.0), ("negative", "a", 0.6, 0.0), ("positive", "a", 1.0, 1.0)]
+
+
+def test_forests(spark, monkeypatch):
+    seen, whole = [], regress.forest_repeats
+
+    def small(*own, **grid):
+        seen.append((own[1].agg({"repeat": "max"}).first()[0] + 1, own[4:], grid))
+        return whole(*own[:4], repeats=3, trees=3, depth=2)
+
+    monkeypatch.setattr(regress, "forest_repeats", small)
+    rows = registry.QUERIES["j19_forest_repeats"](spark, DATA).collect()
+    assert seen == [(12, (), {})]  # every default of the operator
+    assert [(r.repeat, r.predictor) for r in rows] == [(k, p) for k in range(3) for p in ("pr", "disc", "tax")]
+
+
+def test_forests_find_the_predictor_that_counts(spark):
+    df = spark.createDataFrame([(i % 12, float(i % 10), float(i * 7 % 11), 3.0 * (i % 10)) for i in range(240)], "block int, a double, b double, y double")
+    folds = spark.createDataFrame([(b, b % 2) for b in range(12)], "block int, fold int")
+    splits = spark.createDataFrame([(r, b, b % 3 == r) for r in range(3) for b in range(12)], "repeat int, block int, is_test boolean")
+    found = regress.forest_repeats(df, splits, "y", ["a", "b"], repeats=3, trees=10, depth=5, share=1.0)
+    assert [r for r, *_ in found] == [0, 1, 2] and all(test > 0.8 and weights["a"] > 0.9 for _, _, test, weights in found)
+    grid = regress.forest_grid(df, folds, "y", ["a", "b"], depths=(1, 5), leaves=(1,), shares=(1.0,), trees=10).collect()
+    assert [(r.depth, r.leaf, r.share) for r in grid] == [(1, 1, 1.0), (5, 1, 1.0)] and grid[1].test_r2 > max(0.8, grid[0].test_r2)
