@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import bpe, hardneg, linededup, mpegts, ngramjoin, packing, ppm, quality, secrets, toxicity, warc
+from gridstrata.llm import bpe, hardneg, linededup, mpegts, ngramjoin, packing, phrases, ppm, quality, secrets, toxicity, warc
 from gridstrata.llm.common import hashed_share, shared_dir, table
 
 
@@ -89,11 +89,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return hardneg.mined(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op7_best_fit, op8_mpeg_ts, op9_language_id, op10_secret_scan, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op7_best_fit, op8_mpeg_ts, op9_language_id, op10_secret_scan, op11_collocations, op12_hard_negatives)}
 
-ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op6_quality_rules": quality.SQL, "op10_secret_scan": secrets.SQL, "op12_hard_negatives": hardneg.SQL}
+ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op6_quality_rules": quality.SQL, "op10_secret_scan": secrets.SQL, "op11_collocations": phrases.SQL, "op12_hard_negatives": hardneg.SQL}
