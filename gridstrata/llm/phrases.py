@@ -19,7 +19,8 @@ as often as they are there. An empty table, or one without a frequent phrase, gi
 
 from __future__ import annotations
 
-import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,26 +32,17 @@ from gridstrata.llm.common import drop, written
 
 MOST_WORDS = 4
 OVERLAP = MOST_WORDS - 1
-LEAST, SPREAD, TOP = 30, 12, 2000
+LEAST, SPREAD, TOP = 30, 24, 2000
 #: The size of the bitmap of frequent hashes: 8 MB.
 FILTER_BITS = 1 << 26
-_BATCH_WORDS, _MEMO_WORDS = 1 << 20, 1 << 20
+#: Bytes that are hashed at a time.
+_BLOCK = 1 << 22
 #: Piece ends become line feeds, tabs spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
-_MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
-
-
-class Hashes(dict):
-    """64-bit hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO_WORDS:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPACES = re.compile(rb" {2,}")
+#: An odd multiplier, its inverse modulo 2^64, and one more.
+_POWER = 0x9E3779B97F4A7C15
+_BACK, _MIX = pow(_POWER, -1, 1 << 64), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -62,60 +54,80 @@ def joint(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, by their first; the last n - 1 places don't have one."""
     out = h.copy()
     for k in range(1, n):
-        out[: len(h) - k] = _mixed(out[: len(h) - k] * _MULTIPLY + h[k:])
+        out[: len(h) - k] = _mixed(out[: len(h) - k] * np.uint64(_POWER) + h[k:])
     return out[: max(len(h) - n + 1, 0)]
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """The words of each piece that has some."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower().translate(_ENDS)
-    return [w for p in data.split(b"\n") if (w := p.split())]
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+
+
+_FORTH, _HOME = _powers(_POWER, _BLOCK), _powers(_BACK, _BLOCK)
+
+
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and 64-bit hash of each word of data, whose words are parted by spaces, line feeds and edges."""
+    part = np.ones(len(data) + 1, bool)
+    np.logical_or(data == 32, data == 10, out=part[:-1])
+    inner = np.zeros(len(data) + 1, bool)
+    inner[edges] = True
+    begin = np.flatnonzero(~part[:-1] & (np.append(True, part[:-2]) | inner[:-1]))
+    end = np.flatnonzero(~part[:-1] & (part[1:] | inner[1:])) + 1
+    h, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + _BLOCK, side="right")))
+        first, n = begin[at], int(end[to - 1] - begin[at])
+        forth, home = (_FORTH, _HOME) if n <= _BLOCK else (_powers(_POWER, n), _powers(_BACK, n))
+        upto = np.empty(n + 1, np.uint64)
+        upto[0] = 0
+        values = data[first : first + n].astype(np.uint64)
+        values += np.uint64(1)
+        values *= forth[:n]
+        np.cumsum(values, out=upto[1:])
+        # the same word has the same hash wherever it stands
+        h[at:to] = _mixed((upto[end[at:to] - first] - upto[begin[at:to] - first]) * home[begin[at:to] - first])
+        at = to
+    return begin, end, h
 
 
-def parse(texts: list[str | None], hashes: Hashes, spread: int = SPREAD) -> tuple[list[int], list[bool], list[bytes]]:
+def parse(texts: list[str | None], spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The chunks of texts: whose they are, whether they begin a piece, their words joined by spaces."""
-    words, starts, owner = [], [], []
-    for k, text in enumerate(texts):
-        for piece in pieces(text):
-            starts.append(len(words))
-            owner.append(k)
-            words += piece
-    if not words:
-        return [], [], []
-    begin = np.array(starts)
-    end = np.append(begin[1:], len(words))
-    # the last word of each run that triggers, where the run lies within a piece and something follows
-    at = np.flatnonzero(joint(hashes.of(words), OVERLAP) % np.uint64(spread) == 0) + OVERLAP
-    piece = np.searchsorted(begin, at - 1, side="right") - 1
-    inside = (at - OVERLAP >= begin[piece]) & (at < end[piece])
-    at, piece = at[inside], piece[inside]
-    first = np.concatenate([begin, at - OVERLAP])
-    which = np.concatenate([np.arange(len(begin)), piece])
-    order = np.lexsort((first, which))
-    first, which = first[order], which[order]
-    follows = np.append(which[1:] == which[:-1], False)
-    last = np.where(follows, np.append(first[1:], 0) + OVERLAP, end[which])
-    heads = np.append(True, ~follows[:-1])
-    return [owner[p] for p in which.tolist()], heads.tolist(), [b" ".join(words[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    own = [(t or "").encode("utf-8", "surrogatepass").lower().translate(_ENDS) for t in texts]
+    own = [_SPACES.sub(b" ", t) if b"  " in t else t for t in own]
+    lengths = np.array([len(t) + 1 for t in own])
+    joined = b"\n".join(own)
+    data = np.frombuffer(joined, np.uint8)
+    begin, end, h = _words(data, np.zeros(0, np.int64))
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, bool), []
+    pieces = np.cumsum(data == 10, dtype=np.int32)[begin]
+    lead = np.flatnonzero(np.append(True, pieces[1:] != pieces[:-1]))
+    over = np.append(lead[1:], len(begin))
+    # the word after each run that triggers, where the run lies within a piece and something follows
+    at = np.flatnonzero(joint(h, OVERLAP) % np.uint64(spread) == 0) + OVERLAP
+    at = at[at < len(begin)]
+    at = at[pieces[at - OVERLAP] == pieces[at]]
+    first = np.concatenate([lead, at - OVERLAP])
+    order = np.lexsort((np.arange(len(first)) >= len(lead), first))
+    first, heads = first[order], order < len(lead)
+    last = np.append(first[1:], 0) + OVERLAP
+    ends_piece = np.append(heads[1:], True)
+    last[ends_piece] = over[np.searchsorted(lead, first[ends_piece], side="right") - 1]
+    whose = np.searchsorted(np.cumsum(lengths), begin[first], side="right")
+    return whose, heads, [joined[a:b] for a, b in zip(begin[first].tolist(), end[last - 1].tolist(), strict=True)]
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", spread: int = SPREAD) -> DataFrame:
     """lang, head, chunk and f: the distinct chunks of each language, with their frequency in the parse."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for rows in _slices(batch, "t"):
-                langs = rows["l"].to_pylist()
-                whose, heads, found = parse(rows["t"].to_pylist(), hashes, spread)
-                counts: dict[tuple, int] = {}
-                for key in zip([langs[k] for k in whose], heads, found, strict=True):
-                    counts[key] = counts.get(key, 0) + 1
-                keys = list(zip(*counts, strict=True)) or [[], [], []]
-                yield pa.record_batch([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.bool_()), pa.array(keys[2], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "head", "chunk", "f"])
+                whose, heads, found = parse(rows["t"].to_pylist(), spread)
+                yield pa.record_batch([rows["l"].take(pa.array(whose)), pa.array(heads), pa.array(found, pa.binary())], names=["lang", "head", "chunk"])
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInArrow(chunks, "lang string, head boolean, chunk binary, f long").groupBy("lang", "head", "chunk").agg(F.sum("f").alias("f"))
+    return rows.mapInArrow(chunks, "lang string, head boolean, chunk binary").groupBy("lang", "head", "chunk").agg(F.count("*").alias("f"))
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -136,29 +148,30 @@ def _offsets(column: pa.Array) -> np.ndarray:
 class Chunks:
     """Chunks of a batch as one run of words, with the hashes of their words; those of different languages differ."""
 
-    def __init__(self, rows: pa.RecordBatch, hashes: Hashes):
-        lists = [c.split(b" ") for c in rows["chunk"].to_pylist()]
-        self.words = [w for ws in lists for w in ws]
-        lengths = np.array([len(ws) for ws in lists])
-        self.chunk = np.repeat(np.arange(len(lists)), lengths)
-        ends = np.cumsum(lengths)
+    def __init__(self, rows: pa.RecordBatch):
+        offsets = _offsets(rows["chunk"])
+        self.data = np.frombuffer(rows["chunk"].buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        edges = offsets - offsets[0]
+        self.begin, self.end, h = _words(self.data, edges)
+        leads = np.zeros(len(self.data), bool)
+        leads[edges[:-1]] = True  # no chunk is empty
+        leads = np.flatnonzero(leads[self.begin])
+        lengths = np.diff(leads, append=len(self.begin))
+        self.chunk, at = np.repeat(np.arange(len(rows)), lengths), np.arange(len(self.begin))
         #: words up to the chunk's end, and words from the chunk's begin
-        self.left, self.place = ends[self.chunk] - np.arange(len(self.words)), np.arange(len(self.words)) - (ends - lengths)[self.chunk]
-        self.langs = rows["lang"].to_pylist()
+        self.place = at - np.repeat(leads, lengths)
+        self.left = np.repeat(lengths, lengths) - self.place
+        langs = rows["lang"].dictionary_encode()
+        self.langs, self.lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()[self.chunk]
         self.f = rows["f"].to_numpy()[self.chunk]
         self.own = np.where(rows["head"].to_numpy(zero_copy_only=False), 0, OVERLAP)[self.chunk]
-        known = {x: hashes[b"\n" + x.encode()] for x in set(self.langs)}
-        seed = np.array([known[x] for x in self.langs], np.uint64)[self.chunk]
-        self.h = _mixed(hashes.of(self.words) ^ seed)
+        seeds = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in self.langs], np.uint64)
+        self.h = _mixed(h ^ seeds[self.lang])
 
     def places(self, n: int) -> np.ndarray:
         """Where a run of n words begins that belongs to its chunk."""
         return np.flatnonzero((self.left >= n) & (self.place + n > self.own))
 
-    def whole(self, n: int) -> np.ndarray:
-        """Where any run of n words of a chunk begins."""
-        return np.flatnonzero(self.left >= n)
-
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h % np.uint64(FILTER_BITS)
@@ -181,10 +194,10 @@ def _counted(chunks: DataFrame, n: int, bits) -> DataFrame:
     """h and f: hashes of candidate phrases of n words with at least as many occurrences as any of them has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(), _bits(bits)
+        known = _bits(bits)
         for batch in batches:
             for rows in _slices(batch, "chunk"):
-                part = Chunks(rows, hashes)
+                part = Chunks(rows)
                 at, h = _frequent(part, n, known)
                 h, inverse = np.unique(h, return_inverse=True)
                 f = np.zeros(len(h), np.int64)
@@ -211,26 +224,20 @@ def _exact(chunks: DataFrame, bits) -> DataFrame:
     """lang, n, phrase, f of the phrases of 1 to MOST_WORDS words that the bitmaps let through."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = Hashes(), _bits(bits)
+        known = _bits(bits)
         for batch in batches:
             for rows in _slices(batch, "chunk"):
-                part = Chunks(rows, hashes)
-                ids: dict[bytes, int] = {}
-                word = np.fromiter((ids.setdefault(w, len(ids)) for w in part.words), np.int64, len(part.words))
+                part = Chunks(rows)
+                data = part.data.tobytes()
                 for n in range(1, MOST_WORDS + 1):
-                    at, h = _frequent(part, n, known)
-                    _, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
-                    to = at[lead][inverse] if len(at) else at
-                    same = np.array([part.langs[k] for k in part.chunk[at]], object) == np.array([part.langs[k] for k in part.chunk[to]], object) if len(set(part.langs)) > 1 else np.ones(len(at), bool)
-                    for k in range(n):
-                        same = same & (word[at + k] == word[to + k])
-                    f = np.zeros(len(lead), np.int64)
-                    np.add.at(f, inverse[same], part.f[at[same]])
-                    at, f = np.append(at[lead], at[~same]), np.append(f, part.f[at[~same]])
-                    yield pa.record_batch(
-                        [pa.array([part.langs[k] for k in part.chunk[at].tolist()], pa.string()), pa.array(np.full(len(at), n, np.int32)), pa.array([b" ".join(part.words[i : i + n]).decode("utf-8", "surrogatepass") for i in at.tolist()], pa.string()), pa.array(f)],
-                        names=["lang", "n", "phrase", "f"],
-                    )
+                    at, _ = _frequent(part, n, known)
+                    counts: dict[tuple[int, bytes], int] = {}
+                    for lang, a, b, f in zip(part.lang[at].tolist(), part.begin[at].tolist(), part.end[at + n - 1].tolist(), part.f[at].tolist(), strict=True):
+                        key = (lang, data[a:b])
+                        counts[key] = counts.get(key, 0) + f
+                    langs, phrases = list(zip(*counts, strict=True)) or ([], [])
+                    phrases = pa.array(phrases, pa.binary()).cast(pa.string())
+                    yield pa.record_batch([pa.array([part.langs[k] for k in langs], pa.string()), pa.array(np.full(len(langs), n, np.int32)), phrases, pa.array(counts.values(), pa.int64())], names=["lang", "n", "phrase", "f"])
 
     return chunks.mapInArrow(count, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
 
