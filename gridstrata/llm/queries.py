@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import bpe, hardneg, linededup, mpegts, ngramjoin, packing, phrases, ppm, quality, secrets, toxicity, warc
+from gridstrata.llm import bpe, hardneg, linededup, lm, mpegts, ngramjoin, packing, phrases, ppm, quality, secrets, toxicity, warc
 from gridstrata.llm.common import hashed_share, shared_dir, table
 
 
@@ -98,6 +98,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mined(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op7_best_fit, op8_mpeg_ts, op9_language_id, op10_secret_scan, op11_collocations, op12_hard_negatives)}
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), hashed_share("doc_id", 7) == 2
+    scored = lm.scored(docs, ~held_out, tokenizer_file("byte_bpe_50k.json"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_line_dedup, op3_toxicity, op4_byte_bpe, op5_warc, op6_quality_rules, op7_best_fit, op8_mpeg_ts, op9_language_id, op10_secret_scan, op11_collocations, op12_hard_negatives, op13_lm_scores)}
 
 ORACLE_SQL = {"op2_line_dedup": linededup.SQL, "op6_quality_rules": quality.SQL, "op10_secret_scan": secrets.SQL, "op11_collocations": phrases.SQL, "op12_hard_negatives": hardneg.SQL}
