@@ -173,6 +173,19 @@ class Chunks:
         return np.flatnonzero((self.left >= n) & (self.place + n > self.own))
 
 
+    def texts(self, at: np.ndarray, n: int) -> pa.Array:
+        """The runs of n words that begin at these places."""
+        begin, size = self.begin[at], self.end[at + n - 1] - self.begin[at]
+        ends = np.append(0, np.cumsum(size))
+        data = self.data[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _sums(codes: np.ndarray, f: np.ndarray, n: int) -> np.ndarray:
+    """Sum of f by code; in whole numbers, as a slice's are far below 2^53."""
+    return np.bincount(codes, f, n).astype(np.int64)
+
+
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h % np.uint64(FILTER_BITS)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -199,10 +212,9 @@ def _counted(chunks: DataFrame, n: int, bits) -> DataFrame:
             for rows in _slices(batch, "chunk"):
                 part = Chunks(rows)
                 at, h = _frequent(part, n, known)
-                h, inverse = np.unique(h, return_inverse=True)
-                f = np.zeros(len(h), np.int64)
-                np.add.at(f, inverse, part.f[at])
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(f)], names=["h", "f"])
+                found = pa.array(h.view(np.int64)).dictionary_encode()
+                f = _sums(found.indices.to_numpy(), part.f[at], len(found.dictionary))
+                yield pa.record_batch([found.dictionary, pa.array(f)], names=["h", "f"])
 
     return chunks.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
@@ -228,16 +240,14 @@ def _exact(chunks: DataFrame, bits) -> DataFrame:
         for batch in batches:
             for rows in _slices(batch, "chunk"):
                 part = Chunks(rows)
-                data = part.data.tobytes()
                 for n in range(1, MOST_WORDS + 1):
                     at, _ = _frequent(part, n, known)
-                    counts: dict[tuple[int, bytes], int] = {}
-                    for lang, a, b, f in zip(part.lang[at].tolist(), part.begin[at].tolist(), part.end[at + n - 1].tolist(), part.f[at].tolist(), strict=True):
-                        key = (lang, data[a:b])
-                        counts[key] = counts.get(key, 0) + f
-                    langs, phrases = list(zip(*counts, strict=True)) or ([], [])
-                    phrases = pa.array(phrases, pa.binary()).cast(pa.string())
-                    yield pa.record_batch([pa.array([part.langs[k] for k in langs], pa.string()), pa.array(np.full(len(langs), n, np.int32)), phrases, pa.array(counts.values(), pa.int64())], names=["lang", "n", "phrase", "f"])
+                    found = part.texts(at, n).dictionary_encode()
+                    key, langs = found.indices.to_numpy() * len(part.langs) + part.lang[at], pa.array(part.langs, pa.string())
+                    f = _sums(key, part.f[at], len(found.dictionary) * len(part.langs))
+                    key = np.flatnonzero(f)
+                    phrase = found.dictionary.take(pa.array(key // max(len(langs), 1))).cast(pa.large_string()).cast(pa.string())
+                    yield pa.record_batch([langs.take(pa.array(key % max(len(langs), 1))), pa.array(np.full(len(key), n, np.int32)), phrase, pa.array(f[key])], names=["lang", "n", "phrase", "f"])
 
     return chunks.mapInArrow(count, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
 
