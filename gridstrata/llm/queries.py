@@ -100,7 +100,7 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), hashed_share("doc_id", 7) == 2
-    scored = lm.scored(docs, ~held_out, tokenizer_file("byte_bpe_50k.json"))
+    scored = lm.scored(docs, ~held_out, tokenizer_file("byte_bpe_50k.tiktoken"))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
