@@ -65,17 +65,19 @@ def hashed_share(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def smallest_hashes(rows: DataFrame, group: str, doc_id: str, most: int) -> DataFrame:
-    """Of each group, at most `most` rows, those whose ids have the smallest hashes: a bounded sample.
+def smallest_hashes(marks: DataFrame, group: str, mark: str, most: int) -> DataFrame:
+    """Of each group, at most `most` different marks (64-bit hashes of rows), the smallest: a bounded sample of distinct rows.
 
-    A group's count first says below which hash `most` rows are to be expected, with six standard deviations to spare, so
-    only about that many rows of a group are shuffled and ranked, however large it is. The counts, one row a group, are
-    broadcast: groups are the classes of a model that holds all of them anyway. A null group has no rows.
+    An approximate number of a group's different marks first says below which mark `most` of them are to be expected, with 5
+    percent and six standard deviations to spare, so only about that many are shuffled and ranked, however large a group is or
+    however often its rows repeat. The numbers, one row a group, are broadcast: groups are the classes of a model that holds all
+    of them anyway. A null group has no marks.
     """
-    spare = most + 6 * most**0.5 + 20
-    share = F.pmod(F.xxhash64(doc_id), F.lit(1 << 53)) / (1 << 53)
-    low = rows.join(F.broadcast(rows.groupBy(group).agg(F.count("*").alias("_size"))), group).where(share * F.col("_size") < spare).drop("_size")
-    order = Window.partitionBy(group).orderBy(share, doc_id)
+    spare = 1.05 * most + 6 * most**0.5 + 20
+    share = F.pmod(F.col(mark), F.lit(1 << 53)) / (1 << 53)
+    sizes = marks.groupBy(group).agg(F.approx_count_distinct(mark, 0.01).alias("_size"))
+    low = marks.join(F.broadcast(sizes), group).where(share * F.col("_size") < spare).select(group, mark).distinct()
+    order = Window.partitionBy(group).orderBy(share, mark)
     return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
 
 

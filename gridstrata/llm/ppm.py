@@ -177,10 +177,11 @@ class Trees:
 
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int) -> DataFrame:
-    """At most sample_docs rows of each language, by the hash of their ids; ids are ranked without their texts."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    chosen = smallest_hashes(rows.select(doc_id, lang), lang, doc_id, sample_docs).select(doc_id).distinct()
-    return rows.join(F.broadcast(chosen), doc_id, "left_semi")  # bounded: sample_docs ids a language
+    """At most sample_docs different rows of each language, by a hash of id and text; hashes are ranked without their texts."""
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).withColumn("_mark", F.xxhash64(doc_id, text))
+    chosen = smallest_hashes(rows.select("_mark", lang), lang, "_mark", sample_docs)
+    rows = rows.join(F.broadcast(chosen), ["_mark", lang], "left_semi")  # bounded: sample_docs marks a language
+    return rows.groupBy("_mark", lang).agg(F.first(text).alias(text))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Trees | None:

@@ -183,17 +183,35 @@ def redacted(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: t
     found, t = ledger.hits(rules), F.col("t")
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"), blob(F.col(text)).alias("blob")).join(found, "blob", "left")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.concat(gap, F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    redacted_ = F.when(F.col("spans").isNotNull(), clean).otherwise(t)
+    redacted_ = F.when(F.col("spans").isNotNull(), _cut(t, F.col("spans"))).otherwise(t)
     return wide.select(*[(redacted_ if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
+def _cut(text: Column, found: Column) -> Column:
+    """The text with each span replaced. Spans, of n, are taken in groups of about sqrt(n): a group's part of the text is cut out once,
+    and its spans are cut from that part, so that a span doesn't cost the whole text's length. A lambda's argument is computed once."""
+    last = lambda xs: F.coalesce(F.array_max(F.transform(xs, lambda s: s["end"])), F.lit(0))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+
+    def pieces(g: Column) -> Column:
+        """What stands before each span, from the end of all earlier ones, and its kind; nothing for a span that overlaps one."""
+
+        def piece(s: Column, i: Column) -> Column:
+            return once(F.greatest(g["base"], last(F.slice(g["own"], F.lit(1), i))), lambda at: F.when(s["start"] >= at, F.concat(F.substring(g["part"], at - g["base"] + 1, s["start"] - at), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+
+        return F.array_join(F.transform(g["own"], piece), "")
+
+    def grouped(xs: Column, size: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda k: F.slice(xs, k * size + 1, size))
+        based = lambda gs, ends: F.transform(gs, lambda own, k: F.struct(own.alias("own"), F.coalesce(F.array_max(F.slice(ends, F.lit(1), k)), F.lit(0)).alias("base")))
+        with_base = once(groups, lambda gs: once(F.transform(gs, last), lambda ends: based(gs, ends)))
+        part = lambda g: F.substring(text, g["base"] + 1, F.greatest(F.element_at(g["own"], -1)["start"] - g["base"], F.lit(0)))
+        return F.transform(F.transform(with_base, lambda g: F.struct(g["own"], g["base"], part(g).alias("part"))), pieces)
+
+    out = once(found, lambda xs: once(F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"), lambda size: grouped(xs, size)))
+    return F.concat(F.array_join(out, ""), F.substring(text, last(found) + 1, F.length(text)))
+
+
 def _sql_spans(rule: Rule, rank: int) -> str:
     pattern = rule.pattern.replace("'", "''")
     return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i, length(array_to_string(gaps[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS a, length(m[i]) AS size, length(v[i]) AS value, {rule.least} AS least

@@ -8,11 +8,11 @@ n tokens hold n * exp(-rate * (S - location)) segments of score S or more by cha
 A segment is significant where that expectation is below `most_expected`. A text's strength is its best segment's surprise and the sum over its significant ones; a logistic curve, fitted on the training texts' strengths,
 gives the probability.
 
-The classifier is fitted on a bounded sample: at most `sample_docs` labelled rows of each label, those with the smallest
-hashes of their ids, whole texts. Counts are Spark aggregates; every text is then scored whole.
+The classifier is fitted on a bounded sample: at most `sample_docs` different labelled rows of each label, those with the
+smallest hashes of id and text, whole texts. Counts are Spark aggregates; every text is then scored whole.
 
-Null or empty text has no token and gets the curve's value at no strength. Rows without a label are never learnt from. Labels may
-repeat a doc_id: each such row counts. With no training row of one label, every score is 0.
+Null or empty text has no token and gets the curve's value at no strength. Rows without a label or a doc_id are never learnt from. Rows that
+repeat both doc_id and text are learnt from once for each label that the id has; rows that share a doc_id alone each count. With no training row of one label, every score is 0.
 """
 
 from __future__ import annotations
@@ -102,10 +102,11 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, sample_docs: int) -> DataFrame:
-    ids = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("d"), (F.col(label) > 0).cast("int").alias("y"))
+    ids = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("d"), (F.col(label) > 0).cast("int").alias("y")).distinct()
+    own = docs.select(F.col(doc_id).alias("d"), F.xxhash64(doc_id, text).alias("mark"), F.col(text).alias("t"))
     # only documents that are there count towards the bound
-    chosen = smallest_hashes(ids.join(docs.select(F.col(doc_id).alias("d")), "d"), "y", "d", sample_docs)
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d")  # bounded: 2 * sample_docs ids
+    chosen = smallest_hashes(ids.join(own.select("d", "mark"), "d").select("y", "mark"), "y", "mark", sample_docs)
+    rows = own.join(F.broadcast(chosen), "mark").groupBy("mark", "y").agg(F.first("t").alias("t"))  # bounded: 2 * sample_docs marks
     return written(rows, "sample")  # read several times
 
 
