@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.functions import columns as C
-from gridstrata.operators import conform, panel, regimes, regress, series
+from gridstrata.operators import conform, forests, panel, regimes, regress, series
 from gridstrata.plans import registry as R
 from gridstrata.plans.registry import CELL, K6, W, add_cte, means, periods, query, region
 from gridstrata.sources import catalog
@@ -377,12 +377,46 @@ query("j11_compare_predictor_sets")(lambda v, s: regress.compare_sets(_fit(_rows
 query("j14_per_model")(lambda v, s: regress.importance_table(_fit(_rows(v), ["pr", "disc", "tax"], ["model", "regime"], 20), ["model", "regime"]))
 
 
-def _grid(v) -> DataFrame:
-    return regress.forest_grid(_rows(v), regress.group_folds(_rows(v), 3), "bgws", ["pr", "disc", "tax"], depths=(2, 5), leaves=(5,), shares=(0.5, 1.0), trees=8)
+_PREDICTORS = ["pr", "disc", "tax"]
 
 
-query("j18_forest_grid")(lambda v, s: _grid(v))
-query("j23_overfit_guard")(lambda v, s: regress.overfit_gaps(_grid(v)))
+def _in_folds(v, k: int) -> DataFrame:
+    """Rows of the forest module with the folds of blocks as data sets."""
+    own = _rows(v).join(F.broadcast(regress.group_folds(_rows(v), k)), "block")  # folds: at most 324 rows
+    every = F.array(*map(F.lit, range(k)))
+    return forests.forest_rows(own, "bgws", _PREDICTORS, "cell", F.array_remove(every, F.col("fold")), F.array("fold"))
+
+
+def _in_repeats(v, repeats: int) -> DataFrame:
+    """Rows of the forest module with the random parts of blocks as data sets."""
+    which = lambda t: F.collect_list(F.when(F.col("is_test") == t, F.col("repeat")))
+    sets = regress.group_shuffles(_rows(v), repeats).groupBy("block").agg(which(False).alias("train"), which(True).alias("test"))
+    return forests.forest_rows(_rows(v).join(F.broadcast(sets), "block"), "bgws", _PREDICTORS, "cell", F.col("train"), F.col("test"))  # sets: at most 324 rows
+
+
+query("j18_forest_grid")(lambda v, s: forests.grid_scores(_in_folds(v, 4), 3))
+query("j23_overfit_guard")(lambda v, s: regress.overfit_gaps(forests.grid_scores(_in_folds(v, 5), 3, trees=50)))
+
+
+@query("j19_forest_importance")
+def _(v, spark):
+    rows = _in_repeats(v, 10)
+    forest = catalog.stored(forests.grow(rows, 3, [forests.Setting(8, 5, 2, 0.5)], 200), "forest")
+    permuted = forests.permutation_importance(rows, forest, _PREDICTORS)
+    explained = forests.attribution_summary(forests.attribution(rows, forest, _PREDICTORS, most=300), _PREDICTORS)
+    return forests.repeats_summary(permuted, "importance", "perm").join(forests.repeats_summary(explained, "mean_abs", "shap"), "predictor")
+
+
+@query("j20_tree_shapley")
+def _(v, spark):
+    rows = _in_repeats(v, 1)
+    return forests.attribution(rows, forests.grow(rows, 3, [forests.Setting(8, 5, 2, 0.5)], 200), _PREDICTORS).drop("data", "setting")
+
+
+@query("j22_plain_forest")
+def _(v, spark):
+    _, found, table = forests.plain_forest(v("change_frame").where("bgws > 0"), "bgws", _PREDICTORS, "cell")
+    return table.select("*", *[F.lit(x).alias(n) for n, x in found.items()])
 
 
 @query("j19_forest_repeats")

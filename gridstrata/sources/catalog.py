@@ -111,6 +111,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(top or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for results that several jobs read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv_export(df: DataFrame, path: str) -> None:
     """A11. A result table (models by variables) as one CSV file."""
     # a shuffle, so that what comes before keeps its tasks
