@@ -14,9 +14,19 @@ def drop_redundant(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[n for n in names if n != "depth" or not {"mrsol", "tsl"} & set(df.columns)])
 
 
-def by_rank(df: DataFrame, reference: DataFrame, keys: list[str], order: list[str], take: list[str]) -> DataFrame:
-    """B2, B3. Replace an axis by the reference's, by position. reference: rank and the columns `take`."""
-    ranked = df.withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)))
+def by_rank(df: DataFrame, reference: DataFrame, keys: list[str], order: list[str], take: list[str], exact: bool = True) -> DataFrame:
+    """B2, B3. Replace an axis by the reference's, by position. reference: rank (from 1 without gaps) and the columns `take`.
+
+    A key whose number of positions isn't the reference's raises while the job runs; with exact=False a shorter one takes the reference's
+    first positions, and only a longer one raises."""
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumn("rank", F.dense_rank().over(w.orderBy(*order)))
+    size = reference.agg(F.max("rank").alias("_size"))  # one row
+    ranked = ranked.withColumn("_n", F.max("rank").over(w)).crossJoin(F.broadcast(size))
+    fits = (F.col("_n") == F.col("_size")) if exact else (F.col("_n") <= F.col("_size"))
+    said = F.concat(F.lit(f"positions by {', '.join(keys)} and in the reference: "), F.col("_n").cast("string"), F.lit(" and "), F.coalesce(F.col("_size").cast("string"), F.lit("0")))
+    # the check is part of the join's key, so it can't be pruned
+    ranked = ranked.withColumn("rank", F.when(fits, F.col("rank")).otherwise(F.raise_error(said).cast("int"))).drop("_n", "_size")
     return ranked.drop(*[c for c in take if c in ranked.columns]).join(reference.select("rank", *take), "rank").drop("rank")
 
 
@@ -59,9 +69,9 @@ def pad_days(df: DataFrame, keys: list[str], first: str, last: str, leap: bool =
     return df.unionByName(days.drop("_a", "_b"), allowMissingColumns=True)
 
 
-def conform_months(df: DataFrame, reference: DataFrame, keys: list[str], first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
-    """B9. Slice, pad, and take over the reference's months by position. reference: rank, year, month."""
-    return by_rank(pad_months(slice_months(df, first, last), keys, first, last), reference, keys, ["year", "month"], ["year", "month"])
+def conform_months(df: DataFrame, reference: DataFrame, keys: list[str], first: tuple[int, int], last: tuple[int, int], exact: bool = True) -> DataFrame:
+    """B9. Slice, pad, and take over the reference's months by position. reference: rank, year, month; exact as in by_rank."""
+    return by_rank(pad_months(slice_months(df, first, last), keys, first, last), reference, keys, ["year", "month"], ["year", "month"], exact)
 
 
 def day_coverage(df: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
@@ -70,13 +80,19 @@ def day_coverage(df: DataFrame, keys: list[str], first: str, last: str) -> DataF
     return there.withColumn("covered", (F.col("first") == F.lit(first).cast("date")) & (F.col("last") == F.lit(last).cast("date")))
 
 
-def preprocess(df: DataFrame, drop: list[str], first: tuple[int, int], last: tuple[int, int], units: dict[str, tuple[str, str]], values: list[str], mask: DataFrame | None, grid: tuple[float, float] | None = None) -> DataFrame:
-    """B21. Redundant variables, grid (spacing, wanted spacing), months, units, landmask or names without it, Antarctica: one lazy plan."""
+def preprocess(df: DataFrame, drop: list[str], first: tuple[int, int], last: tuple[int, int], units: dict[str, tuple[str, str]], values: list[str], mask: DataFrame | None, grid: tuple[float, float] | None = None, calendar: DataFrame | None = None, regions: DataFrame | None = None, remove: list[str] | None = None) -> DataFrame:
+    """B21. Redundant variables, grid (spacing, wanted spacing), months, units, landmask or names without it, and Antarctica: one lazy plan.
+
+    calendar: rank, year, month of a reference; then months are sliced, padded and taken over by position, else only sliced. regions
+    (cells and their region) and the names to remove: then these go with Antarctica, as Greenland and Iceland do."""
     out = drop_redundant(df, drop)
     if grid:
         out = regrid_conservative(out, values, ["experiment", "model", "year", "month"], *grid)
-    out = set_units(slice_months(out, first, last), units)
-    return remove_antarctica(no_landmask_names(out, values) if mask is None else apply_landmask(out, mask, values))
+    keys = ["experiment", "model", "lat", "lon"]
+    out = slice_months(out, first, last) if calendar is None else conform_months(out, calendar, keys, first, last)
+    out = set_units(out, units)
+    out = no_landmask_names(out, values) if mask is None else apply_landmask(out, mask, values)
+    return remove_antarctica(out) if regions is None else remove_regions(out, regions, remove or [])
 
 
 def drop_feb29(df: DataFrame, keys: list[str], expected: int) -> DataFrame:

@@ -150,11 +150,12 @@ def relative_change(df: DataFrame, values: list[str], base: str, eps: float = 1e
 
 
 def combine(base: DataFrame, drivers: DataFrame, keys: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
-    """G11. Base rows with the drivers' columns, without the models to skip; a key that the drivers lack raises."""
+    """G11. Base rows with the drivers' columns, without the models to skip; a key that the drivers lack raises while the job runs."""
     own = base.where(~F.col("model").isin(list(skip))) if skip else base
-    if not own.join(drivers, keys, "left_anti").isEmpty():
-        raise KeyError("drivers lack keys of the base")
-    return own.join(drivers, keys)
+    both = own.join(drivers.withColumn("_there", F.lit(True)), keys, "left")
+    lacks = F.raise_error(F.concat(F.lit("drivers lack a key of the base: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    checked = F.when(F.col("_there"), F.col(keys[0])).otherwise(lacks.cast(dict(own.dtypes)[keys[0]]))
+    return both.withColumn(keys[0], checked).drop("_there")
 
 
 def period_summary(df: DataFrame, periods: DataFrame, values: list[str], seasonal: list[str]) -> DataFrame:

@@ -178,14 +178,29 @@ def importance_summary(df: DataFrame, by: list[str], value: str = "importance")
     return out.select(*by, "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(("p2_5", "q25", "median", "q75", "p97_5"))])
 
 
-def model_agreement(df: DataFrame, value: str = "importance") -> DataFrame:
-    """J15. By predictor, over models: ranks within the model, and shares that are positive, in the top three, of either sign."""
-    ranked = df.withColumn("rank", F.rank().over(Window.partitionBy("model").orderBy(F.desc(value))))
+def fit_summary(fits: DataFrame, by: list[str]) -> DataFrame:
+    """J13. Over the repeats, by key and predictor: mean, median and 95 percent range of importance, median and range of the coefficient, how
+    often it is selected, and of which sign. fits: coef and importance."""
+    c, outer = F.col("coef"), lambda v: F.percentile(v, F.array(F.lit(0.025), F.lit(0.975)))
+    out = fits.groupBy(*by, "predictor").agg(
+        F.avg("importance").alias("perm_mean"), F.median("importance").alias("perm_median"), outer("importance").alias("p"), F.median(c).alias("coef_median"), outer("coef").alias("q"),
+        F.avg((c != 0).cast("double")).alias("selection_frequency"), F.avg(F.signum(F.nullif(c, F.lit(0.0)))).alias("sign_consistency"),
+    )
+    ranges = [F.col(a)[i].alias(f"{n}_{e}") for a, n in (("p", "perm"), ("q", "coef")) for i, e in enumerate(("p2_5", "p97_5"))]
+    return out.select(*by, "predictor", "perm_mean", "perm_median", "coef_median", *ranges, "selection_frequency", "sign_consistency")
+
+
+def model_agreement(df: DataFrame, value: str = "importance", by: list[str] | None = None) -> DataFrame:
+    """J15. By key and predictor, over models: ranks within the model, quartiles, shares that are positive, in the top three, of either sign,
+    and the share of the sign that most have."""
+    by = by or []
+    ranked = df.withColumn("rank", F.rank().over(Window.partitionBy(*by, "model").orderBy(F.desc(value))))
     of = lambda c: F.avg(c.cast("double"))
-    out = ranked.groupBy("predictor").agg(
-        F.count_distinct("model").alias("n_models"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg("rank").alias("mean_rank"), of(F.col(value) > 0).alias("positive"),
-        of(F.col("rank") <= 3).alias("top3"), of(F.col("coef") > 0).alias("coef_positive"), of(F.col("coef") < 0).alias("coef_negative"),
+    out = ranked.groupBy(*by, "predictor").agg(
+        F.count_distinct("model").alias("n_models"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75"),
+        F.avg("rank").alias("mean_rank"), of(F.col(value) > 0).alias("positive"), of(F.col("rank") <= 3).alias("top3"), of(F.col("coef") > 0).alias("coef_positive"), of(F.col("coef") < 0).alias("coef_negative"),
     )
+    out = out.withColumn("dominant_sign", F.greatest("coef_positive", "coef_negative"))
     return out.withColumn("star", F.when(F.col("top3") >= 0.5, "**").when(F.col("positive") >= 0.8, "*").otherwise(""))
 
 
@@ -207,6 +222,43 @@ def representative(df: DataFrame, by: list[str]) -> DataFrame:
     return df.join(mid, by).groupBy(*by).agg(F.min_by("repeat", F.struct(F.abs(F.col("r2") - F.col("mid")), F.col("repeat"))).alias("repeat"))
 
 
+def three_representatives(df: DataFrame, by: list[str]) -> DataFrame:
+    """J21. by, quantile, repeat: for the lower quartile, the median and the upper quartile of the score in turn, the repeat nearest to it that
+    isn't taken yet; of equally near ones the first. df: repeat, r2; the repeats of a key, a few dozen, are one array."""
+    shares, once = (0.25, 0.5, 0.75), lambda x, f: F.transform(F.array(x), f)[0]
+    rows = df.where(F.col("r2").isNotNull()).groupBy(*by).agg(F.collect_list(F.struct("r2", "repeat")).alias("all"), F.percentile("r2", F.array(*map(F.lit, shares))).alias("q"))
+    nearest = lambda all_, q: F.array_min(F.transform(all_, lambda x: F.struct(F.abs(x["r2"] - q), x["repeat"].alias("repeat"))))["repeat"]
+    left = lambda all_, taken: F.filter(all_, lambda x: x["repeat"] != taken)
+    row = lambda k, r: F.struct(F.lit(shares[k]).alias("quantile"), r.alias("repeat"))
+    third = lambda rest, first, second: F.array(row(0, first), row(1, second), row(2, nearest(rest, F.col("q")[2])))
+    second = lambda rest, first: once(nearest(rest, F.col("q")[1]), lambda r: third(left(rest, r), first, r))
+    chosen = once(nearest(F.col("all"), F.col("q")[0]), lambda r: second(left(F.col("all"), r), r))
+    return rows.select(*by, F.inline(chosen)).where(F.col("repeat").isNotNull())
+
+
+def linear_against_forest(linear: DataFrame, forest: DataFrame, by: list[str]) -> DataFrame:
+    """J24. By key: n repeats, mean and median R2 of the linear fits and of the forests over held-out blocks, and how much the forests gain.
+    linear, forest: the keys, repeat and test_r2; rows that repeat a fit count once."""
+    of = lambda df, n: df.select(*by, "repeat", F.col("test_r2").alias(n)).distinct().groupBy(*by).agg(F.count(n).alias(f"n_{n}"), F.avg(n).alias(f"{n}_mean"), F.median(n).alias(f"{n}_median"))
+    both = of(linear, "linear").join(of(forest, "forest"), by, "full")
+    return both.withColumns({f"gain_{s}": F.col(f"forest_{s}") - F.col(f"linear_{s}") for s in ("mean", "median")})
+
+
+def driver_job(rows: DataFrame, response: str, predictors: list[str], repeats: int = 20, least_r2: float | None = None) -> DataFrame:
+    """J25, from rows to its table: per-model fits (J14) with held-out importance (J10), agreement of the models (J15), their summary over all
+    repeats (J13), the clipped context (J16) and, where least_r2 is given, only models of at least that mean R2 (J17). rows: model, regime,
+    block, the response and the predictors."""
+    fits = repeated_elastic_net(block_moments(rows, response, predictors, ["model", "regime", "block"]), group_shuffles(rows, repeats), response, predictors, ["model", "regime"])
+    table = importance_table(fits, ["model", "regime"])
+    if least_r2 is not None:
+        table = table.where(F.col("mean_test_r2") > least_r2)
+    agreement = model_agreement(table.select("model", "regime", "predictor", F.col("mean_perm_importance").alias("importance"), F.col("coef_median").alias("coef")), by=["regime"])
+    long = rows.select("regime", F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("context_z")) for p in predictors])).alias("e")).select("regime", "e.*")
+    context = context_z(long, ["context_z"], ["regime", "predictor"])
+    over_all = fit_summary(fits, ["regime"])
+    return agreement.join(context, ["regime", "predictor"]).join(over_all, ["regime", "predictor"])
+
+
 def _at_once(spark, job, settings: list, most: int) -> list:
     """job(setting) of each setting, in their order; as many jobs run at once as `most` says."""
     from multiprocessing.pool import ThreadPool

@@ -50,6 +50,21 @@ def _(v, spark):
     return stored.select("period", "model", *CELL, F.col("pr_mean").cast("double"))
 
 
+@add_cte("a10_result_store", R._MEANS, "SELECT period, model, m.lat, m.lon, CAST(CAST(pr_mean AS FLOAT) AS DOUBLE) AS pr_mean FROM means m JOIN msk ON m.lat = msk.lat AND m.lon = msk.lon WHERE model IN ('M0', 'M1')", "pr_mean")
+def _(v, spark):
+    """Parts that a first job left out are filled in by a second."""
+    path, mask = catalog.shared_folder(spark, "results"), hydro(v, spark)
+    parts = [(p, m) for p in ("hist", "near", "far") for m in ("M0", "M1")]
+
+    def compute(missing: list[tuple], mask: DataFrame) -> DataFrame:
+        wanted = spark.createDataFrame(missing, "period string, model string")
+        own = means(v, spark).select("period", "model", *CELL, "pr_mean").join(F.broadcast(wanted), ["period", "model"])  # a row a part
+        return own.join(mask, CELL, "left_semi")
+
+    catalog.ResultStore(spark, path, mask).fill(parts[:2], compute)
+    return catalog.ResultStore(spark, path, mask).fill(parts, compute).select("period", "model", *CELL, F.col("pr_mean").cast("double"))
+
+
 @query("a11_csv_export", "SELECT model, avg(pr) AS pr, avg(tran) AS tran, count(*) AS n FROM panel_month GROUP BY model", "pr tran")
 def _(v, spark):
     path = catalog.shared_folder(spark, "csv")
@@ -95,7 +110,7 @@ add_cte("b9_conform_months", """s AS (SELECT model, lat, lon, year * 12 + month
     x AS (SELECT model, lat, lon, a, b, unnest(range(1995 * 12, 1998 * 12)) AS m FROM g), p AS (SELECT model, lat, lon, m, pr FROM s UNION ALL SELECT model, lat, lon, m, NULL FROM x WHERE m < a OR m > b),
     r AS (SELECT *, 1995 * 12 + dense_rank() OVER (PARTITION BY model, lat, lon ORDER BY m) - 1 AS t FROM p)""",
         "SELECT model, lat, lon, CAST(t // 12 AS INT) AS year, CAST(t % 12 + 1 AS INT) AS month, pr FROM r", "pr")(
-    lambda v, s: conform.conform_months(history(v).select("model", *CELL, "year", "month", "pr"), s.range(36).select((F.col("id") + 1).cast("int").alias("rank"), (1995 + F.floor(F.col("id") / 12)).cast("int").alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month")), ["model", *CELL], (1995, 1), (1997, 12))
+    lambda v, s: conform.conform_months(history(v).select("model", *CELL, "year", "month", "pr"), R.calendar(s, 1995), ["model", *CELL], (1995, 1), (1997, 12), exact=False)
 )
 query("b9_day_coverage", "SELECT cell, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, min(day) = DATE '1996-01-01' AND max(day) = DATE '1996-12-31' AS covered FROM panel_day WHERE year(day) = 1996 GROUP BY cell")(
     lambda v, s: conform.day_coverage(v("panel_day"), ["cell"], "1996-01-01", "1996-12-31").withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
@@ -121,6 +136,21 @@ query("b21_preprocess", f"SELECT {K6}, pr * CASE WHEN lon > 0 THEN 1.0 END AS pr
     lambda v, s: conform.preprocess(v("panel_month"), ["mrro", "tran", "evspsbl", "lai", "mrsos", "huss", "ps", "gpp"], (1996, 1), (1999, 12), {"tas": ("K", "C")}, ["pr", "tas"], v("panel_month").select(*CELL).distinct().withColumn("landseamask", F.when(F.col("lon") > 0, 1.0)))
 )
 
+_TWO_CELLS = "(VALUES (-50.5, 44.5), (49.5, -135.5), (-70.5, 44.5)) c(lat, lon)"
+query("b21_preprocess_whole", f"SELECT experiment, model, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CAST(year + 55 AS INT) AS year, month, CASE WHEN lon > 0 THEN pr END AS pr, CASE WHEN lon > 0 THEN tas - 273.15 END AS tas FROM (SELECT experiment, model, year, month, avg(pr) AS pr, avg(tas) AS tas FROM panel_month WHERE experiment = 'historical' AND (year, month) <> (1995, 1) GROUP BY ALL UNION ALL SELECT DISTINCT experiment, model, 1995, 1, NULL, NULL FROM panel_month WHERE experiment = 'historical'), {_TWO_CELLS} WHERE lat > -60 AND lat < 40", "pr tas")(
+    lambda v, s: _preprocessed(v, s)
+)
+
+
+def _preprocessed(v, spark) -> DataFrame:
+    """Padding, position and named regions: months from February 1995 on at three cells, one of them in Antarctica, one in a region that goes."""
+    cells = spark.createDataFrame([(-50.5, 44.5), (49.5, -135.5), (-70.5, 44.5)], "lat double, lon double")
+    months = history(v).where("not (year = 1995 and month = 1)").groupBy("experiment", "model", "year", "month").agg(F.avg("pr").alias("pr"), F.avg("tas").alias("tas"), F.avg("lai").alias("lai"))
+    regions = cells.withColumn("region", F.when(F.col("lat") > 40, "Greenland").otherwise("rest"))
+    mask = cells.withColumn("landseamask", F.when(F.col("lon") > 0, 1.0))
+    return conform.preprocess(months.crossJoin(F.broadcast(cells)), ["lai"], (1995, 1), (1997, 12), {"tas": ("K", "C")}, ["pr", "tas"], mask, calendar=R.calendar(spark, 2050), regions=regions, remove=["Greenland"])  # three cells
+
+
 # --- derived variables ---
 query("c5_rx1day", "SELECT cell, CAST(year(day) AS INT) AS year, CASE WHEN count(pr) = dayofyear(make_date(year(day), 12, 31)) THEN max(pr) END AS rx1day FROM panel_day GROUP BY cell, year(day)", "rx1day")(lambda v, s: panel.rx1day(v("panel_day")))
 add_cte("c7_rx5day_ratio", "t AS (SELECT *, CASE WHEN count(pr) OVER w = 5 THEN sum(pr) OVER w END AS t FROM panel_day WINDOW w AS (PARTITION BY cell ORDER BY day RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND CURRENT ROW)), y AS (SELECT cell, year(day) AS year, max(t) AS rx5day FROM t GROUP BY ALL), m AS (SELECT cell, year(day) AS year, month(day) AS month, avg(pr) AS pr FROM panel_day GROUP BY ALL), a AS (SELECT cell, year, avg(pr) * 365 AS total FROM m GROUP BY ALL)",
@@ -457,3 +487,17 @@ query("j25_landuse_drivers", f"SELECT a.predictor, n_models, mean, median, mean_
 def _drivers(df: DataFrame) -> DataFrame:
     z = regress.context_z(df, ["coef"], ["predictor"]).withColumnRenamed("coef", "z")
     return regress.model_agreement(df).join(z, "predictor").select("predictor", "n_models", "mean", "median", "mean_rank", "positive", "top3", "star", "z")
+
+
+@query("j24_linear_against_forest")
+def _(v, spark):
+    linear = _fit(_rows(v), _PREDICTORS, ["regime"], 10)
+    parts = []
+    for regime in ("negative", "positive"):
+        rows = _in_repeats(lambda n: v(n).where("bgws > 0" if regime == "positive" else "bgws < 0"), 10)  # noqa: B023
+        found = forests.scores(rows, forests.grow(rows, 3, [forests.Setting(8, 5, 2, 0.5)], 100))
+        parts.append(found.select(F.lit(regime).alias("regime"), F.col("data").alias("repeat"), "test_r2"))
+    return regress.linear_against_forest(linear, parts[0].unionByName(parts[1]), ["regime"])
+
+
+query("j25_driver_job")(lambda v, s: regress.driver_job(_rows(v), "bgws", _PREDICTORS))

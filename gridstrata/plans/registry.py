@@ -117,6 +117,10 @@ query("a5_pick_grid_and_version", "SELECT * FROM catalog QUALIFY rank() OVER (PA
 query("a6_window_overlap", "SELECT * FROM catalog WHERE regexp_extract(file, '_(\\d{6})-(\\d{6})', 1) <= '189012' AND regexp_extract(file, '_(\\d{6})-(\\d{6})', 2) >= '188501'")(
     lambda v, s: catalog.window_overlap(v("catalog"), "188501", "189012")
 )
+_DAY_NAMES = "replace(replace(file, '01-', '0115-'), '12.nc', '1220.nc')"
+query("a6_window_overlap_days", f"SELECT * REPLACE ({_DAY_NAMES} AS file) FROM catalog WHERE regexp_extract({_DAY_NAMES}, '_([0-9]+)-([0-9]+)', 1) <= '18901231' AND regexp_extract({_DAY_NAMES}, '_([0-9]+)-([0-9]+)', 2) >= '18851220'")(
+    lambda v, s: catalog.window_overlap(v("catalog").withColumn("file", F.expr(_DAY_NAMES)), "18851220", "189012")
+)
 query("a7_source_priority", "SELECT model, lat, lon, year, month, pr FROM panel_month QUALIFY row_number() OVER (PARTITION BY model, lat, lon, year, month ORDER BY CASE WHEN experiment = 'historical' THEN 0 ELSE 1 END) = 1", "pr")(
     lambda v, s: catalog.source_priority([v("panel_month").where(F.col("experiment") == e).select("model", *CELL, "year", "month", "pr") for e in ("historical", "ssp370")], ["model", *CELL, "year", "month"])
 )
@@ -130,8 +134,22 @@ def _ranks(spark) -> DataFrame:
     return spark.range(1, 18264).select(F.col("id").alias("rank"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int") - 1).alias("day"))
 
 
+def calendar(spark, first: int, months: int = 36) -> DataFrame:
+    """rank, year, month from January of a year on."""
+    i = F.col("id").cast("int")
+    return spark.range(months).select((i + 1).alias("rank"), (first + F.floor(i / 12)).cast("int").alias("year"), (i % 12 + 1).alias("month"))
+
+
+def _model_months(v) -> DataFrame:
+    """Historical months by model, without gaps."""
+    return v("panel_month").where("experiment = 'historical'").groupBy("model", "year", "month").agg(F.avg("pr").alias("pr"))
+
+
 query("b3_conform_time_by_rank", "SELECT cell, rank, CAST(CAST(DATE '2000-01-01' + CAST(rank - 1 AS INT) AS DATE) AS VARCHAR) AS day, pr FROM (SELECT cell, pr, dense_rank() OVER (PARTITION BY cell ORDER BY day) AS rank FROM panel_day)", "pr")(
-    lambda v, s: conform.by_rank(v("panel_day"), _ranks(s), ["cell"], ["day"], ["day"]).select("cell", (F.datediff("day", F.lit("2000-01-01")) + 1).cast("long").alias("rank"), F.col("day").cast("string"), "pr")
+    lambda v, s: conform.by_rank(v("panel_day"), _ranks(s), ["cell"], ["day"], ["day"], exact=False).select("cell", (F.datediff("day", F.lit("2000-01-01")) + 1).cast("long").alias("rank"), F.col("day").cast("string"), "pr")
+)
+query("b3_conform_time_exact", "SELECT model, CAST(2050 + (rank - 1) // 12 AS INT) AS year, CAST((rank - 1) % 12 + 1 AS INT) AS month, avg(pr) AS pr FROM (SELECT model, pr, dense_rank() OVER (PARTITION BY model ORDER BY year, month) AS rank FROM panel_month WHERE experiment = 'historical') GROUP BY ALL", "pr")(
+    lambda v, s: conform.by_rank(_model_months(v), calendar(s, 2050), ["model"], ["year", "month"], ["year", "month"]).select("model", "year", "month", "pr")
 )
 query("b4_slice_months", "SELECT experiment, model, lat, lon, year, month, pr FROM panel_month WHERE year * 12 + month BETWEEN 1996 * 12 + 5 AND 1999 * 12 + 3", "pr")(
     lambda v, s: conform.slice_months(v("panel_month"), (1996, 5), (1999, 3)).select("experiment", "model", *CELL, "year", "month", "pr")
@@ -393,14 +411,23 @@ query("j7_nested_screening")(lambda v, s: regress.nested_screening(_moments(v),
 query("j13_importance_summary", "SELECT predictor, avg(importance) AS mean, quantile_cont(importance, 0.025) AS p2_5, quantile_cont(importance, 0.25) AS q25, median(importance) AS median, quantile_cont(importance, 0.75) AS q75, quantile_cont(importance, 0.975) AS p97_5 FROM importance_long GROUP BY predictor", "mean p2_5 q25 median q75 p97_5")(
     lambda v, s: regress.importance_summary(v("importance_long"), ["predictor"])
 )
-_AGREE = "SELECT predictor, count(DISTINCT model) AS n_models, avg(importance) AS mean, median(importance) AS median, avg(rank) AS mean_rank, avg(CASE WHEN importance > 0 THEN 1.0 ELSE 0 END) AS positive, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS top3, avg(CASE WHEN coef > 0 THEN 1.0 ELSE 0 END) AS coef_positive, avg(CASE WHEN coef < 0 THEN 1.0 ELSE 0 END) AS coef_negative FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY importance DESC) AS rank FROM importance_long {where}) GROUP BY predictor"
+query("j13_fit_summary", "SELECT predictor, avg(importance) AS perm_mean, median(importance) AS perm_median, median(coef) AS coef_median, quantile_cont(importance, 0.025) AS perm_p2_5, quantile_cont(importance, 0.975) AS perm_p97_5, quantile_cont(coef, 0.025) AS coef_p2_5, quantile_cont(coef, 0.975) AS coef_p97_5, avg(CASE WHEN coef <> 0 THEN 1.0 ELSE 0 END) AS selection_frequency, avg(sign(nullif(coef, 0))) AS sign_consistency FROM importance_long GROUP BY predictor", "perm_mean perm_median coef_median perm_p2_5 perm_p97_5 coef_p2_5 coef_p97_5 selection_frequency sign_consistency")(
+    lambda v, s: regress.fit_summary(v("importance_long"), [])
+)
+_AGREE = "SELECT predictor, count(DISTINCT model) AS n_models, avg(importance) AS mean, median(importance) AS median, quantile_cont(importance, 0.25) AS p25, quantile_cont(importance, 0.75) AS p75, avg(rank) AS mean_rank, avg(CASE WHEN importance > 0 THEN 1.0 ELSE 0 END) AS positive, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) AS top3, avg(CASE WHEN coef > 0 THEN 1.0 ELSE 0 END) AS coef_positive, avg(CASE WHEN coef < 0 THEN 1.0 ELSE 0 END) AS coef_negative, greatest(avg(CASE WHEN coef > 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN coef < 0 THEN 1.0 ELSE 0 END)) AS dominant_sign FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY importance DESC) AS rank FROM importance_long {where}) GROUP BY predictor"
 _STAR = "CASE WHEN top3 >= 0.5 THEN '**' WHEN positive >= 0.8 THEN '*' ELSE '' END AS star"
-query("j15_model_agreement", f"SELECT *, {_STAR} FROM ({_AGREE.format(where='')})", "mean median mean_rank positive top3 coef_positive coef_negative")(lambda v, s: regress.model_agreement(v("importance_long")))
+query("j15_model_agreement", f"SELECT *, {_STAR} FROM ({_AGREE.format(where='')})", "mean median p25 p75 mean_rank positive top3 coef_positive coef_negative dominant_sign")(lambda v, s: regress.model_agreement(v("importance_long")))
 query("j16_context_z", "SELECT predictor, CASE WHEN count(importance) >= 2 THEN least(greatest(avg(importance) / nullif(stddev_pop(importance), 0), -1), 1) END AS importance FROM importance_long GROUP BY predictor", "importance")(lambda v, s: regress.context_z(v("importance_long"), ["importance"], ["predictor"]))
 _R2 = "SELECT model FROM importance_long GROUP BY model HAVING avg(coef) > 0"
-query("j17_panel_table", f"SELECT *, {_STAR} FROM ({_AGREE.format(where=f'WHERE model IN ({_R2})')})", "mean median mean_rank positive top3 coef_positive coef_negative")(
+query("j17_panel_table", f"SELECT *, {_STAR} FROM ({_AGREE.format(where=f'WHERE model IN ({_R2})')})", "mean median p25 p75 mean_rank positive top3 coef_positive coef_negative dominant_sign")(
     lambda v, s: regress.panel_table(v("importance_long"), v("importance_long").groupBy("model").agg(F.avg("coef").alias("r2")), 0.0)
 )
 query("j21_representative", "SELECT predictor, (min({'d': abs(importance - mid), 'm': model})).m AS repeat FROM importance_long JOIN (SELECT predictor, median(importance) AS mid FROM importance_long GROUP BY predictor) USING (predictor) GROUP BY predictor")(
     lambda v, s: regress.representative(v("importance_long").select("predictor", F.col("model").alias("repeat"), F.col("importance").alias("r2")), ["predictor"])
 )
+_NEAREST = "SELECT predictor, {q} AS quantile, (min({{'d': abs(importance - q{k}), 'm': model}})).m AS repeat FROM {rows} GROUP BY predictor"
+_THREE = "i AS (SELECT *, quantile_cont(importance, 0.25) OVER w AS q1, quantile_cont(importance, 0.5) OVER w AS q2, quantile_cont(importance, 0.75) OVER w AS q3 FROM importance_long WINDOW w AS (PARTITION BY predictor)), " + ", ".join(f"c{k} AS ({_NEAREST.format(q=q, k=k, rows=rows)})" for k, q, rows in (
+    (1, 0.25, "i"), (2, 0.5, "(SELECT i.* FROM i JOIN c1 ON i.predictor = c1.predictor AND i.model <> c1.repeat)"), (3, 0.75, "(SELECT i.* FROM i JOIN c1 ON i.predictor = c1.predictor AND i.model <> c1.repeat JOIN c2 ON i.predictor = c2.predictor AND i.model <> c2.repeat)")))
+add_cte("j21_three_representatives", _THREE, "SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3", "quantile")(
+    lambda v, s: regress.three_representatives(v("importance_long").select("predictor", F.col("model").alias("repeat"), F.col("importance").alias("r2")), ["predictor"])
+)

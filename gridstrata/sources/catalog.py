@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,9 +59,11 @@ def pick_grid_and_version(catalog: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def window_overlap(catalog: DataFrame, first: str, last: str) -> DataFrame:
-    """A6. Files whose name's months overlap [first, last] (yyyymm); names without months stay."""
-    a, b = (F.nullif(F.regexp_extract("file", r"_(\d{6})-(\d{6})", k), F.lit("")) for k in (1, 2))
-    return catalog.where(a.isNull() | ((a <= last) & (b >= first)))
+    """A6. Files whose name's time range overlaps [first, last]; names without one stay. Times are months (yyyymm, the whole month) or days
+    (yyyymmdd), in names and in the window, also mixed."""
+    a, b = (F.nullif(F.regexp_extract("file", r"_(\d{8}|\d{6})-(\d{8}|\d{6})\.nc$", k), F.lit("")) for k in (1, 2))
+    from_, to = (lambda x: F.rpad(x, 8, "01")), (lambda x: F.rpad(x, 8, "31"))
+    return catalog.where(a.isNull() | ((from_(a) <= to(F.lit(last))) & (to(b) >= from_(F.lit(first)))))
 
 
 def source_priority(sources: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -94,6 +97,51 @@ def load_or_compute(spark: SparkSession, path: str, compute, partition: list[str
     return spark.read.parquet(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order: the same rows have the same one."""
+    h = F.xxhash64(*sorted(df.columns))
+    sums = df.agg(F.count("*"), *[F.sum(F.pmod(F.shiftrightunsigned(h, s), F.lit(1 << 16))) for s in (0, 16, 32, 48)]).first()
+    return "-".join(str(x or 0) for x in sums)
+
+
+class ResultStore:
+    """A10. Results by part, such as a period and a model, under the mask that they were made with.
+
+    A folder for each mask holds the mask, the rows by part, and a manifest of the parts that are complete. fill() computes and
+    stores those that the manifest lacks, one group of parts after the other, so that a job that was ended goes on where it was; a
+    part that was half written is written anew. Another mask has a folder of its own, so nothing made with the old one counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, mask: DataFrame, keys: tuple[str, ...] = ("period", "model")):
+        self.spark, self.keys = spark, list(keys)
+        self.folder = f"{path.rstrip('/')}/mask-{fingerprint(mask)}"
+        if not _exists(spark, f"{self.folder}/mask/_SUCCESS"):
+            mask.write.mode("overwrite").parquet(f"{self.folder}/mask")
+
+    def mask(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/mask")
+
+    def done(self) -> set[tuple]:
+        """Complete parts; a row each, and parts are few."""
+        if not _exists(self.spark, f"{self.folder}/manifest"):
+            return set()
+        return {tuple(r) for r in self.spark.read.parquet(f"{self.folder}/manifest").select(*self.keys).distinct().collect()}
+
+    def fill(self, parts: list[tuple], compute: Callable[[list[tuple], DataFrame], DataFrame], at_once: int = 8) -> DataFrame:
+        """The rows of these parts, doubles as floats. compute(missing parts, mask) gives rows with the keys."""
+        missing = [p for p in dict.fromkeys(map(tuple, parts)) if p not in self.done()]
+        for k in range(0, len(missing), at_once):
+            group = missing[k : k + at_once]
+            df = compute(group, self.mask())
+            df = df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double" and c not in KEYS})
+            df.write.partitionBy(*self.keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.folder}/rows")
+            self.spark.createDataFrame(group, ", ".join(f"{c} string" for c in self.keys)).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        wanted = self.spark.createDataFrame([tuple(p) for p in parts], ", ".join(f"{c} string" for c in self.keys)).distinct()
+        rows = self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows")
+        rows = rows.withColumns({c: F.col(c).cast("string") for c in self.keys})
+        return rows.join(F.broadcast(wanted), self.keys, "left_semi")  # a row a part
+
+
 def provenance(steps: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
     """B17. seq, step, keys, n_rows: what each step left of each dataset; the newest step has the largest seq."""
     rows = [df.groupBy(*keys).agg(F.count("*").alias("n_rows")).select(F.lit(k).alias("seq"), F.lit(name).alias("step"), *keys, "n_rows") for k, (name, df) in enumerate(steps)]
