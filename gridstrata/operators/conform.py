@@ -181,24 +181,24 @@ def remove_regions(df: DataFrame, cell_region: DataFrame, regions: list[str]) ->
     return remove_antarctica(df).join(cell_region.where(F.col("region").isin(regions)), ["lat", "lon"], "left_anti")
 
 
-def region_of(cells: DataFrame, rings: DataFrame) -> DataFrame:
-    """B15. lat, lon, region: rings that hold a cell's centre, by ray casting. rings: region, ring array<struct<lon, lat>>; a few dozen rows."""
-    n = F.size("ring")
-    crossings = F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0),
-        lambda acc, i: acc + F.when(_crosses(F.get("ring", i), F.get("ring", (i + 1) % n)), 1).otherwise(0),
-    )
-    end = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
-    boxes = rings.select("region", "ring", *[end(f, axis).alias(f"_{n}_{axis}") for axis in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
-    near = F.col("lat").between(F.col("_lo_lat"), F.col("_hi_lat")) & F.col("lon").between(F.col("_lo_lon"), F.col("_hi_lon"))
-    return cells.select("lat", "lon").distinct().join(F.broadcast(boxes), near).where(crossings % 2 == 1).select("lat", "lon", "region")
-
+def region_of(cells: DataFrame, rings: DataFrame, band: float = 1.0) -> DataFrame:
+    """B15. lat, lon, region: regions that hold a cell's centre, by ray casting. rings: region, ring array<struct<lon, lat>>.
 
-def _crosses(a: Column, b: Column) -> Column:
-    """Whether the ray east of the cell's centre crosses an edge."""
-    spans = (a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat"))
-    x = a["lon"] + (F.col("lat") - a["lat"]) * (b["lon"] - a["lon"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0))
-    return spans & F.coalesce(F.col("lon") < x, F.lit(False))
+    A region may have several rings, parts and holes alike: a centre is inside if the ray east of it crosses their edges an odd number
+    of times. Edges are indexed by the bands of latitude that they pass, so that a cell meets the edges of its own band only; bands are
+    joined by key, and crossings are counted before they are shuffled. Rings close themselves; edges along a parallel, and rings
+    of fewer than three corners, hold nothing.
+    """
+    at = lambda lat: F.floor(lat / band)
+    corners = rings.select("region", "ring", F.posexplode("ring").alias("_i", "_a"))
+    edges = corners.select("region", "_a", F.get("ring", (F.col("_i") + 1) % F.size("ring")).alias("_b")).where("_a.lat <> _b.lat")
+    low, high = F.least("_a.lat", "_b.lat"), F.greatest("_a.lat", "_b.lat")
+    edges = edges.withColumn("_band", F.explode(F.sequence(at(low), at(high))))
+    own = cells.select("lat", "lon").distinct().withColumn("_band", at(F.col("lat")))
+    spans = (F.col("_a.lat") > F.col("lat")) != (F.col("_b.lat") > F.col("lat"))
+    x = F.col("_a.lon") + (F.col("lat") - F.col("_a.lat")) * (F.col("_b.lon") - F.col("_a.lon")) / (F.col("_b.lat") - F.col("_a.lat"))
+    hit = own.join(edges, "_band").where(spans & (F.col("lon") < x))
+    return hit.groupBy("lat", "lon", "region").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
 
 
 def set_units(df: DataFrame, units: dict[str, tuple[str, str]]) -> DataFrame:

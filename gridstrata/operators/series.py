@@ -61,14 +61,42 @@ def kendall(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.nanvl(F.pandas_udf(tau, DoubleType())("_a", "_b"), F.lit(None)).alias("tau"))
 
 
+def anomalies(values: np.ndarray, months: np.ndarray) -> np.ndarray:
+    """I1 and I2 of one series in order, NaN where a value isn't known: the residual of the line against position, less its mean by calendar
+    month. All NaN with fewer than two values."""
+    known = np.isfinite(values)
+    if known.sum() < 2:
+        return np.full(len(values), np.nan)
+    x, y = np.arange(len(values), dtype=float)[known], values[known]
+    dx = x - x.mean()
+    rest = y - y.mean() - dx * ((dx * (y - y.mean())).sum() / (dx * dx).sum())
+    _, at = np.unique(months[known], return_inverse=True)
+    rest -= (np.bincount(at, rest) / np.bincount(at))[at]
+    out = np.full(len(values), np.nan)
+    out[known] = rest
+    return out
+
+
 def eli(df: DataFrame, soil: str, energy: str, et: str, keys: list[str]) -> DataFrame:
-    """I4. tau(soil', et') - tau(energy', et') of detrended, deseasonalised series."""
-    out = df
-    for v in (soil, energy, et):
-        out = detrend(out, v, keys, ["year", "month"]).withColumnRenamed("detrended", "_d")
-        out = deseasonalise(out, "_d", keys).withColumnRenamed("anomaly", f"{v}_a").drop("_d")
-    both = [kendall(out, f"{v}_a", f"{et}_a", keys).withColumnRenamed("tau", f"tau_{v}") for v in (soil, energy)]
-    return both[0].join(both[1], keys).withColumn("eli", F.col(f"tau_{soil}") - F.col(f"tau_{energy}"))
+    """I4. tau(soil', et') - tau(energy', et') of detrended, deseasonalised series.
+
+    One scan and one shuffle: a cell's three series are one array of bounded length (months of a period), in order of time, and Arrow
+    hands batches of them to numpy, which detrends, takes the seasons off and counts both taus."""
+
+    def both(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for cell in rows:
+            months = np.array([r["month"] for r in cell], int)
+            a, b, c = (anomalies(np.array([np.nan if r[n] is None else r[n] for r in cell], float), months) for n in "abc")
+            pair = lambda x, c=c: tau_b(x[k], c[k]) if (k := np.isfinite(x) & np.isfinite(c)).any() else None
+            out.append((pair(a), pair(b)))
+        return pd.DataFrame(out, columns=["s", "e"]).astype("float64")
+
+    row = F.struct("year", "month", *[F.col(v).cast("double").alias(n) for v, n in ((soil, "a"), (energy, "b"), (et, "c"))])
+    cells = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    taus = cells.select(*keys, F.pandas_udf(both, "s double, e double")("rows").alias("t"))
+    known = lambda n: F.nanvl(F.col(f"t.{n}"), F.lit(None))
+    return taus.select(*keys, known("s").alias(f"tau_{soil}"), known("e").alias(f"tau_{energy}")).withColumn("eli", F.col(f"tau_{soil}") - F.col(f"tau_{energy}"))
 
 
 def pearson_and_bias(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

@@ -128,6 +128,9 @@ query("b13_remove_antarctica", "SELECT cell, lat - 20 AS lat, bgws FROM change_f
 query("b15_cell_region", "SELECT DISTINCT lat, lon, CASE WHEN lon < 0 THEN 'box' ELSE 'peak' END AS region FROM panel_month WHERE (lon > -160 AND lon < -20 AND lat > -60 AND lat < 0) OR (lat > -60 AND lon > 80 * (lat + 60) / 140 AND lon < 160 - 80 * (lat + 60) / 140)")(
     lambda v, s: conform.region_of(v("panel_month"), s.createDataFrame([("box", [(-160.0, -60.0), (-20.0, -60.0), (-20.0, 0.0), (-160.0, 0.0)]), ("peak", [(0.0, -60.0), (160.0, -60.0), (80.0, 80.0)])], "region string, ring array<struct<lon:double,lat:double>>"))
 )
+query("b15_region_with_hole", "SELECT DISTINCT lat, lon, 'ring' AS region FROM change_frame WHERE lat > -50.25 AND lat < 70.25 AND lon > -160.25 AND lon < 160.25 AND NOT (lat > -20.25 AND lat < 40.25 AND abs(lon) < 60.25)")(
+    lambda v, s: conform.region_of(v("change_frame"), s.createDataFrame([("ring", [(-160.25, -50.25), (160.25, -50.25), (160.25, 70.25), (-160.25, 70.25)]), ("ring", [(-60.25, -20.25), (-60.25, 40.25), (60.25, 40.25), (60.25, -20.25)])], "region string, ring array<struct<lon:double,lat:double>>"))
+)
 query("b17_provenance", "SELECT CAST(0 AS INT) AS seq, 'read' AS step, model, count(*) AS n_rows FROM panel_month GROUP BY model UNION ALL SELECT 1, 'historical', model, count(*) FROM panel_month WHERE experiment = 'historical' GROUP BY model")(
     lambda v, s: catalog.provenance([("read", v("panel_month")), ("historical", history(v))], ["model"])
 )

@@ -1,10 +1,12 @@
 """Checks inside plans, stores that go on after a stop, representatives, summaries."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridstrata.operators import conform, panel, regress
+from gridstrata.operators import conform, panel, regress, series
 from gridstrata.sources import catalog
 
 
@@ -115,3 +117,55 @@ def test_driver_job(spark):
     got = {r.predictor: r for r in regress.driver_job(spark.createDataFrame(rows, "model string, regime string, block string, y double, a double, b double"), "y", ["a", "b"], 4).collect()}
     assert got["a"].n_models == 3 and got["a"].mean > got["b"].mean and got["a"].dominant_sign == 1 and got["a"].coef_positive == 1
     assert got["b"].coef_negative >= 2 / 3 and abs(got["a"].context_z) < 0.2 and got["a"].selection_frequency == 1 and got["a"].coef_p2_5 > 2.5
+
+
+def test_regions_of_many_corners_and_holes(spark):
+    rng = random.Random(2)
+
+    def star(lon, lat, size, n):
+        turn = [2 * np.pi * k / n for k in range(n)]
+        return [(float(lon + size * (0.5 + rng.random() / 2) * np.cos(t)), float(lat + size * (0.5 + rng.random() / 2) * np.sin(t))) for t in turn]
+
+    shapes = [("a", star(0, 0, 40, 400)), ("a", star(0, 0, 12, 50)), ("b", star(60, -30, 25, 7)), ("b", star(-80, 40, 20, 90)), ("c", star(10, 10, 30, 60)), ("none", []), ("line", [(0.0, 1.0), (5.0, 1.0)])]
+    cells = [(float(lat), float(lon)) for lat in np.arange(-59.5, 65, 3) for lon in np.arange(-110.5, 100, 3)]
+    want = set()
+    for lat, lon in cells:
+        for name in {n for n, _ in shapes}:
+            crossings = 0
+            for _, ring in (s for s in shapes if s[0] == name):
+                for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
+                    crossings += (y0 > lat) != (y1 > lat) and lon < x0 + (lat - y0) * (x1 - x0) / (y1 - y0)
+            if crossings % 2:
+                want.add((lat, lon, name))
+    frame = spark.createDataFrame(cells + cells[:9], "lat double, lon double")
+    rings = spark.createDataFrame(shapes, "region string, ring array<struct<lon:double,lat:double>>")
+    for band in (0.5, 1.0, 30.0):
+        assert {tuple(r) for r in conform.region_of(frame, rings, band).collect()} == want
+
+
+def test_eli_is_that_of_separate_steps(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, 2000 + k // 12, k % 12 + 1, *(None if rng.random() < 0.1 else float(x) for x in rng.normal(size=3) + np.array([k / 9, k % 12, 1.0]))) for c in range(6) for k in range(48) if rng.random() > 0.05]
+    rows += [(90, 2000, 1, 1.0, 2.0, 3.0), (91, 2000, 1, None, None, None), (92, 2000, 1, 1.0, 1.0, None), (92, 2000, 2, 2.0, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "cell int, year int, month int, s double, e double, t double")
+    steps = df
+    for v in "set":
+        steps = series.deseasonalise(series.detrend(steps, v, ["cell"], ["year", "month"]).withColumnRenamed("detrended", "_d"), "_d", ["cell"]).withColumnRenamed("anomaly", f"{v}_a").drop("_d")
+    parts = {}
+    for r in steps.collect():
+        parts.setdefault(r.cell, []).append(r)
+
+    def tau(pairs):
+        sign = lambda x: 0 if abs(x) < 1e-9 else (1 if x > 0 else -1)
+        both = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(pairs) for b in pairs[:i]]
+        nx, ny = sum(x != 0 for x, _ in both), sum(y != 0 for _, y in both)
+        return sum(x * y for x, y in both) / (nx * ny) ** 0.5 if nx and ny else None
+
+    got = {r.cell: r for r in series.eli(df, "s", "e", "t", ["cell"]).collect()}
+    assert set(got) == set(parts)
+    for c, part in parts.items():
+        want = [tau([(r[f"{v}_a"], r.t_a) for r in part if r[f"{v}_a"] is not None and r.t_a is not None]) for v in "se"]
+        for x, y in zip((got[c].tau_s, got[c].tau_e), want, strict=True):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y)), c
+    plan = series.eli(df, "s", "e", "t", ["cell"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
