@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,6 +207,29 @@ def sustain_lulcc(df: DataFrame, values: list[str], keys: list[str]) -> DataFram
     return df.groupBy(*keys).agg(*[(0.5 * (of("ssp126", v) - of("ssp126-ssp370Lu", v)) + 0.5 * (of("ssp370-ssp126Lu", v) - of("ssp370", v))).alias(v) for v in values])
 
 
+def sustain_product(df: DataFrame, values: list[str], mask: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None, derived: tuple[str, ...] = (), by: tuple[str, ...] = (), with_mean: bool = True) -> DataFrame:
+    """G17. Means over the period by experiment, what derive makes of them, the land-use effect of each model (C17), its mean over models as
+    model `ensemble mean` where asked for, and the mask. by: further keys, such as the season."""
+    keys = ["model", *CELL, *by]
+    means = stats(df, values, ["mean"], ["experiment", *keys], "")
+    own = [*values, *derived]
+    effect = sustain_lulcc(derive(means) if derive else means, own, keys)
+    rows = with_ensemble(effect, own, [*CELL, *by]) if with_mean else effect.withColumn("kind", F.lit("member"))
+    return apply_mask(rows, mask, own).select("model", *CELL, *by, *own, "kind")
+
+
+def land_use_history(df: DataFrame, values: list[str], mask: DataFrame, members: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None, derived: tuple[str, ...] = (), experiment: str = "historical", without: str = "hist-noLu") -> DataFrame:
+    """G17. What land use did: means of the experiment less those of the one without it, by model, then their means over each named set of
+    models as a model of that name, within the mask. A model that lacks one of the two has no row. members: ensemble, model."""
+    means = stats(df, values, ["mean"], ["experiment", "model", *CELL], "")
+    means, own = derive(means) if derive else means, [*values, *derived]
+    of = lambda e, v: F.max(F.when(F.col("experiment") == e, F.col(v)))
+    there = F.count_distinct(F.when(F.col("experiment").isin(experiment, without), F.col("experiment")))
+    effect = means.groupBy("model", *CELL).agg(there.alias("_n"), *[(of(experiment, v) - of(without, v)).alias(v) for v in own]).where("_n = 2").drop("_n")
+    sets = subset_ensembles(effect, own, list(CELL), members).withColumnRenamed("ensemble", "model")
+    return apply_mask(effect.unionByName(sets), mask, own).select("model", *CELL, *own)
+
+
 def to_celsius(df: DataFrame, value: str = "tas", by: tuple[str, ...] = ("model",), mean: float = 150, most: float = 100) -> DataFrame:
     """C18. Kelvin by the values: a group whose mean or maximum is too large for deg C is converted. Groups are summed before they are joined back."""
     kelvin = df.groupBy(*by).agg(((F.avg(value) > mean) | (F.max(value) > most)).alias("_kelvin"))

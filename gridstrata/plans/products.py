@@ -319,6 +319,41 @@ add_cte("g17_subset_ensembles", R._PRODUCT + f", sets(ensemble, model) AS (VALUE
 )
 _FOUR = ("ssp126", "ssp126-ssp370Lu", "ssp370-ssp126Lu", "ssp370")
 _SEASON = "CASE WHEN month IN (12, 1, 2) THEN 'DJF' WHEN month <= 5 THEN 'MAM' WHEN month <= 8 THEN 'JJA' ELSE 'SON' END"
+_IN = "CASE WHEN msk.lat IS NOT NULL THEN {c} END AS {c}"
+_MASKED = "LEFT JOIN msk ON msk.lat = u.lat AND msk.lon = u.lon"
+
+
+def _sustain_sql(inner: str, own: tuple[str, ...], mean: bool) -> tuple[str, str]:
+    """CTEs and select of G17's land-use effects, from means by experiment, model and cell."""
+    parts = ", ".join("0.5 * ({0} - {1}) + 0.5 * ({2} - {3}) AS {c}".format(*[f"max(CASE WHEN experiment = '{e}' THEN {c} END)" for e in _FOUR], c=c) for c in own)
+    both = "SELECT *, 'member' AS kind FROM f" + (f" UNION ALL SELECT 'ensemble mean', lat, lon, {', '.join(f'avg({c})' for c in own)}, 'mean' FROM f GROUP BY lat, lon" if mean else "")
+    return R._MEANS + f", e AS ({inner}), f AS (SELECT model, lat, lon, {parts} FROM e GROUP BY ALL), u AS ({both})", f"SELECT u.model, u.lat, u.lon, {', '.join(_IN.format(c=c) for c in own)}, kind FROM u {_MASKED}"
+
+
+def _four(v) -> DataFrame:
+    return v("panel_month").withColumn("experiment", F.expr(_LULCC))
+
+
+_BGWS = "least(greatest((mrro - tran) / (CASE WHEN pr > 1e-12 THEN pr END) * 100, -100), 100) AS bgws_tran"
+_EFFECT = ("pr", "tran", "mrro", "lai", "bgws_tran")
+add_cte("g17_sustain_annual", *_sustain_sql(f"SELECT *, {_BGWS} FROM (SELECT {_LULCC} AS experiment, model, lat, lon, avg(pr) AS pr, avg(tran) AS tran, avg(mrro) AS mrro, avg(lai) AS lai FROM panel_month GROUP BY ALL)", _EFFECT, True), " ".join(_EFFECT))(
+    lambda v, s: panel.sustain_product(_four(v), list(_EFFECT[:4]), hydro(v, s), lambda m: panel.partition_metrics(m, ["tran"], ""), ("bgws_tran",))
+)
+add_cte("g17_land_cover", *_sustain_sql(f"SELECT {_LULCC} AS experiment, model, lat, lon, avg(lai) AS treeFrac, avg(gpp) AS fracLut FROM panel_month GROUP BY ALL", ("treeFrac", "fracLut"), False), "treeFrac fracLut")(
+    lambda v, s: panel.sustain_product(_four(v).withColumnsRenamed({"lai": "treeFrac", "gpp": "fracLut"}), ["treeFrac", "fracLut"], hydro(v, s), with_mean=False)
+)
+_CARBON = ("cVeg", "cLeaf", "cRoot", "nVeg", "lai", "cWood", "cVeg_nVeg", "lai_cLeaf", "f_leaf", "f_root", "f_wood")
+add_cte("g17_carbon_nitrogen", *_sustain_sql("SELECT *, cVeg - cLeaf - cRoot AS cWood, cVeg / nullif(nVeg, 0) AS cVeg_nVeg, lai / nullif(cLeaf, 0) AS lai_cLeaf, cLeaf / nullif(cVeg, 0) AS f_leaf, cRoot / nullif(cVeg, 0) AS f_root, (cVeg - cLeaf - cRoot) / nullif(cVeg, 0) AS f_wood FROM "
+        f"(SELECT {_LULCC} AS experiment, model, lat, lon, avg(tas) AS cVeg, avg(pr) AS cLeaf, avg(mrsos) AS cRoot, avg(gpp) AS nVeg, avg(lai) AS lai FROM panel_month GROUP BY ALL)", _CARBON, False), " ".join(_CARBON))(
+    lambda v, s: panel.sustain_product(_four(v).select("experiment", "model", *CELL, "lai", F.col("tas").alias("cVeg"), F.col("pr").alias("cLeaf"), F.col("mrsos").alias("cRoot"), F.col("gpp").alias("nVeg")), list(_CARBON[:5]), hydro(v, s), panel.carbon, _CARBON[5:], with_mean=False)
+)
+_HIST = "CASE WHEN year % 2 = 0 THEN 'historical' WHEN model <> 'M1' OR lat > 0 THEN 'hist-noLu' END"
+_PAST = ("pr", "tran", "mrro", "bgws_tran")
+add_cte("g17_historical_land_use", R._MEANS + f", e AS (SELECT *, {_BGWS} FROM (SELECT {_HIST} AS experiment, model, lat, lon, avg(pr) AS pr, avg(tran) AS tran, avg(mrro) AS mrro FROM panel_month GROUP BY ALL)), f AS (SELECT a.model, a.lat, a.lon, {', '.join(f'a.{c} - h.{c} AS {c}' for c in _PAST)} FROM e a JOIN e h ON a.model = h.model AND a.lat = h.lat AND a.lon = h.lon AND a.experiment = 'historical' AND h.experiment = 'hist-noLu'), "
+        f"sets(ensemble, model) AS (VALUES {', '.join(map(repr, _SETS))}), u AS (SELECT * FROM f UNION ALL SELECT ensemble, lat, lon, {', '.join(f'avg({c})' for c in _PAST)} FROM f JOIN sets USING (model) GROUP BY ensemble, lat, lon)",
+        f"SELECT u.model, u.lat, u.lon, {', '.join(_IN.format(c=c) for c in _PAST)} FROM u {_MASKED}", " ".join(_PAST))(
+    lambda v, s: panel.land_use_history(v("panel_month").withColumn("experiment", F.expr(_HIST)), list(_PAST[:3]), hydro(v, s), s.createDataFrame(_SETS, "ensemble string, model string"), lambda m: panel.partition_metrics(m, ["tran"], ""), ("bgws_tran",))
+)
 add_cte("g17_sustain_seasonal", f"e AS (SELECT {_LULCC} AS experiment, model, lat, lon, {_SEASON} AS season, least(greatest((avg(mrro) - avg(tran)) / (CASE WHEN avg(pr) > 1e-12 THEN avg(pr) END) * 100, -100), 100) AS x FROM panel_month GROUP BY ALL), p AS (SELECT model, lat, lon, season, " + ", ".join(f"max(CASE WHEN experiment = '{e}' THEN x END) AS x{i}" for i, e in enumerate(_FOUR)) + " FROM e GROUP BY ALL), m AS (SELECT model, lat, lon, season, 0.5 * (x0 - x1) + 0.5 * (x2 - x3) AS bgws_tran FROM p)",
         "SELECT *, 'member' AS kind FROM m UNION ALL SELECT 'ensemble mean', lat, lon, season, avg(bgws_tran), 'mean' FROM m GROUP BY lat, lon, season", "bgws_tran")(
     lambda v, s: _sustain_seasonal(v("panel_month").withColumn("experiment", F.expr(_LULCC)))
