@@ -169,3 +169,38 @@ def test_eli_is_that_of_separate_steps(spark):
             assert (x is None) == (y is None) and (x is None or x == pytest.approx(y)), c
     plan = series.eli(df, "s", "e", "t", ["cell"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_folds_are_dealt_by_size(spark):
+    rng = random.Random(6)
+    sizes = {f"b{k}": rng.randrange(1, 40) for k in range(23)}
+    df = spark.createDataFrame([(b,) for b, n in sizes.items() for _ in range(n)], "block string")
+    load, want = [0] * 4, {}
+    for b, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        k = load.index(min(load))
+        want[b], load[k] = k, load[k] + n
+    assert {r.block: r.fold for r in regress.group_folds(df, 4).collect()} == want
+
+
+def test_shuffles_hold_out_a_fifth_of_the_blocks(spark):
+    df = spark.createDataFrame([(f"b{k % 17:02d}",) for k in range(60)], "block string")
+    rows = regress.group_shuffles(df, 6).collect()
+    names, rng = sorted({r.block for r in rows}), np.random.RandomState(42)
+    for repeat in range(6):
+        want = {names[i] for i in rng.permutation(17)[:4]}
+        assert {r.block for r in rows if r.repeat == repeat and r.is_test} == want and sum(r.repeat == repeat for r in rows) == 17
+
+
+def test_classes_and_tables_of_fits(spark):
+    coefs = {"core": [1.0, 2.0, 1.0, 3.0, 1.0], "mixed": [1.0, -1.0, 2.0, -3.0, 1.0], "half": [1.0, 0.0, 2.0, 0.0, 1.0], "weak": [0.0, 0.0, 0.0, 0.0, -2.0]}
+    rows = [("M0", "wet", k, name, c, 0.1 * k + c, 0.5 + 0.1 * k) for name, cs in coefs.items() for k, c in enumerate(cs)]
+    fits = spark.createDataFrame(rows, "model string, regime string, repeat int, predictor string, coef double, importance double, test_r2 double")
+    got = {r.predictor: r for r in regress.selection(fits, ["regime"]).collect()}
+    assert {p: r["class"] for p, r in got.items()} == {"core": "core", "mixed": "secondary", "half": "secondary", "weak": "weak"}
+    assert got["weak"].frequency == pytest.approx(0.2) and got["weak"].sign == -1 and got["mixed"].sign == pytest.approx(0.2)
+    for r in regress.importance_table(fits, ["model", "regime"]).collect():
+        c = np.array(coefs[r.predictor])
+        x, t = 0.1 * np.arange(5) + c, 0.5 + 0.1 * np.arange(5)
+        signs = np.sign(c[c != 0])
+        want = (x.mean(), np.median(x), np.median(c), c.mean(), (c != 0).mean(), signs.mean(), t.mean(), np.median(t), t.std(ddof=1), 5)
+        assert tuple(r)[3:] == pytest.approx(want)
