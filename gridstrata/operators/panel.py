@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstrata.functions.columns import clip, partition, safe_ratio, season, weight, weighted_mean
+from gridstrata.sources.catalog import stored
 
 CELL = ["lat", "lon"]
 #: Statistics by name; deviations and variances over all values, not a sample.
@@ -179,10 +180,11 @@ def driver_product(df: DataFrame, periods: DataFrame, base: str, values: list[st
 
 def selected_driver_product(df: DataFrame, land: DataFrame, periods: DataFrame, base: str, values: list[str], seasonal: list[str]) -> DataFrame:
     """G14. Drivers, bgws and land use of the models that have all of them in all periods, within those models' own mask: members
-    and means, with changes. land: period, model, lat, lon and land-use columns; values hold pr, tran and mrro."""
+    and means, with changes. Rows by period, model and cell are stored once and read for the models and for the product. land: period, model, lat, lon and land-use columns; values hold pr, tran and mrro."""
     uses = [c for c in land.columns if c not in ("period", "model", *CELL)]
     both = partition_metrics(period_summary(df, periods, values, seasonal), ["tran"], "mean").join(land, ["period", "model", *CELL], "left")
     own = [*[f"{v}_mean" for v in values], *[f"{v}_seasonality" for v in seasonal], "bgws_tran", *uses]
+    both = stored(both, "drivers")
     full = common_models(both, own).withColumn("_in", in_mask(base, suffix="_mean"))
     kept = full.select("period", "model", *CELL, *[F.when(F.col("_in"), F.col(v)).alias(v) for v in own])
     return with_ensemble(with_changes(kept, own, base), own, ["period", *CELL])
