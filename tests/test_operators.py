@@ -232,3 +232,16 @@ def test_bilinear_needs_its_neighbours(spark):
     of = {-180.0: -10.0, -45.0: 5.0, 135.0: -5.0}
     want = {(lat, lon): None if (lat, lon) == (5.0, -45.0) else lat + w for lat in (-5.0, 0.0, 5.0) for lon, w in of.items()}
     assert got.keys() == want.keys() and all(got[k] == w if w is None else abs(got[k] - w) < 1e-9 for k, w in want.items())
+
+
+def test_means_that_differ_by_rounding_tie_in_ranks(spark, tmp_path):
+    import numpy as np
+
+    from gridstrata.plans import registry
+
+    cells = [(0, 10.0, (0.1, 0.2, 0.3)), (1, 20.0, (0.3, 0.2, 0.1)), (2, 30.0, (1.0, 1.0, 1.0)), (3, 5.0, (2.0, 2.0, 2.0))]
+    rows = [(p, 0, q, x, 0.1, 0.1) for p, q, prices in cells for x in prices]
+    df = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    df.selectExpr("*", "timestamp'1996-01-05 00:00:00' AS l_shipdate").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = np.corrcoef([2, 3, 4, 1], [1.5, 1.5, 3, 4])[0, 1]
+    assert registry.QUERIES["i7_spearman"](spark, str(tmp_path)).first().rho == round(want, 6)
