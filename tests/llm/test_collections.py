@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,56 @@ def test_lm_learns(spark):
     assert learnt > 0.5 * frequencies  # the ids' frequencies alone cost twice as much
 
 
+def test_lm_learns_from_each_window_of_all_training_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50, n) for n in (1, 2, 15, 16, 17, 40, 1000)]
+    seen = [set() for _ in texts]
+    for turn in range(4):
+        for i, t in enumerate(texts):
+            marked = np.arange(len(t)) + 100  # an id says its place
+            for w in lm.windows([marked], np.array([i]), 0, turn, 4, 0.25):
+                seen[i].update(w[1:].tolist())
+    assert all(set(range(100, 100 + len(t))) <= got for t, got in zip(texts, seen, strict=True))
+
+    texts = [f"the {a} sat on the {b} mat" for a in ("cat", "dog", "cow") for b in ("red", "blue", "green")] * 60
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    mean = lambda **o: np.mean([r.score for r in lm.scored(docs, F.col("doc_id") % 9 > 0, TOKENIZER, **o).where("doc_id % 9 = 0").collect()])
+    assert mean(by_root=0.01) > 0.9 * mean(rounds=0)  # not of a sample of next to nothing
+
+
+def test_lm_words_without_ids_have_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "INPUTS", 3)
+    monkeypatch.setattr(lm, "FREQUENT_SHARE", 8)
+    texts = ["a a a a a b b b b cow cow row now", "a b cow dog dog", "a a b é", "a cow unseen", "b row", "dog é now \x00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.scored(docs, F.col("doc_id") < 3, TOKENIZER, rounds=0).collect()}
+    c = Counter(w.encode() for t in texts[:3] for w in t.split())
+    n, size, kind = sum(c.values()) + 3, 2 + lm.KINDS + 1, lambda w: int(lm.kinds(pa.array([w], pa.binary()))[0])
+    total, once = Counter(), Counter()
+    for w, x in c.items():
+        if w not in (b"a", b"b"):
+            total[kind(w)] += x
+            once[kind(w)] += x == 1
+
+    def one(w):
+        if w in (b"a", b"b"):
+            return (c[w] + 1) / (n + size)
+        k = kind(w)
+        return (total[k] + 1) / (n + size) * (c[w] or once[k] + 1) / (total[k] + once[k] + 1)
+
+    want = {d: math.log10(4 / (n + size)) + sum(math.log10(one(w.encode())) for w in t.split()) for d, t in enumerate(texts)}
+    assert {d: got[d] for d in (0, 1, 2, 4)} == pytest.approx({d: want[d] for d in (0, 1, 2, 4)}, abs=1e-4)
+    assert got[3] < want[3] - 1 and got[5] < want[5]  # unknown words are spelled, too
+
+
+def test_lm_spelling_is_a_probability(spark):
+    once = spark.createDataFrame([(w.encode(),) for w in ("cat", "catalogue", "été", "x9", "lower")], "word binary")
+    s = lm.spellings(once, TOKENIZER)
+    ids = np.arange(len(s.single))
+    for before in (ids[-1], 0, *(s.codes // len(ids))):
+        assert (10 ** s.logs(ids, np.full(len(ids), before))).sum() == pytest.approx(1)
+
+
 def test_lm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.scored(docs, F.lit(False), TOKENIZER).collect()} == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
