@@ -246,6 +246,44 @@ def test_lm_gradients():
         assert g[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3, abs=1e-7), k
 
 
+def test_lm_gradients_are_sums_over_places():
+    model, rng = small_model()
+    model.w = {k: x.astype(np.float64) for k, x in model.w.items()}
+    ranks = model.v.rank[rng.integers(0, 90, (40, lm.WINDOW + 1))]
+    inputs, n = np.minimum(ranks[:, :-1], model.v.inputs), 40 * lm.WINDOW
+    kept = rng.random(n) < 0.9
+    part = {len(at): model.gradients(inputs, ranks[:, 1:], at) for at in (np.arange(n), np.flatnonzero(kept), np.flatnonzero(~kept))}
+    (loss, whole), *others = part.pop(n), *part.values()
+    assert loss * n == pytest.approx(sum(m * x for m, (x, _) in part.items()))
+    for k, x in whole.items():
+        assert np.allclose(x * n, sum(m * g[k] for m, (_, g) in part.items()), atol=1e-3 if k in ("e", "far") else 1e-4), k
+
+
+def test_lm_products_by_pieces():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 65, 255, 256, 700):
+        x, y, w = rng.standard_normal((n, 5)), rng.standard_normal((n, 3)), rng.standard_normal((5, 4))
+        assert np.allclose(lm._times(x, w), x @ w)
+        assert np.allclose(lm._products(x, y), x.T @ y)
+
+
+def test_lm_scores_are_finite_where_an_id_is_all_but_impossible():
+    model, rng = small_model()
+    model.w["cb"] += np.where(np.arange(len(model.w["cb"])) % 2, 50, -90).astype(np.float32)
+    model.w["ob"] += np.where(np.arange(len(model.w["ob"])) % 2, 50, -90).astype(np.float32)
+    assert np.isfinite(model.scores([rng.integers(0, 90, 200)])).all()
+
+
+def test_lm_words_are_split_without_an_object_each():
+    texts = [t or "" for t in LM_TEXTS] + [" a\x0bB\x0cc\rd\x1ce\x85f\x00\xa0g ", "\t", "x" * 10, "İ ſ\u2003Ａ"]
+    want = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for at in (0, 3):  # a slice begins elsewhere in its buffers
+            flat, n = lm.words(pa.array(texts, kind)[at:])
+            assert n.tolist() == [len(ws) for ws in want[at:]]
+            assert flat.to_pylist() == [w.encode() for ws in want[at:] for w in ws]
+
+
 def test_lm_learns(spark):
     texts = [f"the {a} sat on the {b} mat" for a in ("cat", "dog", "cow") for b in ("red", "blue", "green")] * 60
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
