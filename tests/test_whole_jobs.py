@@ -1,6 +1,7 @@
 """The registered jobs call their operators over the whole job."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridstrata.operators import regress
 from gridstrata.plans import products, registry  # noqa: F401 (products adds to the registry)
@@ -50,3 +51,21 @@ def test_forests_find_the_predictor_that_counts(spark):
     assert [r for r, *_ in found] == [0, 1, 2] and all(test > 0.8 and weights["a"] > 0.9 for _, _, test, weights in found)
     grid = regress.forest_grid(df, folds, "y", ["a", "b"], depths=(1, 5), leaves=(1,), shares=(1.0,), trees=10).collect()
     assert [(r.depth, r.leaf, r.share) for r in grid] == [(1, 1, 1.0), (5, 1, 1.0)] and grid[1].test_r2 > max(0.8, grid[0].test_r2)
+
+
+def test_forest_importance_explains_all_held_out_rows(spark, monkeypatch):
+    from gridstrata.operators import forests
+
+    seen, whole, grow, drops = [], forests.attribution, forests.grow, forests.permutation_importance
+
+    def counted(rows, forest, predictors, **options):
+        found = whole(rows, forest, predictors, **options)
+        seen.append(({r.data: r.n for r in forests._in_sets(rows, "test").groupBy("data").agg(F.count("*").alias("n")).collect()}, options))
+        return found
+
+    monkeypatch.setattr(forests, "attribution", counted)
+    monkeypatch.setattr(forests, "grow", lambda rows, k, settings, trees: grow(rows, k, settings, 3))
+    monkeypatch.setattr(forests, "permutation_importance", lambda *a: drops(*a, draws=1))
+    assert len(registry.QUERIES["j19_forest_importance"](spark, DATA).collect()) == 3
+    (sizes, options), = seen
+    assert len(sizes) == 10 and options.get("most") is None
