@@ -405,3 +405,15 @@ def test_redaction_of_very_many_matches(spark):
     began = time.time()
     assert secrets.redacted(made).first().text == "[access] text " * 40000
     assert time.time() - began < 60
+
+
+def test_lm_spells_by_all_pairs_of_subwords(spark, monkeypatch):
+    texts = ["a a a b b catalogue lower x9", "a b catalysis b slower y8", "a a b cathode flower été", "catalogues lowering b x9y8 étés", "cat flowers a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = lambda: {r.doc_id: r.score for r in lm.scored(docs, F.col("doc_id") < 3, TOKENIZER, rounds=0).collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "MOST_PAIRS", 3)  # fewer than there are: the others count as well
+    assert scores() == pytest.approx(want)
+    once = spark.createDataFrame([(w.encode(),) for w in ("catalogue", "lower", "slower")], "word binary")
+    s = lm.spellings(once, TOKENIZER)
+    assert s.rest > 0 and len(s.codes) == 3 and s.total.sum() == lm.pair_counts(once, TOKENIZER).agg(F.sum("n")).first()[0] > s.n.sum()
